@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cleave.llm import media, mixing, sharding, url_filter
+from cleave.llm import media, minhash, mixing, sharding, url_filter
 
 QUERIES = {
+    "op4_minhash_near_dedup": minhash.query,
     "op6_media_columns": media.query,
     "op7_sharding": sharding.query,
     "op9_mixing": mixing.query,
     "op10_url_filter": url_filter.query,
 }
-ORACLES = {"op10_url_filter": url_filter.ORACLE}
+ORACLES = {"op4_minhash_near_dedup": minhash.ORACLE, "op10_url_filter": url_filter.ORACLE}
