@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from cleave.llm import media, minhash, mixing, sharding, url_filter
+from cleave.llm import decontaminate, media, minhash, mixing, sharding, url_filter
 
 QUERIES = {
     "op4_minhash_near_dedup": minhash.query,
+    "op5_decontamination": decontaminate.query,
     "op6_media_columns": media.query,
     "op7_sharding": sharding.query,
     "op9_mixing": mixing.query,
     "op10_url_filter": url_filter.query,
 }
-ORACLES = {"op4_minhash_near_dedup": minhash.ORACLE, "op10_url_filter": url_filter.ORACLE}
+ORACLES = {"op4_minhash_near_dedup": minhash.ORACLE, "op5_decontamination": decontaminate.ORACLE, "op10_url_filter": url_filter.ORACLE}
