@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from cleave.llm import decontaminate, media, minhash, mixing, sharding, url_filter
+from cleave.llm import decontaminate, language_id, media, minhash, mixing, quality, sharding, url_filter
 
 QUERIES = {
+    "op1_quality_classifier": quality.query,
     "op4_minhash_near_dedup": minhash.query,
     "op5_decontamination": decontaminate.query,
     "op6_media_columns": media.query,
     "op7_sharding": sharding.query,
+    "op8_language_id": language_id.query,
     "op9_mixing": mixing.query,
     "op10_url_filter": url_filter.query,
 }
