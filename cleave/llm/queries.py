@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from cleave.llm import decontaminate, language_id, media, minhash, mixing, quality, sharding, url_filter
+from cleave.llm import decontaminate, html_text, language_id, media, minhash, mixing, pii, quality, sharding, url_filter
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
+    "op2_pii": pii.query,
+    "op3_html_extraction": html_text.query,
     "op4_minhash_near_dedup": minhash.query,
     "op5_decontamination": decontaminate.query,
     "op6_media_columns": media.query,
