@@ -131,8 +131,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.
         if n > _STEP:
             skipped = np.maximum(at - starts[lo:hi], 0)
             far = np.flatnonzero(skipped)
-            for k in far:
-                here[k] *= U64(pow(_BASE, int(skipped[k]), 1 << 64))
+            here[far] *= np.array([pow(_BASE, int(k), 1 << 64) for k in skipped[far]], U64)
         sums[lo:hi] += here
     hashes = mix(sums ^ (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
     return starts, ends, hashes, word_offsets

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +18,11 @@ from cleave.session import cut
 #: Words of a shingle; links need 100 * intersection >= SIMILAR * union.
 WORDS, SIMILAR = 5, 85
 #: Coordinates of a sketch; the first BANDS * ROWS of them are the bands. A link is missed with (1 - 0.85**5)**28 < 1e-7.
-COORDINATES, BANDS, ROWS = 256, 28, 5
-#: Share of equal coordinates below which a candidate isn't verified: 0.145 under the limit, a chance below 1e-7 at 256.
-LIKELY = 0.705
-#: Members of a bucket that are compared in one block.
-BLOCK = 2000
+COORDINATES, BANDS, ROWS = 160, 28, 5
+#: Share of equal coordinates below which a candidate isn't verified: 0.185 under the limit, a chance below 1e-7 at 160.
+LIKELY = 0.665
+#: Members of a bucket, and shingles of them, that are compared in one block.
+BLOCK, BLOCK_SHINGLES = 1000, 1_500_000
 _C = mix(np.arange(1, WORDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
@@ -118,61 +119,116 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(n, pa.int64()), _binary(digest, some), _binary(drawn, some)], names=["doc_id", "text_key", "n_shingles", "digest", "sketch"])
 
 
-def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+PACKED = "doc_id bigint, text_key bigint, packed binary"
+
+
+def _pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the way through shuffles."""
+    pack = zstandard.ZstdCompressor(level=1).compress
     for b in batches:
-        raw_a, off_a = text_buffer(b.column(2))
-        raw_b, off_b = text_buffer(b.column(3))
-        linked = np.zeros(b.num_rows, bool)
-        last, theirs = None, None
-        for i, j in blocks(off_a):
-            sets, at = shingles(raw_a[off_a[i] : off_a[j]], off_a[i : j + 1] - off_a[i])
-            for k in range(i, j):
-                text = raw_b[off_b[k] : off_b[k + 1]]
-                if last is None or len(text) != len(last) or not np.array_equal(text, last):  # rows come sorted by b
-                    last, theirs = text, shingles(text, np.array([0, len(text)]))[0]
-                ours = sets[at[k - i] : at[k - i + 1]]
-                both = len(np.intersect1d(ours, theirs, assume_unique=True))
-                linked[k] = 100 * both >= SIMILAR * (len(ours) + len(theirs) - both) > 0
-        keep = pa.array(linked)
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["u", "v"])
+        raw, offsets = text_buffer(b.column(2))
+        for i, j in blocks(offsets, 8 << 20):
+            packed = [pack(raw[p:q].tobytes()) for p, q in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(packed, pa.binary())], names=["doc_id", "text_key", "packed"])
 
 
-def _compare(band: int, me: np.ndarray, you: np.ndarray | None, nid: tuple, n: tuple, comp: tuple, every: bool) -> list[tuple[int, int, int]]:
-    """Candidates (nid, nid, equal coordinates) of one block: all, or each member's best."""
-    out = []
-    other = me if you is None else you
-    (na, nb), (sa, sb), (ca, cb) = nid, n, comp
-    step = max(1, (1 << 22) // max(1, other.size))
-    for i in range(0, len(me), step):
-        j = min(i + step, len(me))
-        same = (me[i:j, None, :] == other[None, :, :]).sum(axis=2, dtype=np.int32)
-        ok = (same >= LIKELY * COORDINATES) & (ca[i:j, None] != cb[None, :])
-        ok &= 100 * np.minimum(sa[i:j, None], sb[None, :]) >= SIMILAR * np.maximum(sa[i:j, None], sb[None, :])
-        if you is None:
-            ok &= na[i:j, None] > nb[None, :] if every else na[i:j, None] != nb[None, :]
-        if not ok.any():
-            continue
-        if every:
-            x, y = np.nonzero(ok)
-            earlier = np.zeros(len(x), bool)  # a pair counts in the first band that it shares
-            for k in range(band):
-                earlier |= (me[i + x, k * ROWS : (k + 1) * ROWS] == other[y, k * ROWS : (k + 1) * ROWS]).all(axis=1)
-            x, y = x[~earlier], y[~earlier]
-        else:
-            same = np.where(ok, same, -1)
-            x = np.flatnonzero(ok.any(axis=1))
-            y = same[x].argmax(axis=1)
-        out += zip(na[i + x].tolist(), nb[y].tolist(), same[x, y].tolist(), strict=True)
-        if not every and you is not None:
-            y = np.flatnonzero(ok.any(axis=0))
-            x = same[:, y].argmax(axis=0)
-            out += zip(nb[y].tolist(), na[i + x].tolist(), same[x, y].tolist(), strict=True)
-    return out
+def _unpacked(packed: pa.Array) -> Iterator[np.ndarray]:
+    """The shingle set of each packed text; equal neighbours are unpacked once."""
+    unpack, last, found = zstandard.ZstdDecompressor().decompress, None, None
+    for x in packed:
+        x = x.as_py()
+        if x != last:
+            raw = np.frombuffer(unpack(x), np.uint8)
+            last, found = x, shingles(raw, np.array([0, len(raw)]))[0]
+        yield found
+
+
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= SIMILAR * (len(a) + len(b) - both) > 0
+
 
+def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs with their texts, those that are similar. Rows come sorted by the second one."""
+    for b in batches:
+        keep = pa.array([_similar(x, y) for x, y in zip(_unpacked(b.column(2)), _unpacked(b.column(3)), strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["u", "v"])
 
-def _candidates(every: bool):
-    """Over rows sorted by (key, lo, hi, side): candidates of each block."""
-    names = ["key", "lo", "hi", "side", "band", "nid", "n", "comp", "sketch"]
+
+class Side(NamedTuple):
+    """Members of a block: ids, set sizes, components, sketches."""
+
+    nid: np.ndarray
+    n: np.ndarray
+    comp: np.ndarray
+    sketch: np.ndarray
+
+
+def _likely(mine: Side, theirs: Side | None, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (x, y) of likely pairs of different components whose first shared band is this one; all pairs of one side or across two."""
+    other, xs, ys = theirs or mine, [], []
+    step = max(1, (1 << 22) // max(1, other.sketch.size))
+    for i in range(0, len(mine.nid), step):
+        j = min(i + step, len(mine.nid))
+        ok = (mine.sketch[i:j, None, :] == other.sketch[None, :, :]).sum(axis=2, dtype=np.int32) >= LIKELY * COORDINATES
+        ok &= mine.comp[i:j, None] != other.comp[None, :]
+        ok &= 100 * np.minimum(mine.n[i:j, None], other.n[None, :]) >= SIMILAR * np.maximum(mine.n[i:j, None], other.n[None, :])
+        if theirs is None:
+            ok &= np.arange(i, j)[:, None] > np.arange(len(other.nid))[None, :]
+        x, y = np.nonzero(ok)
+        earlier = np.zeros(len(x), bool)
+        for k in range(band if len(x) else 0):
+            earlier |= (mine.sketch[i + x, k * ROWS : (k + 1) * ROWS] == other.sketch[y, k * ROWS : (k + 1) * ROWS]).all(axis=1)
+        xs.append(i + x[~earlier])
+        ys.append(y[~earlier])
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def _confirmed(x: np.ndarray, y: np.ndarray, mine: list[np.ndarray], theirs: list[np.ndarray]) -> np.ndarray:
+    """Which of the pairs of sets (mine[x], theirs[y]) are similar: one by one if few, else by bits of the shingles that several sets share."""
+    if len(x) <= 2000:
+        return np.array([_similar(mine[i], theirs[j]) for i, j in zip(x, y, strict=True)], bool)
+    sets = mine if mine is theirs else [*mine, *theirs]
+    words_, times = np.unique(np.concatenate(sets), return_counts=True)
+    words_ = words_[times > 1]
+    at = y if mine is theirs else y + len(mine)
+    both = np.zeros(len(x), np.int64)
+    for lo in range(0, len(words_), 1 << 14):
+        part = words_[lo : lo + (1 << 14)]
+        bits = np.zeros((len(sets), -(-len(part) // 64) * 64), bool)
+        for k, one in enumerate(sets):
+            inside = one[np.searchsorted(one, part[0]) : np.searchsorted(one, part[-1], "right")]
+            spot = np.searchsorted(part, inside)
+            bits[k, spot[part[spot] == inside]] = True
+        packed = np.packbits(bits, axis=1).view(np.uint64)
+        for i in range(0, len(x), 20_000):
+            both[i : i + 20_000] += np.bitwise_count(packed[x[i : i + 20_000]] & packed[at[i : i + 20_000]]).sum(axis=1, dtype=np.int64)
+    sizes = np.array([len(s) for s in sets])
+    return 100 * both >= SIMILAR * (sizes[x] + sizes[at] - both)
+
+
+def _forest(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links that join what the ones before have not joined."""
+    parent: dict[int, int] = {}
+
+    def root(a: int) -> int:
+        while (p := parent.setdefault(a, a)) != a:
+            parent[a] = parent[p]
+            a = p
+        return a
+
+    for a, b in zip(x.tolist(), y.tolist(), strict=True):
+        ra, rb = root(a), root(b)
+        if ra != rb:
+            parent[max(ra, rb)] = min(ra, rb)
+            yield a, b
+
+
+BLOCKED = ["key", "lo", "hi", "side", "band", "nid", "n", "comp", "sketch"]
+
+
+def _over_blocks(exact: bool):
+    """Over rows sorted by (key, lo, hi, side): members (key, nid) of likely pairs; or, of rows with texts, links (u, v) that join all similar pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -180,22 +236,37 @@ def _candidates(every: bool):
             t = held if b is None else pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
             if t is None or not t.num_rows:
                 continue
-            c = {k: t.column(k).to_numpy() for k in names[:-1]}
-            rows = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, COORDINATES)
+            c = {k: t.column(k).to_numpy() for k in BLOCKED[:-1]}
+            sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, COORDINATES)
             new = np.flatnonzero((np.diff(c["key"]) != 0) | (np.diff(c["lo"]) != 0) | (np.diff(c["hi"]) != 0)) + 1
             edges = [0, *new.tolist(), t.num_rows]
             if b is not None:
                 held, edges = t.slice(edges[-2]), edges[:-1]  # the last block may go on
-            out = []
+            first, second = [], []
             for i, j in zip(edges, edges[1:], strict=False):
-                if j - i < 2:
+                split = i + int(np.searchsorted(c["side"][i:j], 1)) if c["lo"][i] != c["hi"][i] else j
+                if j - i < 2 or c["lo"][i] != c["hi"][i] and split in (i, j):
+                    continue
+                own, far = slice(i, split), slice(split, j)
+                side = lambda at: Side(c["nid"][at], c["n"][at], c["comp"][at], sketches[at])  # noqa: E731, B023
+                mine, theirs = side(own), side(far) if split < j else None
+                x, y = _likely(mine, theirs, int(c["band"][i]))
+                if not len(x):
                     continue
-                half = i + int(np.searchsorted(c["side"][i:j], 1)) if c["lo"][i] != c["hi"][i] else j
-                mine, theirs = slice(i, half), slice(half, j) if half < j else slice(i, j)
-                out += _compare(int(c["band"][i]), rows[mine], rows[theirs] if half < j else None, *[(c[k][mine], c[k][theirs]) for k in ("nid", "n", "comp")], every) if c["lo"][i] == c["hi"][i] or i < half < j else []
-            if out:
-                a, v, s = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int32())], names=["u", "v", "same"])
+                other = theirs or mine
+                if exact:
+                    sets = list(_unpacked(t.column("packed").combine_chunks().slice(i, j - i)))
+                    left = sets[: split - i]
+                    yes = _confirmed(x, y, left, sets[split - i :] if theirs else left)
+                    for u, v in _forest(mine.nid[x[yes]], other.nid[y[yes]]):
+                        first.append(u)
+                        second.append(v)
+                else:
+                    some = np.unique(np.concatenate([mine.nid[x], other.nid[y]]))
+                    first += [c["key"][i]] * len(some)
+                    second += some.tolist()
+            if first:
+                yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["u", "v"] if exact else ["key", "nid"])
 
     return run
 
@@ -212,10 +283,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
        node, so copies are never paired.
     2. Bands of sketches make buckets. Each node is paired with one node only: the least of a bucket, from the buckets that
        agree most. Pairs are verified on full sets; links make components.
-    3. Buckets that still hold several components are compared inside tasks, in blocks of bounded size, on sketches: first
-       each member's best partner in another component is verified, then every likely pair that still crosses components.
-    So a large group of copies costs links in proportion to its size, and no pair of likely partners in different
-    components stays unverified.
+    3. Buckets that still hold several components are compared inside tasks, in blocks of bounded size, on sketches: this leaves the
+       members that have a likely partner in another component. These come again with their texts, and every likely pair that
+       crosses components is verified on full sets inside its block, which returns only links that join something.
+    So a large group of copies costs links in proportion to its size, and no likely pair that would join two components
+    stays unverified.
 
     Null or wordless texts have an empty set and are linked with nothing. Repeated rows and ids: rows are nodes by text, and a
     component takes the least id among its rows; null ids are passed over (a component of null ids only has a null one, and its
@@ -228,19 +300,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     width = 2 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 1 + k * width, width)) for k in range(BANDS)])
-    bands = nodes.select("nid", F.posexplode(keys).alias("band", "key"))
+    bands = nodes.select("nid", "n", F.posexplode(keys).alias("band", "key"))
     shared = bands.groupBy("key").agg(F.min("nid").alias("first"), F.count("*").alias("members")).where("members > 1")
-    members = cut(bands.join(shared, "key").select("key", "band", "nid", "first"))
+    members = cut(bands.join(shared, "key").select("key", "band", "nid", "n", "first"))
 
     agree = members.where("nid <> first").groupBy("nid", "first").agg(F.count("*").alias("bands"))
     star = agree.groupBy("nid").agg(F.max(F.struct("bands", (-F.col("first")).alias("back"))).alias("b")).select(F.col("nid").alias("u"), (-F.col("b.back")).alias("v"))
-    links = cut(_verified(docs, nodes, star))
-    stars = star_edges(links)
-    for every in (False, True):
-        found = _crossing(nodes, members, stars, every)
-        if found.isEmpty():
-            break
-        stars = star_edges(stars.unionByName(_verified(docs, nodes, found)))
+    stars = star_edges(_verified(docs, nodes, star))
+    marked = cut(_blocks_of(nodes, members, stars).mapInArrow(_over_blocks(exact=False), "key bigint, nid bigint"))
+    if not marked.isEmpty():
+        left = members.join(marked.distinct(), ["key", "nid"], "left_semi")
+        texts = _texts(docs, nodes, left.select("nid").distinct())
+        links = _blocks_of(nodes, left, stars, texts).mapInArrow(_over_blocks(exact=True), "u bigint, v bigint")
+        stars = star_edges(stars.unionByName(links))
 
     by_root = nodes.select("nid", "least").join(stars, F.col("nid") == F.col("u"), "left").select("nid", "least", F.coalesce("v", "nid").alias("root"))
     linked = stars.select(F.col("u").alias("nid"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("nid"), F.col("v").alias("root")).distinct())
@@ -252,32 +324,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
 
 
+def _texts(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(nid, packed): the packed text of each asked node."""
+    wanted = asked.join(nodes.select("nid", "rep"), "nid").select("nid", "rep.doc_id", "rep.text_key")
+    packed = docs.mapInArrow(_pack_batches, PACKED)
+    same = F.col("a.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("a.text_key") == F.col("d.text_key"))
+    return packed.alias("d").join(wanted.alias("a"), same).select("nid", "packed").groupBy("nid").agg(F.first("packed").alias("packed"))
+
+
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the node pairs (u, v) that the full sets confirm."""
-    slim = nodes.select("nid", "rep", "n")
-    sized = pairs.join(slim.select(F.col("nid").alias("u"), F.col("n").alias("nu")), "u").join(slim.select(F.col("nid").alias("v"), F.col("n").alias("nv")), "v")
+    size = lambda end: nodes.select(F.col("nid").alias(end), F.col("n").alias(f"n{end}"))
+    sized = pairs.join(size("u"), "u").join(size("v"), "v")
     pairs = cut(sized.where(100 * F.least("nu", "nv") >= SIMILAR * F.greatest("nu", "nv")).select("u", "v"))
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("nid")).distinct().join(slim, "nid").select("nid", "rep.doc_id", "rep.text_key")
-    same = F.col("a.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("a.text_key") == F.col("d.text_key"))
-    texts = docs.alias("d").join(asked.alias("a"), same).select("nid", "text").groupBy("nid").agg(F.first("text").alias("text"))
-    left, right = texts.select(F.col("nid").alias("u"), F.col("text").alias("text_u")), texts.select(F.col("nid").alias("v"), F.col("text").alias("text_v"))
+    texts = _texts(docs, nodes, pairs.select(F.explode(F.array("u", "v")).alias("nid")).distinct())
+    left, right = texts.select(F.col("nid").alias("u"), F.col("packed").alias("text_u")), texts.select(F.col("nid").alias("v"), F.col("packed").alias("text_v"))
     return pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v").mapInArrow(_verify_batches, "u bigint, v bigint")
 
 
-def _crossing(nodes: DataFrame, members: DataFrame, stars: DataFrame, every: bool) -> DataFrame:
-    """Likely pairs (u, v) of different components that share a bucket: all, or each member's best."""
-    placed = members.join(stars.select(F.col("u").alias("nid"), F.col("v").alias("root")), "nid", "left").select("key", "band", "nid", F.coalesce("root", "nid").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("parts"))
-    held = placed.join(mixed, "key").withColumn("mine", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
-    dealt = held.select("key", "band", "nid", "comp", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
-    dealt = dealt.select("key", F.least("mine", "with").alias("lo"), F.greatest("mine", "with").alias("hi"), (F.col("mine") > F.col("with")).cast("int").alias("side"), "band", "nid", "comp")
-    dealt = dealt.join(nodes.select("nid", "n", "sketch"), "nid").select("key", "lo", "hi", "side", "band", "nid", "n", "comp", "sketch")
-    grouped = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "nid")
-    found = grouped.mapInArrow(_candidates(every), "u bigint, v bigint, same int")
-    if not every:
-        found = found.groupBy("u").agg(F.max(F.struct("same", (-F.col("v")).alias("back"))).alias("b")).select("u", (-F.col("b.back")).alias("v"))
-        found = found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    return cut(found.select("u", "v"))
+def _blocks_of(nodes: DataFrame, members: DataFrame, stars: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Members of buckets with several components, dealt in blocks: a bucket in one, a large one in one block for each two of its parts."""
+    root = stars.select(F.col("u").alias("nid"), F.col("v").alias("root"))
+    placed = members.join(root, "nid", "left").select("key", "band", "nid", "n", F.coalesce("root", "nid").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("members"), F.sum("n").alias("shingles")).where("least <> most")
+    parts = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    held = placed.join(mixed.select("key", parts.alias("parts")), "key").withColumn("mine", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
+    dealt = held.select("key", "band", "nid", "n", "comp", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+    dealt = dealt.select("key", F.least("mine", "with").alias("lo"), F.greatest("mine", "with").alias("hi"), (F.col("mine") > F.col("with")).cast("int").alias("side"), "band", "nid", "n", "comp")
+    dealt = dealt.join(nodes.select("nid", "sketch"), "nid").select(*BLOCKED) if texts is None else dealt.join(nodes.select("nid", "sketch"), "nid").join(texts, "nid").select(*BLOCKED, "packed")
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "nid")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
