@@ -1,0 +1 @@
+"""No streaming operator: a signed graph is one bounded batch, and the solver's steps each need all of it."""
