@@ -40,9 +40,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the shared checkpoint folder; survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df`, computed once and kept in the shared checkpoint folder; survives lost executors.
+
+    The planner's size estimate starts anew: it multiplies at each join, and in a loop of joins would grow without bound.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def shared_folder(spark: SparkSession) -> str:
