@@ -184,7 +184,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """doc_id, held_out, lang_pred, score: the language whose sample parses each whole text into the fewest normalised phrases.
 
     A phrase is the longest match of what follows in the language's suffix automaton; phrases count as log2 of the sample's
-    size in bits. Letters count in lower case, everything else as single spaces. score: the second language's bits over those
+    size in bits. Letters count in lower case, everything else as single spaces (none at the start). score: the second language's bits over those
     of the best two, so 0.5 where they tie.
 
     Null texts and texts without a letter: `und` with score 0; so is every text if the model has no language. Repeated rows and null ids
