@@ -21,6 +21,8 @@ MOST_REPEATS = 3
 SEED = 17
 #: Budgets up to this many words are filled by the exact knapsack.
 KNAPSACK = 16_384
+#: Documents that are given back before the knapsack, so that it has sums to choose from.
+FREED = 12
 #: Documents of one source and length are numbered in cells of about this many.
 CELL = 128
 #: Sources that the driver weighs, at most: their names and sums are all it gathers.
@@ -74,9 +76,9 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.n
     """How many documents of each length to take once (more) so that their words come to `budget` or just below.
 
     Every length first gives its share, rounded up or down by a seeded draw, so long and short documents are taken alike.
-    Draws beyond the budget are given back in a seeded order, then whole documents are added in that order while they fit
-    and the rest is more than the knapsack's bound, and the knapsack fills what is left exactly. If it can't, a few
-    documents are given back to make room, and it tries again.
+    Draws beyond the budget are given back in a seeded order, and whole documents are added while the rest is more than the
+    knapsack's bound. Then FREED documents are given back to make room, and the knapsack fills what is left from all
+    documents that are free.
     """
     total = int((lengths * counts).sum())
     if budget >= total or not total:
@@ -98,16 +100,14 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.n
         more = min(int(counts[i] - take[i]), rest // int(lengths[i])) if lengths[i] else 0
         take[i] += more
         rest -= more * int(lengths[i])
-    for k in range(4):
-        if 0 < rest <= KNAPSACK:
-            more = knapsack(lengths, counts - take, rest)
-            take += more
-            rest -= int((lengths * more).sum())
-        room = [i for i in order[k:] if take[i] and 0 < lengths[i] + rest <= KNAPSACK]
-        if not rest or not room or k == 3:
-            break
-        take[room[0]] -= 1
-        rest += int(lengths[room[0]])
+    freed = 0
+    for i in order:
+        if take[i] and lengths[i] and rest + lengths[i] <= KNAPSACK and freed < FREED:
+            take[i] -= 1
+            rest += int(lengths[i])
+            freed += 1
+    if 0 < rest <= KNAPSACK:
+        take += knapsack(lengths, counts - take, rest)
     return take
 
 
