@@ -43,7 +43,9 @@ OUTSIDE_WORDS = frozenset(
     " foot header masthead comment comments commentlist respond reply replies disqus discussion cookie cookies consent gdpr notice notices"
     " notification notifications alert popup modal overlay lightbox newsletter subscribe subscription signup signin login register"
     " share sharing social related recommended recommendations trending popular teaser teasers widget widgets pagination pager paging"
-    " search searchbox form forms skip copyright legal hidden".split()
+    " search searchbox form forms skip copyright legal hidden response responses feedback guestbook adbox adslot adunit adblock adwrapper"
+    " adcontainer topnav subnav sidenav sitenav mainnav navmenu mainmenu megamenu submenu siteheader pageheader sitefooter pagefooter colophon"
+    " warning disclaimer".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption caption address summary".split())
@@ -67,41 +69,61 @@ class Leaf:
         self.path, self.node, self.block, self.text, self.linked = path, node, block, text, linked
 
 
-def _outside(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element of this tag is not part of a page's text."""
+#: What an element's own marks say: part of the text, not part of it by a name, not part of it for sure.
+INSIDE, NAMED, OUTSIDE = 0, 1, 2
+
+
+def _mark(tag: str, attributes: str, in_article: bool) -> int:
     if tag in OUTSIDE_TAGS or tag == "header" and not in_article:
-        return True
+        return OUTSIDE
     if not attributes.strip():
-        return False
+        return INSIDE
     if re.search(r"(?:^|\s)hidden(?:[\s=/]|$)", attributes):
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
+        return OUTSIDE
+    mark = INSIDE
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
-        if name in ("class", "id") and any(w.lower() in OUTSIDE_WORDS for w in WORD.findall(value)):
-            return True
         if name == "role" and value.strip().lower() in OUTSIDE_ROLES or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return OUTSIDE
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return OUTSIDE
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(w.lower() in OUTSIDE_WORDS for w in WORD.findall(value)):
+            mark = NAMED
+    return mark
 
 
 class Page:
     """The text leaves of a page with their tag paths; the tree is lists of parents, so its depth costs nothing."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.outside, self.node_path = ["#"], [0], [False], [0]
+        self.tags, self.parents, self.marks, self.node_path = ["#"], [0], [INSIDE], [0]
         self.in_article, self.in_link, self.heading = [False], [False], [False]
         self.paths: dict[tuple[int, str], int] = {}
         self.path_tag, self.path_parent = ["#"], [0]
         self.leaves: list[Leaf] = []
         self.block = 0
         self._read(source)
+        outside = self._outside()
+        self.leaves = [x for x in self.leaves if not outside[x.node]]
+
+    def _outside(self) -> list[bool]:
+        """Whether each element is, or lies in, one that is not part of the text. A name doesn't count on an element that holds
+        half of the page's text and its main heading or article: there it tells of the layout."""
+        n = len(self.tags)
+        size, main = [0] * n, [t in ("h1", "article", "main") for t in self.tags]
+        for x in self.leaves:
+            size[x.node] += len(x.text)
+        for k in range(n - 1, 0, -1):
+            size[self.parents[k]] += size[k]
+            main[self.parents[k]] |= main[k]
+        out = [False] * n
+        for k in range(1, n):
+            named = self.marks[k] == NAMED and not (main[k] and 2 * size[k] >= size[0])
+            out[k] = out[self.parents[k]] or named or self.marks[k] == OUTSIDE
+        return out
 
     def _text(self, node: int, raw: str) -> None:
-        if raw and not self.outside[node]:
+        if raw:
             self.leaves.append(Leaf(self.node_path[node], node, self.block, html.unescape(raw) if "&" in raw else raw, self.in_link[node]))
 
     def _open(self, parent: int, tag: str, attributes: str) -> int:
@@ -115,8 +137,7 @@ class Page:
         self.parents.append(parent)
         self.node_path.append(path)
         inside = self.in_article[parent]
-        out = self.outside[parent] or _outside(tag, attributes, inside)
-        self.outside.append(out)
+        self.marks.append(_mark(tag, attributes, inside))
         self.in_article.append(inside or tag in ("article", "main"))
         self.in_link.append(self.in_link[parent] or tag == "a")
         self.heading.append(self.heading[parent] or tag in HEADINGS)

@@ -191,6 +191,13 @@ def test_html_parts(tag):
     assert html_text.main_text(PAGE % (tag, tag)) == WANT
 
 
+def test_html_names_of_the_layout():
+    body = "<h1>Title of it</h1><p>Words, and more words.</p><div class='sidebar'>no</div>"
+    assert html_text.main_text(f"<div class='page has-sidebar'>{body}</div><div class='sidebar'>no, never.</div>") == "Title of it\n\nWords, and more words."
+    assert html_text.main_text(f"<div class='x1'><a href=/>Home</a></div><div class='x2'>{body}</div><div class='x3'>Someone 2020</div>") == "Title of it\n\nWords, and more words."
+    assert html_text.main_text("<article><h1>A b</h1><p>Few words.</p></article><div id='feedback'><p>Many, many words of readers, here.</p></div>") == "A b\n\nFew words."
+
+
 def test_html_edges(spark):
     assert html_text.main_text("&lt;b&gt; &#233;&nbsp;x &am") == "<b> é x &am"
     assert html_text.main_text("<p>a<p>b</p>c") == "a\n\nb\n\nc"
