@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from cleave.options import from_arguments
 from cleave.plans.solver import solve
 from cleave.session import session
@@ -10,6 +12,8 @@ from cleave.sources.text import read_edges, write_clusters
 
 def main(argv: list[str] | None = None) -> int:
     options = from_arguments(argv)
+    logging.basicConfig(level=logging.INFO, format="%(message)s")
+    logging.getLogger("py4j").setLevel(logging.WARNING)
     spark = session()
     found = solve(read_edges(spark, options.input_file), options)
     if found.objective is not None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from dataclasses import dataclass, field
 
@@ -17,6 +18,8 @@ from cleave.options import Options
 from cleave.plans import local
 from cleave.session import cut
 
+LOG = logging.getLogger("cleave")
+
 
 @dataclass
 class Result:
@@ -57,6 +60,7 @@ def solve(edges: DataFrame, options: Options | None = None) -> Result:
     state = _Solve(spark, options, metrics, began, n)
     with metrics.stage("dual bound"):
         work, bound = state.dual(work, options.max_cycle_length_lb, options.num_dual_itr_lb, options.num_outer_itr_dual, options.tri_memory_factor)
+    state.tell("lower bound %s", bound)
     labels = objective = timeline = None
     if not options.only_compute_lb:
         labels, timeline = state.primal(work)
@@ -105,6 +109,10 @@ class _Solve:
         edges, bound = dual.solve(edges, longest, steps, outer, budget=factor if self.options.triangle_budget else None)
         return cut(edges), bound
 
+    def tell(self, what: str, *values) -> None:
+        if self.options.verbose:
+            LOG.info(what, *values)
+
     def late(self) -> bool:
         return self.options.max_time_sec >= 0 and int(time.monotonic() - self.began) > self.options.max_time_sec
 
@@ -127,6 +135,7 @@ class _Solve:
                     by_matching = count >= rows * o.matching_thresh_crossover_ratio
                 else:
                     mapping, count = forest.contraction_map(nodes, edges)
+            self.tell("iteration %d: %d to contract", self.iterations, count)
             if not count:
                 break
             mapping = cut(mapping)
@@ -157,6 +166,7 @@ class _Solve:
                 by_matching = count >= (int(graph[0].max()) + 1) * o.matching_thresh_crossover_ratio
             else:
                 label, count = local.conflict_free_forest(n, graph)
+            self.tell("iteration %d: %d to contract of %d edges", self.iterations, count, len(graph[0]))
             if not count:
                 break
             label = local.ranks(label)
