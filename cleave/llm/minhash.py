@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cleave.llm.common import NON_SPACE, U64, blocks, mix, pick, text_buffer, words
 from cleave.operators.components import star_edges
-from cleave.session import cut
+from cleave.session import cut, release
 
 #: Words of a shingle; links need 100 * intersection >= SIMILAR * union.
 WORDS, SIMILAR = 5, 85
@@ -306,13 +306,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     agree = members.where("nid <> first").groupBy("nid", "first").agg(F.count("*").alias("bands"))
     star = agree.groupBy("nid").agg(F.max(F.struct("bands", (-F.col("first")).alias("back"))).alias("b")).select(F.col("nid").alias("u"), (-F.col("b.back")).alias("v"))
-    stars = star_edges(_verified(docs, nodes, star))
+    release(df.sparkSession)
+    stars = star_edges(cut(_verified(docs, nodes, star)))
+    release(df.sparkSession)
     marked = cut(_blocks_of(nodes, members, stars).mapInArrow(_over_blocks(exact=False), "key bigint, nid bigint"))
     if not marked.isEmpty():
         left = members.join(marked.distinct(), ["key", "nid"], "left_semi")
         texts = _texts(docs, nodes, left.select("nid").distinct())
-        links = _blocks_of(nodes, left, stars, texts).mapInArrow(_over_blocks(exact=True), "u bigint, v bigint")
-        stars = star_edges(stars.unionByName(links))
+        links = cut(_blocks_of(nodes, left, stars, texts).mapInArrow(_over_blocks(exact=True), "u bigint, v bigint"))
+        if not links.isEmpty():
+            stars = star_edges(stars.unionByName(links))
+    release(df.sparkSession)
 
     by_root = nodes.select("nid", "least").join(stars, F.col("nid") == F.col("u"), "left").select("nid", "least", F.coalesce("v", "nid").alias("root"))
     linked = stars.select(F.col("u").alias("nid"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("nid"), F.col("v").alias("root")).distinct())

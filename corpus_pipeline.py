@@ -1,7 +1,7 @@
 """The corpus pipeline: quality, near duplicates, benchmark decontamination, source mixing, shards.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `docs`. `run` writes
-each stage's rows to the shared checkpoint folder and reads them as the next one's documents.
+each stage's rows to the shared checkpoint folder, reads them as the next one's documents, and then drops them.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cleave.llm import decontaminate, minhash, mixing, quality, sharding
 from cleave.llm.common import fresh, pick
-from cleave.session import shared_folder
+from cleave.session import release, remove, shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +72,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
-        docs = spark.read.parquet(f"{folder}/{k}_{name}")
+        path = f"{folder}/{k}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:  # what the stage read is no longer needed
+            remove(spark, before)
+        before = path
+        release(spark)
     return docs
