@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cleave.functions.expressions import SCHEDULE, edge_bound, min_marginal, triangle_bound
 from cleave.operators.edges import trivial_bound
-from cleave.operators.triangles import conflicted, sides, strongest
+from cleave.operators.triangles import conflicted, sides
 from cleave.session import cut
 
 LEAST_GAIN = 1e-3
@@ -86,10 +86,8 @@ def update(edges: DataFrame, longest: int, steps: int, ratio: float = 1e-4, budg
     Up to `steps` iterations; stops once one gains less than 1e-3. budget: at most this many triangles a repulsive edge, the
     strongest ones; None keeps all.
     """
-    found = conflicted(edges, longest, ratio)
-    if budget is not None:
-        found = strongest(found, edges, int(budget * edges.where("cost < 0").count())).select("a", "b", "c")
-    triangles = cut(found)
+    most = None if budget is None else int(budget * edges.where("cost < 0").count())
+    triangles = cut(conflicted(edges, longest, ratio, most))
     n = triangles.count()
     if not n:
         return edges, trivial_bound(edges).first()["bound"], 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cleave.functions.expressions import sorted_corners
 from cleave.operators.edges import split_with_tolerance
+from cleave.session import cut
 
 
 def normalize(triples: DataFrame) -> DataFrame:
@@ -44,8 +45,11 @@ def five_cycles(sym: DataFrame, rep: DataFrame) -> DataFrame:
     return normalize(_triples(paths, ("i", "j", "n"), ("j", "n", "m"), ("j", "m", "q")))
 
 
-def conflicted(edges: DataFrame, longest: int, ratio: float = 1e-4) -> DataFrame:
-    """Triangles of conflicted cycles of 3 to `longest` (at most 5) edges. Costs within ratio of the least one count as neither sign."""
+def conflicted(edges: DataFrame, longest: int, ratio: float = 1e-4, budget: int | None = None) -> DataFrame:
+    """Triangles of conflicted cycles of 3 to `longest` (at most 5) edges. Costs within ratio of the least one count as neither sign.
+
+    With a budget, longer cycles are searched only while the shorter ones leave some of it, and the strongest triangles fill it.
+    """
     if longest > 5:
         raise ValueError("cycles of more than 5 edges are not searched")
     none = edges.sparkSession.createDataFrame([], "a bigint, b bigint, c bigint")
@@ -54,11 +58,18 @@ def conflicted(edges: DataFrame, longest: int, ratio: float = 1e-4) -> DataFrame
     sym, rep = split_with_tolerance(edges.select("i", "j", "cost"), ratio)
     sym = sym.select("src", "dst")
     found = three_cycles(sym, rep)
-    if longest >= 4:
-        found = found.unionByName(four_cycles(sym, rep))
-    if longest >= 5:
-        found = found.unionByName(five_cycles(sym, rep))
-    return found.distinct() if longest > 3 else found
+    for length, more in ((4, four_cycles), (5, five_cycles)):
+        if longest < length:
+            break
+        if budget is not None:
+            found = cut(found)
+            if found.count() >= budget:
+                break
+        found = found.unionByName(more(sym, rep)).distinct()
+    if budget is None:
+        return found
+    found = cut(found)
+    return found if found.count() <= budget else strongest(found, edges, budget).select("a", "b", "c")
 
 
 def sides(triangles: DataFrame, *keep: str) -> DataFrame:

@@ -11,6 +11,8 @@ class Options:
     """Settings of `cleave.plans.solver.solve`.
 
     local_edges: from this many edges down, the rest of a solve runs in one process (0: always as DataFrames).
+    triangle_budget: keep at most tri_memory_factor triangles for each repulsive edge, the strongest; else all. Chords of long cycles
+    make the graph denser with every dual pass, so repeated passes need it.
     """
 
     input_file: str = ""
@@ -28,7 +30,7 @@ class Options:
     dump_timeline: bool = False
     verbose: bool = True
     sanitize_graph: bool = False
-    triangle_budget: bool = False
+    triangle_budget: bool = True
     local_edges: int = 200_000
 
     def __post_init__(self) -> None:

@@ -92,7 +92,7 @@ class _Solve:
         self.iterations = 0
 
     def small(self, edges: DataFrame) -> bool:
-        return not self.options.triangle_budget and self.options.local_edges > 0 and edges.limit(self.options.local_edges + 1).count() <= self.options.local_edges
+        return self.options.local_edges > 0 and edges.limit(self.options.local_edges + 1).count() <= self.options.local_edges
 
     def arrays(self, edges: DataFrame) -> local.Graph:
         found = edges.select("i", "j", "cost").toPandas()  # local_edges rows at most
@@ -103,10 +103,11 @@ class _Solve:
         return self.spark.createDataFrame(found, "i bigint, j bigint, cost double")
 
     def dual(self, edges: DataFrame, longest: int, steps: int, outer: int, factor: float) -> tuple[DataFrame, float]:
+        budget = factor if self.options.triangle_budget else None
         if self.small(edges):
-            graph, bound = local.dual(self.arrays(edges), longest, steps, outer)
+            graph, bound = local.dual(self.arrays(edges), longest, steps, outer, budget=budget)
             return self.frame(graph), bound
-        edges, bound = dual.solve(edges, longest, steps, outer, budget=factor if self.options.triangle_budget else None)
+        edges, bound = dual.solve(edges, longest, steps, outer, budget=budget)
         return cut(edges), bound
 
     def tell(self, what: str, *values) -> None:
@@ -160,7 +161,7 @@ class _Solve:
         steps: list[np.ndarray] = []
         while len(graph[0]):
             if not first:
-                graph, _ = local.dual(graph, o.max_cycle_length_primal, o.num_dual_itr_primal, 1)
+                graph, _ = local.dual(graph, o.max_cycle_length_primal, o.num_dual_itr_primal, 1, budget=1.0 if o.triangle_budget else None)
             if by_matching:
                 label, count = local.match(n, graph, o.mean_multiplier_mm)
                 by_matching = count >= (int(graph[0].max()) + 1) * o.matching_thresh_crossover_ratio

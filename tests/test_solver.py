@@ -66,6 +66,8 @@ def test_steps_agree_on_random_graphs(spark):
         arrays = local.summed(*(np.array(x) for x in zip(*edges, strict=True)))
         for longest in (3, 4, 5):
             assert rows(triangles.conflicted(g, longest)) == [tuple(t) for t in local.triangles(arrays, longest).tolist()]
+        for most in (3, 12, 40):
+            assert rows(triangles.conflicted(g, 5, budget=most)) == [tuple(t) for t in local.triangles(arrays, 5, budget=most).tolist()]
         (_, _, cost), bound, n = local.dual_update(arrays, 4, 4)
         new, other, m = dual.update(g, 4, 4)
         assert n == m and abs(bound - other) < 1e-9
