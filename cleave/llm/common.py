@@ -52,7 +52,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def blocks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def blocks(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `most` bytes; a longer row is alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -102,7 +102,7 @@ NON_SPACE, ALNUM = _word_bytes(), _alnum_bytes()
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 #: Words up to this many bytes are summed in one go, longer texts in steps of it.
-_STEP = 1 << 20
+_STEP = 1 << 19
 
 
 def words(raw: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
