@@ -73,7 +73,10 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors, once a session: their Python workers need it for the operators that run there."""
+    """Give this package to the executors, once a session: their Python workers need it for the operators that run there.
+
+    The archive lies in the driver's own temporary folder; Spark serves it to the executors from there.
+    """
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
