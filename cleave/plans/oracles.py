@@ -15,6 +15,13 @@ def query(body: str, *parts: str) -> str:
     return "WITH RECURSIVE " + ",\n".join([_GRAPH.strip(), *[p.strip().rstrip(",") for p in parts]]) + "\n" + body
 
 
+def whole(sql: str) -> str:
+    """The same SQL with every edge of gs in g."""
+    thinned = "g AS MATERIALIZED (SELECT DISTINCT i, j, cost FROM gs_rank WHERE r <= 4)"
+    assert sql.count(thinned) == 1
+    return sql.replace(thinned, "g AS MATERIALIZED (SELECT i, j, cost FROM gs)")
+
+
 def both_ways(edges: str, out: str) -> str:
     return f"{out} AS MATERIALIZED (SELECT i AS src, j AS dst, cost FROM {edges} UNION ALL SELECT j, i, cost FROM {edges})"
 

@@ -27,7 +27,11 @@ def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | No
 
 
 def _on(graph, f) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: f(graph(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(graph(spark, sf_dir))
+
+    run.over = f
+    return run
 
 
 def _whole(f):
@@ -61,13 +65,13 @@ def _turned(g: DataFrame) -> DataFrame:
 
 
 # Sources and sinks.
-def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/edges-{uuid.uuid4().hex}"
-    text.write_edges(graphs.supplier_graph(spark, sf_dir), path)
-    return text.read_edges(spark, path)
+def _text(g: DataFrame) -> DataFrame:
+    path = f"{shared_folder(g.sparkSession)}/edges-{uuid.uuid4().hex}"
+    text.write_edges(g, path)
+    return text.read_edges(g.sparkSession, path)
 
 
-_add("src_text_edges", _text, O.query("SELECT i, j, cost FROM g"))
+_add("src_text_edges", _thin(_text), O.query("SELECT i, j, cost FROM g"))
 _add(
     "sink_cluster_lists",
     _whole(lambda g: text.cluster_lines(_nodes(g).select("node", (F.col("node") % 7 * 2).alias("cluster")))),
@@ -232,7 +236,7 @@ _add("matching_one_round", _whole(lambda g: (lambda g: matching.mutual_pairs(mat
 _add("matching_full", _whole(lambda g: matching.match(cut(g), 0.05)[0]), O.query("SELECT low, high FROM m_pairs", O.matching("gs", 0.05, 10, "m_")))
 
 # Conflict-free forests: the search depends on the data, so tests hold them against properties and an independent version.
-_add("forest_contraction_map", _thin(lambda g: (lambda g: forest.contraction_map(_nodes(g), g)[0])(cut(g))))
+_add("forest_contraction_map", _whole(lambda g: (lambda g: forest.contraction_map(_nodes(g), g)[0])(cut(g))))
 _add("forest_conflict_general", _trees(lambda g, f, rep: forest.conflict_free(_nodes(g), f, rep)))
 
 # Dual.
@@ -272,10 +276,16 @@ _add("dual_cycle3", _thin(_dual_cycle3), O.query("SELECT round(lb, 6) AS lower_b
 _add("dual_lower_bound", _thin(_dual_bound), O.query("SELECT round(lb, 6) AS lower_bound FROM f_final", O.dual_update("g", 3, 2, "d_"), O.dual_update("d_edges", 4, 2, "f_")))
 
 
+# The same on every edge of the suppliers graph, and the same SQL there. Not so for cycles of four and five edges: see the README.
+WHOLE = "src_text_edges connected_components max_spanning_forest filter_forest_threshold setop_forest_difference filter_rep_by_component forest_conflict3 forest_conflict4 frontier_expand frontier_meet cycles3".split()
+for _name in WHOLE:
+    _add(f"{_name}_whole", _whole(QUERIES[_name].over), O.whole(ORACLES[_name]))
+
+
 # Solver: iterative to the data's end; tests hold it against bounds, brute force and the array version.
-def _solved(preset: str):
+def _solved(preset: str, graph=graphs.supplier_graph):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = solve(graphs.supplier_graph(spark, sf_dir), Options.preset(preset, sanitize_graph=True, verbose=False))
+        found = solve(graph(spark, sf_dir), Options.preset(preset, sanitize_graph=True, verbose=False))
         if found.labels is None:
             return spark.createDataFrame([(round(found.lower_bound, 6),)], "lower_bound double")
         return found.labels.select("node", "cluster", F.lit(round(found.objective, 6)).alias("objective"), F.lit(round(found.lower_bound, 6)).alias("lower_bound"))
@@ -283,7 +293,7 @@ def _solved(preset: str):
     return run
 
 
-_add("solve_P", _solved("P"))
+_add("solve_P", _solved("P", graphs.suppliers))
 _add("solve_PD", _solved("PD"))
 _add("solve_PDplus", _solved("PD+"))
 _add("lower_bound_D", _solved("D"))
