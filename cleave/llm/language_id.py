@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import log2
+from math import ceil, log2, sqrt
 from typing import NamedTuple
 
 import numpy as np
@@ -18,7 +18,8 @@ from cleave.llm.common import arrow_schema, blocks, held_out, pick, text_buffer
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS = 48, 3000, 20_000
 #: Bytes of the automata of all languages together; more languages get less text each.
 TABLE_BYTES = 96 << 20
-#: Letters that the automata tell apart; others are one symbol that matches nothing.
+#: Letters of one symbol, the most frequent ones. All others of the samples are spelt by two symbols, a lead and a trail, so thousands of
+#: letters cost the automata a few hundred symbols. A letter that no sample has is one symbol that matches nothing.
 ALPHABET = 60
 #: Texts are parsed in lanes of this many symbols; a phrase ends where a lane does.
 LANE = 512
@@ -59,23 +60,37 @@ class SuffixAutomaton:
 
 class Model(NamedTuple):
     languages: list[str]
-    symbols: np.ndarray  # by code point: 0 no letter, 1 unknown letter, then letters
+    symbols: np.ndarray  # by code point: 0 no letter, 1 unknown letter, then letters and leads
+    second: np.ndarray  # by code point: the trail, or 0 where one symbol spells the letter
     width: int
     table: np.ndarray  # by state offset + symbol: twice the next state's offset, plus 1 where a phrase begins
     roots: np.ndarray
     cost: np.ndarray  # bits of a phrase, by language
 
 
-def _letters(alphabet: list[str]) -> np.ndarray:
-    """The symbol of each code point; upper case counts as lower."""
-    number = {c: i + 2 for i, c in enumerate(alphabet)}
-    out = np.zeros(0x110000, np.uint8)
+def _codes(seen: dict[str, int]) -> tuple[dict[str, tuple[int, ...]], int]:
+    """The symbols of each letter, and how many there are in all; `seen` counts letters."""
+    alphabet = sorted(seen, key=lambda c: (-seen[c], c))
+    codes: dict[str, tuple[int, ...]] = {c: (i + 2,) for i, c in enumerate(alphabet[:ALPHABET])}
+    rest, lead = alphabet[ALPHABET:], len(codes) + 2
+    trails = ceil(sqrt(len(rest)))
+    leads = -(-len(rest) // trails) if rest else 0
+    codes |= {c: (lead + i // trails, lead + leads + i % trails) for i, c in enumerate(rest)}
+    return codes, lead + leads + trails
+
+
+def _letters(codes: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the second symbol of each code point; upper case counts as lower."""
+    first, second = np.zeros(0x110000, np.uint16), np.zeros(0x110000, np.uint16)
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
             low = c.lower()
-            out[cp] = number.get(low if len(low) == 1 else c, 1)
-    return out
+            code = codes.get(low if len(low) == 1 else c, (1,))
+            first[cp] = code[0]
+            if len(code) > 1:
+                second[cp] = code[1]
+    return first, second
 
 
 def _normalised(text: str) -> str:
@@ -92,16 +107,16 @@ def train(samples: dict[str, list[str]]) -> Model:
         for t in texts[k]:
             for c in t:
                 seen[c] = seen.get(c, 0) + 1
-    alphabet = sorted((c for c in seen if c != " "), key=lambda c: (-seen[c], c))[:ALPHABET]
-    number = {c: i + 2 for i, c in enumerate(alphabet)} | {" ": 0}
-    width = len(alphabet) + 2
+    seen.pop(" ", None)
+    codes, width = _codes(seen)
+    number = codes | {" ": (0,)}
     most = min(SAMPLE_SYMBOLS, max(1000, TABLE_BYTES // (4 * 2 * width * max(1, len(languages)))))
     tables, roots, sizes, base = [], [], [], 0
     for k in languages:
         seq: list[int] = []
         for t in texts[k]:
             if len(seq) < most:
-                seq += [number.get(c, 1) for c in t[: most - len(seq)]] + [width]  # width: a break that no text has
+                seq += [s for c in t[: most - len(seq)] for s in number[c]][: most - len(seq)] + [width]  # width: a break that no text has
         automaton = SuffixAutomaton(seq)
         to = np.full((len(automaton.next), width), -1, np.int64)
         for s, edges in enumerate(automaton.next):
@@ -113,20 +128,25 @@ def train(samples: dict[str, list[str]]) -> Model:
         roots.append(base)
         sizes.append(len(seq))
         base += to.size
-    return Model(languages, _letters(alphabet), width, np.concatenate(tables) if tables else np.zeros(0, np.int32), np.array(roots, np.int32), np.array([log2(n + 2) for n in sizes]))
+    return Model(languages, *_letters(codes), width, np.concatenate(tables) if tables else np.zeros(0, np.int32), np.array(roots, np.int32), np.array([log2(n + 2) for n in sizes]))
 
 
 def phrases(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts in one buffer: phrases by language, symbols, and whether there is a letter."""
+    """Of texts in one buffer: phrases by language, symbols, and whether there is a letter. A letter of two symbols counts as both."""
     n_texts, n_langs = len(offsets) - 1, len(model.languages)
     points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     begins = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets]
-    symbols = model.symbols[np.minimum(points, 0x10FFFF)]
+    points = np.minimum(points, 0x10FFFF)
+    symbols = model.symbols[points]
     owner = np.repeat(np.arange(n_texts), np.diff(begins))
     space = symbols == 0
     keep = ~space
     keep[1:] |= ~space[:-1] & (owner[1:] == owner[:-1])  # the first of a run of others stays
-    symbols, owner = symbols[keep], owner[keep]
+    symbols, owner, second = symbols[keep], owner[keep], model.second[points[keep]]
+    if (two := second > 0).any():
+        times = 1 + two
+        symbols, owner = np.repeat(symbols, times), np.repeat(owner, times)
+        symbols[np.cumsum(times)[two] - 1] = second[two]
     lengths = np.bincount(owner, minlength=n_texts)
     letter = np.bincount(owner, weights=symbols > 0, minlength=n_texts) > 0
     counts = np.zeros((n_langs, n_texts), np.int64)
@@ -143,7 +163,7 @@ def phrases(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     state = np.repeat(model.roots[:, None], len(order), axis=1)
     found = np.ones((n_langs, len(order)), np.int32)
     active = np.searchsorted(-lane_len, -np.arange(int(lane_len[0])), "left")
-    padded = np.concatenate([symbols, np.zeros(LANE, np.uint8)])
+    padded = np.concatenate([symbols, np.zeros(LANE, symbols.dtype)])
     for j in range(int(lane_len[0])):
         k = active[j]
         step = model.table[state[:, :k] + padded[lane_start[:k] + j]]

@@ -425,6 +425,18 @@ def test_languages(spark):
     assert language_id.identify(none, language_id.learn(d)).count() == 0
 
 
+def test_languages_of_many_scripts():
+    rng = random.Random(5)
+    scripts = {"el": (0x3B1, 24), "en": (0x61, 26), "ja": (0x3042, 80), "ka": (0x10D0, 30), "ru": (0x430, 32), "yue": (0x4E00, 900), "zh": (0x4E00, 900)}
+    lexicon = {k: ["".join(chr(at + rng.randrange(n)) for _ in range(rng.randint(2, 5))) for _ in range(150)] for k, (at, n) in scripts.items()}
+    text = lambda k, n: " ".join(rng.choice(lexicon[k]) for _ in range(n))
+    model = language_id.train({k: [text(k, 60) for _ in range(20)] for k in scripts})
+    want = [k for k in scripts for _ in range(20)]
+    texts = [text(k, 12).encode() for k in want]
+    got, score = language_id.predict(model, np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    assert got == want and (score > 0.55).all() and len(model.table) * 4 <= language_id.TABLE_BYTES
+
+
 def test_phrases_against_plain_parsing():
     samples = {"aa": ["kalo miren kalo stova", "renmi lo"], "bb": ["zuith orwen", "draqu zu ith"]}
     model = language_id.train(samples)
