@@ -97,7 +97,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.marks, self.node_path = ["#"], [0], [INSIDE], [0]
-        self.in_article, self.in_link, self.heading = [False], [False], [False]
+        self.in_article, self.in_link, self.heading, self.title, self.other = [False], [False], [False], [False], [False]
         self.paths: dict[tuple[int, str], int] = {}
         self.path_tag, self.path_parent = ["#"], [0]
         self.leaves: list[Leaf] = []
@@ -141,6 +141,8 @@ class Page:
         self.in_article.append(inside or tag in ("article", "main"))
         self.in_link.append(self.in_link[parent] or tag == "a")
         self.heading.append(self.heading[parent] or tag in HEADINGS)
+        self.title.append(self.title[parent] or tag == "h1")
+        self.other.append(self.other[parent] or tag in ("article", "main") and _mark("div", attributes, True) == NAMED)
         return len(self.tags) - 1
 
     def _read(self, source: str) -> None:
@@ -248,17 +250,48 @@ def main_text(source: str | None) -> str:
         inside[n] = n == holder or n > 0 and inside[page.parents[n]]
 
     menus = set(_menu_paths(page, inside))
+    outer = _outer_blocks(page, inside, ratios, threshold)
     blocks: dict[int, list[str]] = {}
     for x in page.leaves:
-        if not inside[x.node] or x.block in menus:
+        if x.block in menus or not inside[x.node] and x.block not in outer:
             continue
-        prose = page.heading[x.node] or _in_prose(page, x.node, holder)
+        prose = not inside[x.node] or page.heading[x.node] or _in_prose(page, x.node, holder)
         if prose or ratios.get(x.path, 0) >= threshold or not x.text.strip():
             blocks.setdefault(x.block, []).append(x.text)
     found = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
     return "\n\n".join(b for b in found if b)
 
 
+def _outer_blocks(page: Page, inside: list[bool], ratios: dict[int, float], threshold: float) -> set[int]:
+    """Blocks outside the holder that are part of the text by themselves: of content paths, not mostly links, not in an article whose name
+    says otherwise; headings right before kept text; and, if the holder has no main heading, those outside and what lies between them and it."""
+    size, linked, content, heading, titles, before_holder = {}, {}, set(), set(), set(), True
+    titled = any(page.title[x.node] and inside[x.node] and x.text.strip() for x in page.leaves)
+    for x in page.leaves:
+        if page.other[x.node] or not (n := len(x.text.strip())):
+            continue
+        if inside[x.node]:
+            before_holder = False
+            continue
+        size[x.block] = size.get(x.block, 0) + n
+        linked[x.block] = linked.get(x.block, 0) + (n if x.linked else 0)
+        if page.heading[x.node]:
+            heading.add(x.block)
+            if page.title[x.node] and not titled:
+                titles.add(x.block)
+        elif not x.linked and (ratios[x.path] >= threshold or titles and before_holder):
+            content.add(x.block)
+    content = {b for b in content - heading if linked[b] < LINKED * size[b]} - set(_menu_paths(page, [not i for i in inside]))
+    kept, before_text = content | titles, False
+    for x in reversed(page.leaves):
+        if x.block in heading:
+            if before_text:
+                kept.add(x.block)
+        elif x.text.strip():
+            before_text = x.block in content or inside[x.node]
+    return kept
+
+
 def _in_prose(page: Page, node: int, holder: int) -> bool:
     while node > holder:
         if page.tags[node] in PROSE:
@@ -292,9 +325,10 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     """page_id, url, text, n_chars: the main text of every page, from its whole HTML.
 
     Leaves of text are gathered by tag path from the root (tags and classes). Text and punctuation a leaf, smoothed over neighbouring paths,
-    tell content paths; the deepest element that holds most of their text bounds the article. Within it, content paths and
-    prose elements (paragraphs, headings, lists, tables) are kept, and navigation, headers, footers, asides, forms,
-    adverts, notices and comments, told by tag, role, class or id, are not. References are decoded, white space in a block
+    tell content paths; the deepest element that holds most of their text is the article's. Within it, content paths and
+    prose elements (paragraphs, headings, lists, tables) are kept; outside it, blocks of content paths that are not mostly links, headings right
+    before kept text, and, if it has no main heading, those and what lies between them and it. Navigation, headers, footers, asides, forms,
+    adverts, notices and comments, told by tag, role, class or id, are not kept. References are decoded, white space in a block
     becomes one space, blocks are joined by two line feeds.
 
     Null and empty HTML, and pages without text: the empty string, 0 characters. Repeated rows and null ids stay rows of their own. Pages of

@@ -198,6 +198,19 @@ def test_html_names_of_the_layout():
     assert html_text.main_text("<article><h1>A b</h1><p>Few words.</p></article><div id='feedback'><p>Many, many words of readers, here.</p></div>") == "A b\n\nFew words."
 
 
+def test_html_keeps_content_beside_the_holder():
+    long = "Words of the entry, and more of them, one after another. " * 12
+    lead = "A lead of some words, which says what comes, in <b>two</b> lines or three. " * 2
+    menu = "<div class=m><h3>Archive</h3><ul><li><a href=/1>May</a><li><a href=/2>June</a></ul></div>"
+    page = f"<div class=page><h1>Title</h1><div class=lead>{lead}</div><div class=entry><p>{long}</p><p>{long}</p></div>{menu}</div>"
+    plain = lambda s: " ".join(s.replace("<b>", "").replace("</b>", "").split())
+    assert html_text.main_text(page) == "\n\n".join(["Title", plain(lead), plain(long), plain(long)])
+    assert html_text.main_text(f"<main><h1>Title</h1><article><p>{long}</p></article></main>{menu}") == "Title\n\n" + plain(long)
+    two = f"<article><h2>One</h2>{3 * f"<p>{long}</p>"}</article><article><h2>Two</h2><p>{long}</p></article>"
+    assert html_text.main_text(two + menu) == "\n\n".join(["One", *[plain(long)] * 3, "Two", plain(long)])
+    assert html_text.main_text(two.replace("<article><h2>Two", "<article class=comment><h2>Two")) == "\n\n".join(["One", *[plain(long)] * 3])
+
+
 def test_html_edges(spark):
     assert html_text.main_text("&lt;b&gt; &#233;&nbsp;x &am") == "<b> é x &am"
     assert html_text.main_text("<p>a<p>b</p>c") == "a\n\nb\n\nc"
