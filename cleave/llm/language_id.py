@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,6 +16,8 @@ from cleave.llm.common import arrow_schema, blocks, held_out, pick, text_buffer
 
 #: Learnt sample: documents of each language, code points of each, symbols of each language in all.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS = 48, 3000, 20_000
+#: Longer documents are sampled in this many pieces, evenly over the whole text; of these, pieces of about so many symbols are learnt.
+PIECES, PIECE = 6, 200
 #: Bytes of the automata of all languages together; more languages get less text each.
 TABLE_BYTES = 96 << 20
 #: Letters of one symbol, the most frequent ones. All others of the samples are spelt by two symbols, a lead and a trail, so thousands of
@@ -98,6 +100,26 @@ def _normalised(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
+def _shares(lengths: list[int], budget: int) -> list[int]:
+    """How much of each text is learnt: all alike, and what short texts leave goes to the longer ones."""
+    out, left = [0] * len(lengths), budget
+    order = sorted(range(len(lengths)), key=lambda i: lengths[i])
+    for k, i in enumerate(order):
+        out[i] = min(lengths[i], left // (len(order) - k))
+        left -= out[i]
+    return out
+
+
+def _pieces(seq: list[int], share: int) -> list[list[int]]:
+    """`share` symbols of a text, in pieces that lie evenly over it."""
+    if share >= len(seq):
+        return [seq] if seq else []
+    n = max(1, round(share / PIECE))
+    size = share // n
+    starts = [(len(seq) - size) * k // max(1, n - 1) for k in range(n)]
+    return [seq[a : a + size] for a in starts] if size else []
+
+
 def train(samples: dict[str, list[str]]) -> Model:
     """A model of some texts of each language."""
     languages = sorted(samples)
@@ -113,10 +135,11 @@ def train(samples: dict[str, list[str]]) -> Model:
     most = min(SAMPLE_SYMBOLS, max(1000, TABLE_BYTES // (4 * 2 * width * max(1, len(languages)))))
     tables, roots, sizes, base = [], [], [], 0
     for k in languages:
+        coded = [[s for c in t for s in number[c]] for t in texts[k]]
         seq: list[int] = []
-        for t in texts[k]:
-            if len(seq) < most:
-                seq += [s for c in t[: most - len(seq)] for s in number[c]][: most - len(seq)] + [width]  # width: a break that no text has
+        for text, share in zip(coded, _shares([len(x) for x in coded], most), strict=True):
+            for piece in _pieces(text, share):
+                seq += piece + [width]  # a break that no text has
         automaton = SuffixAutomaton(seq)
         to = np.full((len(automaton.next), width), -1, np.int64)
         for s, edges in enumerate(automaton.next):
@@ -186,8 +209,20 @@ def predict(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[list[st
     return [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), letter.tolist(), strict=True)], np.where(letter, score, 0.0)
 
 
+def _sampled(text: str) -> Column:
+    """At most SAMPLE_CHARS code points of a text, in pieces from its begin to its end."""
+    size = SAMPLE_CHARS // PIECES
+    parts = [F.substring(text, F.expr(f"1 + (length({text}) - {size}) * {k} div {PIECES - 1}"), F.lit(size)) for k in range(PIECES)]
+    return F.when(F.length(text) > SAMPLE_CHARS, F.concat_ws(" ", *parts)).otherwise(F.col(text))
+
+
 def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """The model of a bounded sample: of each language the SAMPLE_DOCS learnable documents with the least hash of their id."""
+    """The model of a bounded sample: of each language the SAMPLE_DOCS learnable documents with the least hash of their id.
+
+    Of a text longer than SAMPLE_CHARS code points, PIECES pieces that make as many are taken evenly from all of it. Of these, SAMPLE_SYMBOLS
+    symbols a language are learnt (fewer if the automata of all languages would go beyond TABLE_BYTES, 1,000 at least), shared alike by its
+    documents: 416 each of 48 long ones.
+    """
     rows = pick(df, id_col, text_col, lang_col).toDF("doc_id", "text", "lang")
     usable = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     least = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id")
@@ -195,7 +230,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     wanted = sorted({r["doc_id"] for r in chosen.select("doc_id").collect()})
     samples: dict[str, list[tuple[int, str]]] = {}
     if wanted:
-        for r in usable.where(F.col("doc_id").isin(wanted)).select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct().collect():
+        for r in usable.where(F.col("doc_id").isin(wanted)).select("doc_id", "lang", _sampled("text").alias("text")).distinct().collect():
             samples.setdefault(r["lang"], []).append((r["doc_id"], r["text"]))
     return train({k: [t for _, t in sorted(v)] for k, v in samples.items()})
 

@@ -450,6 +450,21 @@ def test_languages_of_many_scripts():
     assert got == want and (score > 0.55).all() and len(model.table) * 4 <= language_id.TABLE_BYTES
 
 
+def test_every_sampled_document_is_learnt(spark):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(900)) for _ in range(40)]
+    rows = [(k, t, "aa") for k, t in enumerate(texts)] + [(1000 + k, "zz yy xx ww", "bb") for k in range(40)]
+    model = language_id.learn(docs(spark, rows, clash=True))
+
+    def phrases(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return int(language_id.phrases(model, raw, np.array([0, len(raw)]))[0][0, 0])
+
+    learnable = [r["doc_id"] for r in spark.createDataFrame([(k,) for k in range(40)], "doc_id bigint").where(~common.held_out(F.col("doc_id"))).collect()]
+    assert len(learnable) > 20 and all(phrases(texts[k][:200]) < 20 for k in learnable)
+    assert all(phrases(texts[k][-200:]) < 20 for k in learnable)  # its end is known too
+
+
 def test_phrases_against_plain_parsing():
     samples = {"aa": ["kalo miren kalo stova", "renmi lo"], "bb": ["zuith orwen", "draqu zu ith"]}
     model = language_id.train(samples)
