@@ -19,8 +19,10 @@ WEIGHTS = (1, 2, 3)
 #: A source gives at most this many times its words, and so does a document.
 MOST_REPEATS = 3
 SEED = 17
-#: Budgets up to this many words are filled by the exact knapsack.
-KNAPSACK = 16_384
+#: Budgets up to this many words, or four times the longest document but not above KNAPSACK_MOST, are filled by the exact knapsack.
+KNAPSACK, KNAPSACK_MOST = 16_384, 1 << 26
+#: Beyond KNAPSACK words it takes as many lengths as keep its steps within so many bytes: those given back, then the shortest.
+KNAPSACK_BYTES = 64 << 20
 #: Documents that are given back before the knapsack, so that it has sums to choose from.
 FREED = 12
 #: Documents of one source and length are numbered in cells of about this many.
@@ -77,7 +79,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.n
 
     Every length first gives its share, rounded up or down by a seeded draw, so long and short documents are taken alike.
     Draws beyond the budget are given back in a seeded order, and whole documents are added while the rest is more than the
-    knapsack's bound. Then FREED documents are given back to make room, and the knapsack fills what is left from all
+    knapsack's bound, which grows with the longest document. Then FREED documents are given back to make room, and the knapsack fills what is left from all
     documents that are free.
     """
     total = int((lengths * counts).sum())
@@ -87,6 +89,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.n
     take = np.minimum(counts, np.floor(counts * (budget / total) + draw).astype(np.int64))
     take[lengths == 0] = 0
     order = np.argsort(draw, kind="stable")
+    bound = max(KNAPSACK, min(4 * int(lengths[counts > 0].max()), KNAPSACK_MOST))
     rest = budget - int((lengths * take).sum())
     for i in order:
         if rest >= 0:
@@ -95,22 +98,39 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.n
         take[i] -= back
         rest += back * int(lengths[i])
     for i in order[::-1]:
-        if rest <= KNAPSACK:
+        if rest <= bound:
             break
         more = min(int(counts[i] - take[i]), rest // int(lengths[i])) if lengths[i] else 0
         take[i] += more
         rest -= more * int(lengths[i])
-    freed = 0
+    freed = []
     for i in order:
-        if take[i] and lengths[i] and rest + lengths[i] <= KNAPSACK and freed < FREED:
+        if take[i] and lengths[i] and rest + lengths[i] <= bound and len(freed) < FREED:
             take[i] -= 1
             rest += int(lengths[i])
-            freed += 1
-    if 0 < rest <= KNAPSACK:
-        take += knapsack(lengths, counts - take, rest)
+            freed.append(i)
+    if 0 < rest <= bound:
+        take += knapsack(lengths, _candidates(lengths, counts - take, rest, freed), rest)
     return take
 
 
+def _candidates(lengths: np.ndarray, free: np.ndarray, budget: int, freed: list[int]) -> np.ndarray:
+    """How many of each length the knapsack may take: all up to KNAPSACK words, beyond that what KNAPSACK_BYTES allow, one of each of `freed` at least."""
+    if budget <= KNAPSACK:
+        return free
+    out, steps = np.zeros_like(free), 0
+    out[freed] = 1
+    steps += len(freed)
+    for i in np.argsort(lengths, kind="stable"):
+        if not 0 < lengths[i] <= budget or not free[i]:
+            continue
+        steps += min(int(free[i]), budget // int(lengths[i])).bit_length()
+        if steps * budget > 8 * KNAPSACK_BYTES:
+            break
+        out[i] = free[i]
+    return out
+
+
 def plan_sources(sizes: DataFrame) -> list[tuple[str | None, int, float, int, int]]:
     """source, its words, target, full passes, words beyond them; sizes: (source, words)."""
     found = sizes.limit(MOST_SOURCES + 1).collect()

@@ -238,3 +238,12 @@ def test_pipeline_runs(spark, tmp_path):
 def test_pipeline_keeps_one_of_repeated_rows(spark, tmp_path):
     d = docs(spark, [(1, "a text of some words here"), (1, "a text of some words here"), (2, "A text of some words here"), (None, "x y"), (None, None)])
     assert sorted((r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, d, str(tmp_path)).collect()), key=str) == [1, None, None]
+
+
+def test_knapsack_of_long_documents():
+    lengths, counts = np.array([20_000, 30_000, 50_000]), np.ones(3, np.int64)
+    for seed in range(30):
+        assert int((lengths * mixing.fit(lengths, counts, 70_000, seed)).sum()) == 70_000
+    lengths = np.array(sorted(random.Random(2).sample(range(20_000, 60_000), 40)))
+    gaps = [budget - int((lengths * mixing.fit(lengths, np.ones(40, np.int64), budget, 1)).sum()) for budget in range(300_000, 1_200_000, 90_000)]
+    assert 0 <= min(gaps) and max(gaps) < 500
