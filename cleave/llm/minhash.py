@@ -276,7 +276,7 @@ def _with_end(batches):
     yield None
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_keys: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: components of documents whose word-shingle sets are at least 0.85 similar.
 
     1. One pass over the texts gives each row's set size, a digest of its set and its sketch. Rows of one digest are one
@@ -292,6 +292,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null or wordless texts have an empty set and are linked with nothing. Repeated rows and ids: rows are nodes by text, and a
     component takes the least id among its rows; null ids are passed over (a component of null ids only has a null one, and its
     rows are kept). An empty table gives an empty result. Columns beyond id and text are not read.
+
+    with_keys: also text_key, the xxhash64 of the text, and root, a number that components share with no other (null: no words).
     """
     docs = pick(df, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     rows = cut(docs.select("doc_id", "text_key", "text").mapInArrow(_sketch_batches, SKETCHED))
@@ -321,11 +323,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_root = nodes.select("nid", "least").join(stars, F.col("nid") == F.col("u"), "left").select("nid", "least", F.coalesce("v", "nid").alias("root"))
     linked = stars.select(F.col("u").alias("nid"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("nid"), F.col("v").alias("root")).distinct())
     least = linked.join(by_root.select("nid", "least"), "nid").groupBy("root").agg(F.min("least").alias("component"))
-    of_node = linked.join(least, "root").select("nid", "component")
-    of_digest = nodes.select("nid", "digest", "least").join(of_node, "nid", "left").select("digest", F.coalesce("component", "least").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(of_digest, "digest", "left")
+    of_node = linked.join(least, "root").select("nid", "component", "root")
+    of_digest = nodes.select("nid", "digest", "least").join(of_node, "nid", "left").select("digest", F.coalesce("component", "least").alias("component"), F.coalesce("root", "nid").alias("root"))
+    out = rows.select("doc_id", "n_shingles", "digest", "text_key").join(of_digest, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"), *(["text_key", "root"] if with_keys else []))
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:

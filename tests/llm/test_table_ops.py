@@ -240,6 +240,15 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, tmp_path):
     assert sorted((r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, d, str(tmp_path)).collect()), key=str) == [1, None, None]
 
 
+def test_pipeline_keeps_different_texts_of_one_id(spark, tmp_path):
+    rng = random.Random(9)
+    a, b, c = (sentence(rng, 40) for _ in range(3))
+    rows = [(5, a), (5, b), (5, b.upper()), (3, c), (5, c + " end"), (7, a), (8, ""), (8, "")]
+    for order in (rows, rows[::-1]):
+        got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.dedup_stage(spark, docs(spark, order), str(tmp_path)).collect()]
+        assert len(got) == 4 and {(i, (t or "").lower()) for i, t in got} == {(3, c.lower()), (5, a.lower()), (5, b.lower()), (8, "")}
+
+
 def test_knapsack_of_long_documents():
     lengths, counts = np.array([20_000, 30_000, 50_000]), np.ones(3, np.int64)
     for seed in range(30):
