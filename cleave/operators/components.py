@@ -2,51 +2,91 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cleave.operators.skew import skew_join
 from cleave.session import cut
 
+#: Edges that one task finishes on arrays (16 bytes each), at most; more are halved by steps on DataFrames first.
+ONE_TASK = 1 << 20
+
+
+def least_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least of the nodes 0 to n - 1 that each of them reaches over edges (i, j)."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        np.minimum.at(new, label[i], label[j])
+        np.minimum.at(new, label[j], label[i])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
 
 def _least(pairs: DataFrame) -> DataFrame:
-    """u and the least of u and its v; partial sums keep a hub from being gathered."""
-    return pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+    """u and the least of u and its v, by partial sums."""
+    return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    """edges have u > v."""
     both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
-    up = both.where("v > u")
-    return up.join(_least(both), F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return skew_join(both.where("v > u"), _least(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """edges have u > v."""
     least = _least(edges)
-    moved = edges.join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return moved.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
+    moved = skew_join(edges, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def _unsettled(edges: DataFrame) -> DataFrame:
     """Nodes that have two centres, or a centre and leaves: none if the edges are stars."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("mid")), F.struct(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("mid")))).alias("e"))
-    by_node = ends.groupBy("e.x").agg(F.sum("e.out").alias("out"), F.max("e.mid").alias("mid"))
+    out, mid = F.struct(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("mid")), F.struct(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("mid"))
+    by_node = edges.select(F.explode(F.array(out, mid)).alias("e")).groupBy("e.x").agg(F.sum("e.out").alias("out"), F.max("e.mid").alias("mid"))
     return by_node.where("out > 1 OR out = 1 AND mid = 1")
 
 
-def star_edges(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(u, v): each node that isn't the least of its component, with that least node."""
-    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+def _stars_on_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [b for b in batches if b.num_rows]
+    if held:
+        u, v = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
+        ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        least = least_reached(len(ids), at[: len(u)], at[len(u) :])
+        moved = np.flatnonzero(least != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[least[moved]])], names=["u", "v"])
+
+
+def star_edges(edges: DataFrame, most: int = 64, one_task: int = 0) -> DataFrame:
+    """(u, v): each node that isn't the least of its component, with that least node.
+
+    Of at most `one_task` edges, one task makes the stars on arrays, so small graphs cost two jobs.
+    """
+    now = edges.select(F.greatest("u", "v").cast("bigint").alias("u"), F.least("u", "v").cast("bigint").alias("v")).where("u <> v").distinct()
     for _ in range(most):
-        now = cut(_small_star(_large_star(now)))
+        now = cut(now)
+        if one_task and now.limit(one_task + 1).count() <= one_task:
+            return cut(now.coalesce(1).mapInArrow(_stars_on_arrays, "u bigint, v bigint"))
+        large = cut(_large_star(now))
+        now = cut(_small_star(large))
         if _unsettled(now).isEmpty():
             return now
     raise RuntimeError("components did not settle")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component): the least node id that each node of `nodes` reaches; `edges` has i and j.
 
-    The count of steps grows with the logarithm of a component's size; no step gathers a hub's neighbours in one task.
+    The count of steps grows with the logarithm of a component's size. The edges of a hub are dealt to many tasks.
     """
-    stars = star_edges(edges.select(F.col("i").alias("u"), F.col("j").alias("v")))
+    stars = star_edges(edges.select(F.col("i").alias("u"), F.col("j").alias("v")), one_task=one_task)
     return nodes.select("node").distinct().join(stars, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("component"))

@@ -2,39 +2,86 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleave.operators.components import connected_components, star_edges
+from cleave.operators.components import ONE_TASK, connected_components
 from cleave.operators.edges import between_components, compress_labels, split_by_sign, symmetric
+from cleave.operators.skew import skew_join
 from cleave.session import cut
 
 #: Forest edges below this share of the mean are dropped every THIN_EVERY passes of the general search.
 THIN, THIN_EVERY = 0.9, 5
 
 
-def maximum_spanning_forest(edges: DataFrame, most: int = 64) -> DataFrame:
+def _root(parent: list[int], a: int) -> int:
+    while parent[a] != a:
+        parent[a] = parent[parent[a]]
+        a = parent[a]
+    return a
+
+
+def _forest_on_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (ti, tj, cost, i, j) that join two trees, taken by falling cost, then i and j."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        ti, tj, cost, i, j = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(5))
+        names, at = np.unique(np.concatenate([ti, tj]), return_inverse=True)
+        parent, taken = list(range(len(names))), []
+        order = np.lexsort((j, i, -cost))
+        for k, a, b in zip(order.tolist(), at[order].tolist(), at[len(ti) + order].tolist(), strict=True):
+            a, b = _root(parent, a), _root(parent, b)
+            if a != b:
+                parent[a] = b
+                taken.append(k)
+        yield pa.RecordBatch.from_arrays([pa.array(x[taken]) for x in (i, j, cost)], names=["i", "j", "cost"])
+
+
+def _roots(chosen: DataFrame) -> DataFrame:
+    """(t, root) of trees t whose best edge leads to `to`, by pointer jumping.
+
+    Edges have one order, so only two trees that chose the same edge form a ring; the lesser one of them is the root.
+    """
+    back = chosen.select(F.col("t").alias("to"), F.col("to").alias("back"))
+    now = cut(skew_join(chosen, back, "to").select("t", F.when((F.col("t") == F.col("back")) & (F.col("t") < F.col("to")), F.col("t")).otherwise(F.col("to")).alias("root")))
+    while True:
+        ahead = now.select(F.col("t").alias("root"), F.col("root").alias("next"))
+        jumped = cut(skew_join(now, ahead, "root").select("t", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        now = jumped.select("t", "root")
+        if jumped.where("moved").isEmpty():
+            return now
+
+
+def maximum_spanning_forest(edges: DataFrame, most: int = 64, one_task: int = ONE_TASK) -> DataFrame:
     """(i, j, cost): the unique maximum spanning forest under the order (cost falling, i, j).
 
-    Rounds in which every tree takes its best outgoing edge; trees are then joined by components of the chosen edges, and of
-    parallel edges between two trees only the best stays. The count of rounds is logarithmic in the nodes.
+    Rounds in which every tree takes its best outgoing edge; trees are then joined by pointer jumping over the chosen edges, and of
+    parallel edges between two trees only the best stays. The count of rounds is logarithmic in the nodes. Once at most `one_task` edges
+    between trees are left (40 bytes each), one task takes the rest of the forest from them on arrays.
     """
     value = F.struct("cost", (-F.col("i")).alias("ni"), (-F.col("j")).alias("nj"))
-    open_ = edges.select(F.col("i").alias("ti"), F.col("j").alias("tj"), value.alias("e"))
-    forest = None
+    open_ = cut(edges.select(F.col("i").cast("bigint").alias("ti"), F.col("j").cast("bigint").alias("tj"), value.alias("e")))
+    edge = [(-F.col("e.ni")).alias("i"), (-F.col("e.nj")).alias("j"), F.col("e.cost").alias("cost")]
+    forest = edges.select("i", "j", "cost").where("false")
     for _ in range(most):
-        ends = open_.select(F.explode(F.array("ti", "tj")).alias("t"), "ti", "tj", "e")
-        best = cut(ends.groupBy("t").agg(F.max(F.struct("e", "ti", "tj")).alias("b")).select("b.e", "b.ti", "b.tj").distinct())
+        if one_task and open_.limit(one_task + 1).count() <= one_task:
+            flat = open_.select("ti", "tj", F.col("e.cost").cast("double").alias("cost"), edge[0].alias("i"), edge[1].alias("j"))
+            return forest.unionByName(flat.coalesce(1).mapInArrow(_forest_on_arrays, "i bigint, j bigint, cost double"))
+        ends = open_.select(F.explode(F.array(F.struct(F.col("ti").alias("t"), F.col("tj").alias("to")), F.struct(F.col("tj").alias("t"), F.col("ti").alias("to")))).alias("x"), "e")
+        best = cut(ends.groupBy("x.t").agg(F.max(F.struct("e", "x.to")).alias("b")).select("t", "b.to", "b.e"))
         if best.isEmpty():
-            break
-        new = best.select((-F.col("e.ni")).alias("i"), (-F.col("e.nj")).alias("j"), F.col("e.cost").alias("cost"))
-        forest = new if forest is None else forest.unionByName(new)
-        roots = star_edges(best.select(F.col("ti").alias("u"), F.col("tj").alias("v")))
+            return forest
+        forest = forest.unionByName(best.select(*edge).distinct())
+        roots = _roots(best.select("t", "to"))
         for end in ("ti", "tj"):
-            open_ = open_.join(roots.select(F.col("u").alias(end), F.col("v").alias("__to")), end, "left").withColumn(end, F.coalesce("__to", end)).drop("__to")
+            open_ = cut(skew_join(open_, roots.select(F.col("t").alias(end), "root"), end).withColumn(end, F.col("root")).drop("root"))
         low, high = F.least("ti", "tj"), F.greatest("ti", "tj")
         open_ = cut(open_.where("ti <> tj").groupBy(low.alias("ti"), high.alias("tj")).agg(F.max("e").alias("e")))
-    return edges.select("i", "j", "cost").where("false") if forest is None else forest
+    raise RuntimeError("the forest did not settle")
 
 
 def thin(forest: DataFrame, share: float = THIN) -> DataFrame:

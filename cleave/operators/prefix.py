@@ -6,27 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cleave.session import cut
+
 #: Rows of a range of keys, about, and ranges at most.
 RANGE_ROWS, MOST_RANGES = 50_000, 100_000
 
 
 def exclusive_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """`df` (unique whole-number keys) with `out`: the sum of `value` over smaller keys.
+    """`df` (unique keys) with `out`: the sum of `value` over smaller keys.
 
-    Keys are cut into ranges of equal width; sums of ranges are added up in one small window, rows only within their range.
+    Rows are dealt by ranges of keys that hold about as many rows each, however the keys lie. Sums of ranges are added up in one small
+    window; rows are added up within their range only.
     """
-    lo, hi, n = df.agg(F.min(key), F.max(key), F.count("*")).first()
-    if not n:
-        return df.withColumn(out, F.lit(0).cast("bigint"))
-    ranges = min(MOST_RANGES, -(-n // RANGE_ROWS))
-    width = max(1, -(-(hi - lo + 1) // ranges))
-    cut_up = df.withColumn("__range", F.floor((F.col(key) - F.lit(lo)) / F.lit(width)))
-    sums = cut_up.groupBy("__range").agg(F.sum(value).alias("__sum"))
+    df = cut(df)
+    ranges = min(MOST_RANGES, max(1, -(-df.count() // RANGE_ROWS)))
+    dealt = df.repartitionByRange(ranges, key) if ranges > 1 else df.coalesce(1)
+    placed = cut(dealt.withColumn("__range", F.spark_partition_id()))
+    sums = placed.groupBy("__range").agg(F.sum(value).alias("__sum"))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))  # MOST_RANGES rows at most
+    starts = sums.select("__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))  # a row a range: MOST_RANGES at most
     within = Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    placed = cut_up.withColumn("__here", F.coalesce(F.sum(value).over(within), F.lit(0))).join(starts, "__range")
-    return placed.withColumn(out, (F.col("__start") + F.col("__here")).cast("bigint")).drop("__range", "__start", "__here")
+    here = placed.withColumn("__here", F.coalesce(F.sum(value).over(within), F.lit(0))).join(F.broadcast(starts), "__range")
+    return here.withColumn(out, (F.col("__start") + F.col("__here")).cast("bigint")).drop("__range", "__start", "__here")
 
 
 def dense_ids(values: DataFrame, key: str, out: str) -> DataFrame:
