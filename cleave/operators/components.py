@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleave.operators.skew import skew_join
-from cleave.session import cut
+from cleave.session import settle
 
 #: Edges that one task finishes on arrays (16 bytes each), at most; more are halved by steps on DataFrames first.
 ONE_TASK = 1 << 20
@@ -72,14 +72,13 @@ def star_edges(edges: DataFrame, most: int = 64, one_task: int = 0) -> DataFrame
     Of at most `one_task` edges, one task makes the stars on arrays, so small graphs cost two jobs.
     """
     now = edges.select(F.greatest("u", "v").cast("bigint").alias("u"), F.least("u", "v").cast("bigint").alias("v")).where("u <> v").distinct()
+    now = settle(now)
     for _ in range(most):
-        now = cut(now)
         if one_task and now.limit(one_task + 1).count() <= one_task:
-            return cut(now.coalesce(1).mapInArrow(_stars_on_arrays, "u bigint, v bigint"))
-        large = cut(_large_star(now))
-        now = cut(_small_star(large))
+            return settle(now.coalesce(1).mapInArrow(_stars_on_arrays, "u bigint, v bigint"))
         if _unsettled(now).isEmpty():
             return now
+        now = settle(_small_star(settle(_large_star(now))))
     raise RuntimeError("components did not settle")
 
 

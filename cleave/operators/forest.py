@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cleave.operators.components import ONE_TASK, connected_components
 from cleave.operators.edges import between_components, compress_labels, split_by_sign, symmetric
 from cleave.operators.skew import skew_join
-from cleave.session import cut
+from cleave.session import cut, settle
 
 #: Forest edges below this share of the mean are dropped every THIN_EVERY passes of the general search.
 THIN, THIN_EVERY = 0.9, 5
@@ -47,10 +47,10 @@ def _roots(chosen: DataFrame) -> DataFrame:
     Edges have one order, so only two trees that chose the same edge form a ring; the lesser one of them is the root.
     """
     back = chosen.select(F.col("t").alias("to"), F.col("to").alias("back"))
-    now = cut(skew_join(chosen, back, "to").select("t", F.when((F.col("t") == F.col("back")) & (F.col("t") < F.col("to")), F.col("t")).otherwise(F.col("to")).alias("root")))
+    now = settle(skew_join(chosen, back, "to").select("t", F.when((F.col("t") == F.col("back")) & (F.col("t") < F.col("to")), F.col("t")).otherwise(F.col("to")).alias("root")))
     while True:
         ahead = now.select(F.col("t").alias("root"), F.col("root").alias("next"))
-        jumped = cut(skew_join(now, ahead, "root").select("t", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        jumped = settle(skew_join(now, ahead, "root").select("t", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
         now = jumped.select("t", "root")
         if jumped.where("moved").isEmpty():
             return now
@@ -64,7 +64,7 @@ def maximum_spanning_forest(edges: DataFrame, most: int = 64, one_task: int = ON
     between trees are left (40 bytes each), one task takes the rest of the forest from them on arrays.
     """
     value = F.struct("cost", (-F.col("i")).alias("ni"), (-F.col("j")).alias("nj"))
-    open_ = cut(edges.select(F.col("i").cast("bigint").alias("ti"), F.col("j").cast("bigint").alias("tj"), value.alias("e")))
+    open_ = settle(edges.select(F.col("i").cast("bigint").alias("ti"), F.col("j").cast("bigint").alias("tj"), value.alias("e")))
     edge = [(-F.col("e.ni")).alias("i"), (-F.col("e.nj")).alias("j"), F.col("e.cost").alias("cost")]
     forest = edges.select("i", "j", "cost").where("false")
     for _ in range(most):
@@ -72,15 +72,15 @@ def maximum_spanning_forest(edges: DataFrame, most: int = 64, one_task: int = ON
             flat = open_.select("ti", "tj", F.col("e.cost").cast("double").alias("cost"), edge[0].alias("i"), edge[1].alias("j"))
             return forest.unionByName(flat.coalesce(1).mapInArrow(_forest_on_arrays, "i bigint, j bigint, cost double"))
         ends = open_.select(F.explode(F.array(F.struct(F.col("ti").alias("t"), F.col("tj").alias("to")), F.struct(F.col("tj").alias("t"), F.col("ti").alias("to")))).alias("x"), "e")
-        best = cut(ends.groupBy("x.t").agg(F.max(F.struct("e", "x.to")).alias("b")).select("t", "b.to", "b.e"))
+        best = settle(ends.groupBy("x.t").agg(F.max(F.struct("e", "x.to")).alias("b")).select("t", "b.to", "b.e"))
         if best.isEmpty():
             return forest
         forest = forest.unionByName(best.select(*edge).distinct())
         roots = _roots(best.select("t", "to"))
         for end in ("ti", "tj"):
-            open_ = cut(skew_join(open_, roots.select(F.col("t").alias(end), "root"), end).withColumn(end, F.col("root")).drop("root"))
+            open_ = settle(skew_join(open_, roots.select(F.col("t").alias(end), "root"), end).withColumn(end, F.col("root")).drop("root"))
         low, high = F.least("ti", "tj"), F.greatest("ti", "tj")
-        open_ = cut(open_.where("ti <> tj").groupBy(low.alias("ti"), high.alias("tj")).agg(F.max("e").alias("e")))
+        open_ = settle(open_.where("ti <> tj").groupBy(low.alias("ti"), high.alias("tj")).agg(F.max("e").alias("e")))
     raise RuntimeError("the forest did not settle")
 
 

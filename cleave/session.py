@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -51,6 +52,17 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
+def settle(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """`cut` for results that are mostly small: as many files as there are times `rows` rows, however many tasks made them.
+
+    The result waits on the executors' disks until it is counted and written; what a lost executor held is made again.
+    """
+    held = df.persist(StorageLevel.DISK_ONLY)
+    out = cut(held.coalesce(max(1, -(-held.count() // rows))))
+    held.unpersist()
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Let go of finished steps: Spark drops their shuffle files and checkpoints only when the driver's garbage is collected."""
     gc.collect()
