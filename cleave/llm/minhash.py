@@ -8,21 +8,26 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleave.llm.common import NON_SPACE, U64, blocks, mix, pick, text_buffer, words
 from cleave.operators.components import star_edges
-from cleave.session import cut, release
+from cleave.operators.skew import deal, skew_join, spread
+from cleave.session import release, settle
 
 #: Words of a shingle; links need 100 * intersection >= SIMILAR * union.
 WORDS, SIMILAR = 5, 85
-#: Coordinates of a sketch; the first BANDS * ROWS of them are the bands. A link is missed with (1 - 0.85**5)**28 < 1e-7.
-COORDINATES, BANDS, ROWS = 160, 28, 5
+#: Coordinates of a sketch, in BANDS bands of ROWS. A link shares no band with (1 - 0.85**5)**32 < 1e-8, fewer than two with 2e-7.
+COORDINATES, BANDS, ROWS = 160, 32, 5
 #: Share of equal coordinates below which a candidate isn't verified: 0.185 under the limit, a chance below 1e-7 at 160.
 LIKELY = 0.665
 #: Members of a bucket, and shingles of them, that are compared in one block.
 BLOCK, BLOCK_SHINGLES = 1000, 1_500_000
+#: Rounds in which members of crowded buckets meet the members of one block each, as long as that joins components.
+ROUNDS = 4
+#: Packed texts that a task remembers, so that rows which repeat are sent once.
+RECENT = 1 << 14
 _C = mix(np.arange(1, WORDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
@@ -123,13 +128,22 @@ PACKED = "doc_id bigint, text_key bigint, packed binary"
 
 
 def _pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed for the way through shuffles."""
-    pack = zstandard.ZstdCompressor(level=1).compress
+    """Texts compressed for the way through shuffles; repeated rows of a task mostly once."""
+    pack, recent = zstandard.ZstdCompressor(level=1).compress, {}
     for b in batches:
         raw, offsets = text_buffer(b.column(2))
+        ids, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
         for i, j in blocks(offsets, 8 << 20):
-            packed = [pack(raw[p:q].tobytes()) for p, q in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(packed, pa.binary())], names=["doc_id", "text_key", "packed"])
+            at = []
+            for k in range(i, j):
+                name = ids[k], keys[k]
+                if name not in recent:
+                    recent[name] = None
+                    at.append(k)
+            while len(recent) > RECENT:
+                del recent[next(iter(recent))]
+            packed = [pack(raw[offsets[k] : offsets[k + 1]].tobytes()) for k in at]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(packed, pa.binary())], names=["doc_id", "text_key", "packed"])
 
 
 def _unpacked(packed: pa.Array) -> Iterator[np.ndarray]:
@@ -155,116 +169,122 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["u", "v"])
 
 
-class Side(NamedTuple):
-    """Members of a block: ids, set sizes, components, sketches."""
+class Block(NamedTuple):
+    """Members that are compared: ids, set sizes, components, sketches. The first `split` meet the others, or, if that is all, each other."""
 
     nid: np.ndarray
     n: np.ndarray
     comp: np.ndarray
     sketch: np.ndarray
+    split: int
+
+
+def _likely(block: Block, band: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(x, ys): for a member x the likely partners of other components, if the first band that they share is this one."""
+    n = len(block.nid)
+    whole = block.split == n
+    far = slice(0 if whole else block.split, n)
+    sketch, size, comp = block.sketch[far], block.n[far], block.comp[far]
+    bands = block.sketch.reshape(n, BANDS, ROWS)
+    for x in range(block.split):
+        ok = comp != block.comp[x]
+        ok &= 100 * np.minimum(block.n[x], size) >= SIMILAR * np.maximum(block.n[x], size)
+        if whole:
+            ok[x:] = False
+        ys = np.flatnonzero(ok)
+        ys = ys[(sketch[ys] == block.sketch[x]).sum(axis=1) >= LIKELY * COORDINATES]
+        if band and len(ys):
+            ys = ys[~(bands[far][ys, :band] == bands[x, :band]).all(axis=2).any(axis=1)]
+        if len(ys):
+            yield x, ys + far.start
+
+
+class Sets:
+    """The shingle sets of a block as numbers in one array, so that one set meets all others by marks."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
+        names, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+        self.numbers, self.marks = numbers.astype(np.int32), np.zeros(len(names), np.int32)
+
+    def similar(self, x: int, ys: np.ndarray) -> np.ndarray:
+        """Which of the sets `ys` are similar to the set `x`."""
+        mine = self.numbers[self.at[x] : self.at[x + 1]]
+        self.marks[mine] = 1
+        if len(ys) * 8 < len(self.sizes):
+            both = np.array([self.marks[self.numbers[self.at[y] : self.at[y + 1]]].sum() for y in ys.tolist()])
+        else:
+            both = np.add.reduceat(self.marks[self.numbers], self.at[:-1])[ys]  # no set is empty
+        self.marks[mine] = 0
+        return 100 * both >= SIMILAR * (self.sizes[x] + self.sizes[ys] - both)
 
 
-def _likely(mine: Side, theirs: Side | None, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (x, y) of likely pairs of different components whose first shared band is this one; all pairs of one side or across two."""
-    other, xs, ys = theirs or mine, [], []
-    step = max(1, (1 << 22) // max(1, other.sketch.size))
-    for i in range(0, len(mine.nid), step):
-        j = min(i + step, len(mine.nid))
-        ok = (mine.sketch[i:j, None, :] == other.sketch[None, :, :]).sum(axis=2, dtype=np.int32) >= LIKELY * COORDINATES
-        ok &= mine.comp[i:j, None] != other.comp[None, :]
-        ok &= 100 * np.minimum(mine.n[i:j, None], other.n[None, :]) >= SIMILAR * np.maximum(mine.n[i:j, None], other.n[None, :])
-        if theirs is None:
-            ok &= np.arange(i, j)[:, None] > np.arange(len(other.nid))[None, :]
-        x, y = np.nonzero(ok)
-        earlier = np.zeros(len(x), bool)
-        for k in range(band if len(x) else 0):
-            earlier |= (mine.sketch[i + x, k * ROWS : (k + 1) * ROWS] == other.sketch[y, k * ROWS : (k + 1) * ROWS]).all(axis=1)
-        xs.append(i + x[~earlier])
-        ys.append(y[~earlier])
-    return np.concatenate(xs), np.concatenate(ys)
-
-
-def _confirmed(x: np.ndarray, y: np.ndarray, mine: list[np.ndarray], theirs: list[np.ndarray]) -> np.ndarray:
-    """Which of the pairs of sets (mine[x], theirs[y]) are similar: one by one if few, else by bits of the shingles that several sets share."""
-    if len(x) <= 2000:
-        return np.array([_similar(mine[i], theirs[j]) for i, j in zip(x, y, strict=True)], bool)
-    sets = mine if mine is theirs else [*mine, *theirs]
-    words_, times = np.unique(np.concatenate(sets), return_counts=True)
-    words_ = words_[times > 1]
-    at = y if mine is theirs else y + len(mine)
-    both = np.zeros(len(x), np.int64)
-    for lo in range(0, len(words_), 1 << 14):
-        part = words_[lo : lo + (1 << 14)]
-        bits = np.zeros((len(sets), -(-len(part) // 64) * 64), bool)
-        for k, one in enumerate(sets):
-            inside = one[np.searchsorted(one, part[0]) : np.searchsorted(one, part[-1], "right")]
-            spot = np.searchsorted(part, inside)
-            bits[k, spot[part[spot] == inside]] = True
-        packed = np.packbits(bits, axis=1).view(np.uint64)
-        for i in range(0, len(x), 20_000):
-            both[i : i + 20_000] += np.bitwise_count(packed[x[i : i + 20_000]] & packed[at[i : i + 20_000]]).sum(axis=1, dtype=np.int64)
-    sizes = np.array([len(s) for s in sets])
-    return 100 * both >= SIMILAR * (sizes[x] + sizes[at] - both)
-
-
-def _forest(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links that join what the ones before have not joined."""
-    parent: dict[int, int] = {}
-
-    def root(a: int) -> int:
-        while (p := parent.setdefault(a, a)) != a:
-            parent[a] = parent[p]
-            a = p
-        return a
-
-    for a, b in zip(x.tolist(), y.tolist(), strict=True):
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            yield a, b
+def _links(block: Block, band: int, sets: Sets) -> Iterator[tuple[int, int]]:
+    """Links that join all components of the block that a confirmed likely pair joins; pairs that are joined by then aren't compared."""
+    comp = block.comp.copy()
+    for x, ys in _likely(block, band):
+        ys = ys[comp[ys] != comp[x]]
+        if len(ys):
+            for y in ys[sets.similar(x, ys)].tolist():
+                if comp[y] != comp[x]:
+                    comp[comp == comp[y]] = comp[x]
+                    yield int(block.nid[x]), int(block.nid[y])
 
 
 BLOCKED = ["key", "lo", "hi", "side", "band", "nid", "n", "comp", "sketch"]
 
 
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole blocks out of rows sorted by block; one block is held at most, beside a batch."""
+    held: list[pa.RecordBatch] = []
+    for b in _with_end(batches):
+        if b is not None and not b.num_rows:
+            continue
+        if b is None:
+            if held:
+                yield pa.Table.from_batches(held)
+            return
+        name = [np.concatenate([held[-1].column(k).to_numpy()[-1:] if held else [], b.column(k).to_numpy()]) for k in range(3)]
+        new = np.zeros(len(name[0]), bool)
+        for c in name:
+            new[1:] |= c[1:] != c[:-1]
+        at = np.flatnonzero(new) - (1 if held else 0)  # where blocks begin within the batch
+        if not len(at):
+            held.append(b)
+            continue
+        done = held + ([b.slice(0, at[-1])] if at[-1] else [])
+        if done:
+            yield pa.Table.from_batches(done)
+        held = [b.slice(at[-1])]
+
+
 def _over_blocks(exact: bool):
     """Over rows sorted by (key, lo, hi, side): members (key, nid) of likely pairs; or, of rows with texts, links (u, v) that join all similar pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in _with_end(batches):
-            t = held if b is None else pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            if t is None or not t.num_rows:
-                continue
+        for t in _whole_blocks(batches):
             c = {k: t.column(k).to_numpy() for k in BLOCKED[:-1]}
-            sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, COORDINATES)
             new = np.flatnonzero((np.diff(c["key"]) != 0) | (np.diff(c["lo"]) != 0) | (np.diff(c["hi"]) != 0)) + 1
-            edges = [0, *new.tolist(), t.num_rows]
-            if b is not None:
-                held, edges = t.slice(edges[-2]), edges[:-1]  # the last block may go on
-            first, second = [], []
+            edges, first, second = [0, *new.tolist(), t.num_rows], [], []
             for i, j in zip(edges, edges[1:], strict=False):
-                split = i + int(np.searchsorted(c["side"][i:j], 1)) if c["lo"][i] != c["hi"][i] else j
-                if j - i < 2 or c["lo"][i] != c["hi"][i] and split in (i, j):
-                    continue
-                own, far = slice(i, split), slice(split, j)
-                side = lambda at: Side(c["nid"][at], c["n"][at], c["comp"][at], sketches[at])  # noqa: E731, B023
-                mine, theirs = side(own), side(far) if split < j else None
-                x, y = _likely(mine, theirs, int(c["band"][i]))
-                if not len(x):
+                crossed = c["lo"][i] != c["hi"][i]
+                split = int(np.searchsorted(c["side"][i:j], 1)) if crossed else j - i
+                if j - i < 2 or crossed and split in (0, j - i):
                     continue
-                other = theirs or mine
+                at = slice(i, j)
+                sketch = np.frombuffer(b"".join(t.column("sketch").slice(i, j - i).to_pylist()), np.uint16).reshape(-1, COORDINATES)
+                block, band = Block(c["nid"][at], c["n"][at], c["comp"][at], sketch, split), int(c["band"][i])
                 if exact:
-                    sets = list(_unpacked(t.column("packed").combine_chunks().slice(i, j - i)))
-                    left = sets[: split - i]
-                    yes = _confirmed(x, y, left, sets[split - i :] if theirs else left)
-                    for u, v in _forest(mine.nid[x[yes]], other.nid[y[yes]]):
+                    for u, v in _links(block, band, Sets(list(_unpacked(t.column("packed").slice(i, j - i))))):
                         first.append(u)
                         second.append(v)
                 else:
-                    some = np.unique(np.concatenate([mine.nid[x], other.nid[y]]))
-                    first += [c["key"][i]] * len(some)
-                    second += some.tolist()
+                    some = np.zeros(j - i, bool)
+                    for x, ys in _likely(block, band):
+                        some[x] = some[ys] = True
+                    first += [int(c["key"][i])] * int(some.sum())
+                    second += block.nid[some].tolist()
             if first:
                 yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["u", "v"] if exact else ["key", "nid"])
 
@@ -286,50 +306,51 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     3. Buckets that still hold several components are compared inside tasks, in blocks of bounded size, on sketches: this leaves the
        members that have a likely partner in another component. These come again with their texts, and every likely pair that
        crosses components is verified on full sets inside its block, which returns only links that join something.
+       In a large bucket, only members outside its largest component meet all others, so rows grow as members; see `_blocks_of`.
     So a large group of copies costs links in proportion to its size, and no likely pair that would join two components
-    stays unverified.
+    stays unverified. Hot keys of joins are dealt in parts.
 
-    Null or wordless texts have an empty set and are linked with nothing. Repeated rows and ids: rows are nodes by text, and a
-    component takes the least id among its rows; null ids are passed over (a component of null ids only has a null one, and its
-    rows are kept). An empty table gives an empty result. Columns beyond id and text are not read.
+    Null or wordless texts have an empty set and are linked with nothing. Texts of any length count whole. Repeated rows and ids: rows are
+    nodes by text, and a component takes the least id among its rows; null ids are passed over (a component of null ids only has a
+    null one, and its rows are kept). An empty table gives an empty result. Columns beyond id and text are not read.
 
     with_keys: also text_key, the xxhash64 of the text, and root, a number that components share with no other (null: no words).
     """
     docs = pick(df, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    rows = cut(docs.select("doc_id", "text_key", "text").mapInArrow(_sketch_batches, SKETCHED))
-    nodes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("nid"), "digest", "least", "rep", "n", "sketch"))
-
-    width = 2 * ROWS
-    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 1 + k * width, width)) for k in range(BANDS)])
-    bands = nodes.select("nid", "n", F.posexplode(keys).alias("band", "key"))
-    shared = bands.groupBy("key").agg(F.min("nid").alias("first"), F.count("*").alias("members")).where("members > 1")
-    members = cut(bands.join(shared, "key").select("key", "band", "nid", "n", "first"))
-
-    agree = members.where("nid <> first").groupBy("nid", "first").agg(F.count("*").alias("bands"))
+    rows = settle(docs.select("doc_id", "text_key", "text").mapInArrow(_sketch_batches, SKETCHED))
+    nodes = rows.where("digest IS NOT NULL").groupBy("digest").agg(
+        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
+    )
+    nodes = settle(nodes.select(F.monotonically_increasing_id().alias("nid"), "digest", "least", "rep", "n", "sketch"))
+
+    bands = nodes.select("nid", "n", F.posexplode(F.array(*[_band(k) for k in range(BANDS)])).alias("band", "key"))
+    shared = bands.groupBy("key").agg(F.min(F.struct("nid", "n")).alias("first"), F.count("*").alias("__n")).where("__n > 1")
+    met = skew_join(bands, shared.drop("__n"), "key", place=F.struct("nid", "band"), sizes=shared)
+    members = settle(met.select("key", "band", "nid", "n", F.col("first.nid").alias("first"), F.col("first.n").alias("first_n")), 200_000)
+
+    size_fits = 100 * F.least("n", "first_n") >= SIMILAR * F.greatest("n", "first_n")
+    agree = members.where(F.col("nid") != F.col("first")).where(size_fits).groupBy("nid", "first").agg(F.count("*").alias("bands"))
     star = agree.groupBy("nid").agg(F.max(F.struct("bands", (-F.col("first")).alias("back"))).alias("b")).select(F.col("nid").alias("u"), (-F.col("b.back")).alias("v"))
     release(df.sparkSession)
-    stars = star_edges(cut(_verified(docs, nodes, star)))
+    stars = star_edges(settle(_verified(docs, nodes, settle(star))))
     release(df.sparkSession)
-    marked = cut(_blocks_of(nodes, members, stars).mapInArrow(_over_blocks(exact=False), "key bigint, nid bigint"))
-    if not marked.isEmpty():
-        left = members.join(marked.distinct(), ["key", "nid"], "left_semi")
-        texts = _texts(docs, nodes, left.select("nid").distinct())
-        links = cut(_blocks_of(nodes, left, stars, texts).mapInArrow(_over_blocks(exact=True), "u bigint, v bigint"))
-        if not links.isEmpty():
-            stars = star_edges(stars.unionByName(links))
+    stars = _joined(docs, nodes, members.select("key", "band", "nid", "n"), stars)
     release(df.sparkSession)
 
-    by_root = nodes.select("nid", "least").join(stars, F.col("nid") == F.col("u"), "left").select("nid", "least", F.coalesce("v", "nid").alias("root"))
-    linked = stars.select(F.col("u").alias("nid"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("nid"), F.col("v").alias("root")).distinct())
-    least = linked.join(by_root.select("nid", "least"), "nid").groupBy("root").agg(F.min("least").alias("component"))
-    of_node = linked.join(least, "root").select("nid", "component", "root")
-    of_digest = nodes.select("nid", "digest", "least").join(of_node, "nid", "left").select("digest", F.coalesce("component", "least").alias("component"), F.coalesce("root", "nid").alias("root"))
-    out = rows.select("doc_id", "n_shingles", "digest", "text_key").join(of_digest, "digest", "left")
+    by_node = nodes.select("nid", "least").join(stars.select(F.col("u").alias("nid"), F.col("v").alias("root")), "nid", "left").select("nid", "least", F.coalesce("root", "nid").alias("root"))
+    least = by_node.groupBy("root").agg(F.min("least").alias("component"))
+    of_node = skew_join(by_node, least, "root", place=F.col("nid")).select("nid", "component", "root")
+    of_digest = nodes.select("nid", "digest").join(of_node, "nid").select("digest", "component", "root")
+    out = skew_join(rows.select("doc_id", "n_shingles", "digest", "text_key"), of_digest, "digest", how="left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"), *(["text_key", "root"] if with_keys else []))
 
 
+def _band(k: int) -> Column:
+    """The bucket of band k."""
+    return F.xxhash64(F.lit(k), F.substring("sketch", 1 + k * 2 * ROWS, 2 * ROWS))
+
+
 def _texts(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
     """(nid, packed): the packed text of each asked node."""
     wanted = asked.join(nodes.select("nid", "rep"), "nid").select("nid", "rep.doc_id", "rep.text_key")
@@ -339,26 +360,89 @@ def _texts(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the node pairs (u, v) that the full sets confirm."""
-    size = lambda end: nodes.select(F.col("nid").alias(end), F.col("n").alias(f"n{end}"))
-    sized = pairs.join(size("u"), "u").join(size("v"), "v")
-    pairs = cut(sized.where(100 * F.least("nu", "nv") >= SIMILAR * F.greatest("nu", "nv")).select("u", "v"))
+    """Those of the node pairs (u, v) that the full sets confirm. A node v of many pairs is sent to many tasks."""
     texts = _texts(docs, nodes, pairs.select(F.explode(F.array("u", "v")).alias("nid")).distinct())
     left, right = texts.select(F.col("nid").alias("u"), F.col("packed").alias("text_u")), texts.select(F.col("nid").alias("v"), F.col("packed").alias("text_v"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v").mapInArrow(_verify_batches, "u bigint, v bigint")
+    dealt, hot = deal(pairs, "v")
+    both = dealt.join(left, "u").join(spread(right, hot, "v"), ["v", "__part"])
+    return both.select("u", "v", "text_u", "text_v").mapInArrow(_verify_batches, "u bigint, v bigint")
+
 
+def _joined(docs: DataFrame, nodes: DataFrame, members: DataFrame, stars: DataFrame) -> DataFrame:
+    """The stars after every likely pair of two components that shares a bucket was verified.
 
-def _blocks_of(nodes: DataFrame, members: DataFrame, stars: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """Members of buckets with several components, dealt in blocks: a bucket in one, a large one in one block for each two of its parts."""
+    A bucket is done after one pass, unless it is crowded: more members than a block outside its largest component. In a crowded one each
+    member meets one block of others in a pass; passes go on while they join components, ROUNDS at most. What is crowded then
+    is dealt by a second band that two members share, and what even so is crowded by all pairs of blocks.
+    """
+    for turn in range(ROUNDS):
+        mixed = settle(_mixed(members, stars))
+        if mixed.isEmpty():
+            return stars
+        before, stars = stars, _pass(docs, nodes, members, stars, mixed, turn)
+        crowded = mixed.where("parts > 1 AND other_parts > 1").select("key")
+        if crowded.isEmpty():
+            return stars
+        members = settle(members.join(crowded, "key", "left_semi"))
+        if stars is before:
+            break
+    sub = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64("key", _band(k)).alias("key")) for k in range(BANDS)])).alias("s")
+    finer = members.join(nodes.select("nid", "sketch"), "nid").select("band", "nid", "n", "key", "sketch").select("band", "nid", "n", sub)
+    finer = settle(finer.where("s.k <> band").select(F.col("s.key").alias("key"), F.lit(0).alias("band"), "nid", "n"))
+    return _pass(docs, nodes, finer, stars, settle(_mixed(finer, stars)), None)
+
+
+def _pass(docs: DataFrame, nodes: DataFrame, members: DataFrame, stars: DataFrame, mixed: DataFrame, turn: int | None) -> DataFrame:
+    """The stars after one pass over the blocks of `members`; the same object if no link was found."""
+    marked = settle(_blocks_of(nodes, members, stars, mixed, turn).mapInArrow(_over_blocks(exact=False), "key bigint, nid bigint"))
+    if marked.isEmpty():
+        return stars
+    left = settle(members.join(marked.distinct(), ["key", "nid"], "left_semi"))
+    texts = _texts(docs, nodes, left.select("nid").distinct())
+    links = settle(_blocks_of(nodes, left, stars, settle(_mixed(left, stars)), turn, texts).mapInArrow(_over_blocks(exact=True), "u bigint, v bigint"))
+    return stars if links.isEmpty() else star_edges(stars.unionByName(links))
+
+
+def _placed(members: DataFrame, stars: DataFrame) -> DataFrame:
+    """Members with the component that they are in so far."""
     root = stars.select(F.col("u").alias("nid"), F.col("v").alias("root"))
-    placed = members.join(root, "nid", "left").select("key", "band", "nid", "n", F.coalesce("root", "nid").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("members"), F.sum("n").alias("shingles")).where("least <> most")
-    parts = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    held = placed.join(mixed.select("key", parts.alias("parts")), "key").withColumn("mine", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
-    dealt = held.select("key", "band", "nid", "n", "comp", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
-    dealt = dealt.select("key", F.least("mine", "with").alias("lo"), F.greatest("mine", "with").alias("hi"), (F.col("mine") > F.col("with")).cast("int").alias("side"), "band", "nid", "n", "comp")
-    dealt = dealt.join(nodes.select("nid", "sketch"), "nid").select(*BLOCKED) if texts is None else dealt.join(nodes.select("nid", "sketch"), "nid").join(texts, "nid").select(*BLOCKED, "packed")
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "nid")
+    return members.join(root, "nid", "left").select("key", "band", "nid", "n", F.coalesce("root", "nid").alias("comp"))
+
+
+def _mixed(members: DataFrame, stars: DataFrame) -> DataFrame:
+    """Buckets with several components: members, the largest component, and into how many blocks all members and those outside it go."""
+    by_comp = _placed(members, stars).groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    most = F.max(F.struct("c", "s", "comp"))
+    by_key = by_comp.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.sum("s").alias("s"), most.alias("most")).where("comps > 1")
+    parts = lambda c, s: F.greatest(F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    others = parts(F.col("c") - F.col("most.c"), F.col("s") - F.col("most.s"))
+    return by_key.select("key", F.col("c").alias("__n"), F.col("most.comp").alias("largest"), parts(F.col("c"), F.col("s")).alias("parts"), others.alias("other_parts"))
+
+
+def _blocks_of(nodes: DataFrame, members: DataFrame, stars: DataFrame, mixed: DataFrame, turn: int | None, texts: DataFrame | None = None) -> DataFrame:
+    """Members of mixed buckets, dealt in blocks (key, lo, hi): sides 0 and 1 of a block meet, or, if lo is hi, all of it.
+
+    A bucket that fits is one block. Of a large one, parts of the largest component meet the others: the former are dealt
+    once, the others to all parts, so both come to about as many rows as the bucket has members if the others fit one block. If they don't, the bucket is crowded:
+    each member goes to one block, another one at each `turn`; or, with no `turn`, all pairs of parts of the others meet too.
+    """
+    held = skew_join(_placed(members, stars), mixed.drop("__n"), "key", place=F.struct("nid", "band"), sizes=mixed)
+    parts, others, at = F.col("parts"), F.col("other_parts"), lambda lo, hi, side: F.struct(lo.alias("lo"), hi.alias("hi"), side.alias("side"))
+    zero, one = F.lit(0), F.lit(1)
+    mine = F.pmod(F.xxhash64("nid"), parts).cast("int")
+    far = parts + F.pmod(F.xxhash64("nid"), others).cast("int")
+    each = lambda n, f: F.transform(F.sequence(zero, n - 1), f)
+    with_largest = each(parts, lambda p: at(p, far, one))
+    with_others = each(others, lambda q: at(F.least(far, parts + q), F.greatest(far, parts + q), (far > parts + q).cast("int")))
+    dealt = F.when(F.col("comp") == F.col("largest"), each(others, lambda q: at(mine, parts + q, zero))).otherwise(F.concat(with_largest, with_others))
+    if turn is not None:
+        own = F.pmod(F.xxhash64("nid", F.lit(turn)), parts).cast("int")
+        dealt = F.when(others > 1, F.array(at(own, own, zero))).otherwise(dealt)
+    dealt = F.when(parts <= 1, F.array(at(zero, zero, zero))).otherwise(dealt)
+    rows = held.select("key", "band", "nid", "n", "comp", F.explode(dealt).alias("b")).select("key", "b.lo", "b.hi", "b.side", "band", "nid", "n", "comp")
+    rows = rows.join(nodes.select("nid", "sketch"), "nid")
+    rows = rows.select(*BLOCKED) if texts is None else rows.join(texts, "nid").select(*BLOCKED, "packed")
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "nid")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

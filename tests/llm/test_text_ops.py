@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cleave.llm import common, decontaminate, html_text, language_id, media, minhash, pii, quality
+from cleave.operators.components import least_reached as components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORDS = "the of and river stone winter garden paper silver mountain window letter table horse morning question answer light number forest".split()
@@ -300,14 +301,37 @@ def test_sketch_estimates_and_fills():
     assert abs((s[0] == s[1]).mean() - 900 / 1100) < 0.12
 
 
-def test_block_confirmation_forms_agree():
+def test_block_confirmation_against_plain_sets():
     rng = np.random.default_rng(2)
     base = np.unique(rng.integers(0, 1 << 62, 300, dtype=np.uint64))
     sets = [np.unique(np.where(rng.random(len(base)) < rate, rng.integers(0, 1 << 62, len(base), dtype=np.uint64), base)) for rate in rng.uniform(0, 0.15, 80)]
     x, y = np.tril_indices(80, -1)
-    want = [minhash._similar(sets[i], sets[j]) for i, j in zip(x, y, strict=True)]
-    assert len(x) > 2000 and minhash._confirmed(x, y, sets, sets).tolist() == want and 0 < sum(want) < len(want)
-    assert minhash._confirmed(np.repeat(x, 2), np.repeat(y, 2), sets, list(sets)).tolist() == np.repeat(want, 2).tolist()
+    want = np.array([minhash._similar(sets[i], sets[j]) for i, j in zip(x, y, strict=True)])
+    assert 0 < want.sum() < len(want)
+    held = minhash.Sets(sets)
+    for i in range(1, 80):
+        assert held.similar(i, y[x == i]).tolist() == want[x == i].tolist()
+        assert held.similar(i, np.array([0])).tolist() == want[(x == i) & (y == 0)].tolist()
+    drawn = minhash.sketch(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    block = minhash.Block(np.arange(80) + 500, np.array([len(s) for s in sets]), np.arange(80), drawn, 80)
+    tree = list(minhash._links(block, 0, held))
+    assert all(minhash._similar(sets[u - 500], sets[v - 500]) for u, v in tree)
+    label = components(80, x[want], y[want])
+    assert len(tree) == 80 - len(set(label)) and (components(80, *(np.array(tree).T - 500)) == label).all()
+
+
+@pytest.mark.parametrize(("components_", "most"), [(2, 2.2), (3000, 1.0)])
+def test_a_hot_bucket_is_dealt_in_proportion(spark, components_, most):
+    """4,000 members of one bucket: with one stranger, or crowded with components."""
+    n = 4000
+    ids = spark.range(n).select(F.col("id").alias("nid"), F.lit(20).cast("bigint").alias("n"))
+    members = ids.select(F.lit(7).cast("bigint").alias("key"), F.lit(0).alias("band"), "nid", "n")
+    stars = spark.range(components_, n).select(F.col("id").alias("u"), F.lit(0).cast("bigint").alias("v"))
+    nodes = ids.select("nid", F.lit(b"").alias("sketch"))
+    blocks = minhash._blocks_of(nodes, members, stars, minhash._mixed(members, stars), 0)
+    by_block = blocks.groupBy("lo", "hi").count()
+    assert blocks.count() <= most * n and by_block.agg(F.max("count")).first()[0] < 1.3 * minhash.BLOCK
+    assert blocks.select("nid").distinct().count() == n
 
 
 # 5. Decontamination.
