@@ -346,6 +346,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"), *(["text_key", "root"] if with_keys else []))
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `df`, a table, that stand for their near-duplicate group: one of each, all columns.
+
+    It is that with the least id, nulls last, and of rows of one id that with the least hash of its text; of rows equal in both, that with the least
+    hash of all columns. Wordless texts are linked with nothing: one row stays of each id and text, and all rows of null ids.
+    """
+    found = settle(near_duplicates(df, id_col, text_col, with_keys=True), 200_000)
+    name = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_key"]
+    worded = found.where("root IS NOT NULL").select("root", *name).groupBy("root").agg(F.min(F.struct("no_id", "id", "text_key")).alias("r")).select("r.*")
+    wordless = found.where("root IS NULL").select(*name).distinct()
+    chosen = worded.withColumn("all", F.lit(False)).unionByName(wordless.withColumn("all", F.col("no_id")))
+    keys = ["id", "no_id", "text_key"]
+    times = found.select(*name).groupBy(*keys).agg(F.count("*").alias("__n"))
+    chosen = settle(chosen.join(times, keys), 200_000)
+    flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    names, at = flat.columns, {c: F.col(f"c{df.columns.index(c)}") for c in (id_col, text_col)}
+    doc_id = at[id_col].cast("bigint")
+    rows = flat.select("*", F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("no_id"), F.xxhash64(at[text_col]).alias("text_key"))
+    plain, several = F.col("all") | (F.col("__n") == 1), chosen.where("NOT all AND __n > 1")
+    out = skew_join(rows, chosen.where(plain).select(*keys), *keys, sizes=chosen.where(plain)).select(*names)
+    if not several.isEmpty():
+        repeated = skew_join(rows, several.select(*keys), *keys, sizes=several)
+        one = repeated.groupBy(*keys).agg(F.min(F.struct(F.xxhash64(*names).alias("hash"), F.to_json(F.struct(*names)).alias("json"), F.struct(*names).alias("row"))).alias("r"))
+        out = out.unionByName(one.select("r.row.*"))
+    return out.toDF(*df.columns)
+
+
 def _band(k: int) -> Column:
     """The bucket of band k."""
     return F.xxhash64(F.lit(k), F.substring("sketch", 1 + k * 2 * ROWS, 2 * ROWS))

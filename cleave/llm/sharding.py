@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable
 from math import ceil
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cleave.llm.common import pick
-from cleave.session import cut
+from cleave.operators.skew import skew_join
+from cleave.session import settle
 
 
 class _Node:
@@ -126,37 +128,44 @@ def best_fit_decreasing(sizes: Iterable[int], capacity: int, bins: int | None =
     return out
 
 
-#: A shard's capacity over the size below which groups are bundled: a bundle is at most 1/256 of a shard, twice that at worst.
+#: A shard's capacity over the size below which groups are bundled: a bundle is at most 1/256 of a shard.
 GRAIN = 256
 #: Small groups are dealt to this many runs at most before bundling.
-MOST_RUNS = 4096
-#: Rows that are numbered in one task at a time, about.
+MOST_RUNS = 1 << 16
+#: Rows that are numbered, and small groups that are bundled, in one task at a time, about.
 RUN_ROWS = 20_000
 
 
+def _bundles(f: pd.DataFrame, unit: int) -> pd.DataFrame:
+    """The groups of a run with the bundle that best-fit-decreasing packing puts them in."""
+    f = f.sort_values(["bytes", "group_id"], ascending=[False, True], ignore_index=True)
+    f["part"] = best_fit_decreasing(f["bytes"].tolist(), unit)
+    return f
+
+
 def shard(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, group_id: rows in shards of near equal bytes (law `bytes`).
 
     Equal texts are one group and share a shard. A group larger than a whole shard can't, as sizes would differ: it is
-    dealt by id into up to 1024 parts, each packed on its own. Groups of at least 1/256 of a shard are packed one by one, by
-    falling size into the fullest shard that still takes them; smaller ones are first gathered into bundles of about that
-    size. So the driver packs at most a few items for each 1/256 of a shard, however large the table is.
+    dealt by row into up to 1024 parts, each packed on its own. Groups of at least 1/256 of a shard are packed one by one, by
+    falling size into the fullest shard that still takes them; smaller ones are first packed in the same way into bundles of that
+    size, run by run. So the driver packs at most a few items for each 1/256 of a shard, and one for each run, however large the table is.
 
-    Null text: no bytes, size 8, crc 0, and one group of its own with empty texts. Repeated rows and null ids: each row has
-    its slot. An empty table gives an empty result. Columns beyond id and text are not read.
+    Null text: no bytes, size 8, crc 0, and one group of its own with empty texts. Texts of any length count whole. Repeated rows and null
+    ids: each row has its slot. An empty table gives an empty result. Columns beyond id and text are not read.
     """
     spark = df.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = cut(
+    rows = settle(
         pick(df, id_col, text_col).toDF("doc_id", "text").select(
             F.col("doc_id").cast("bigint").alias("doc_id"),
             (F.octet_length(text) + 8).cast("bigint").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.unhex(F.md5(text.cast("binary"))).alias("group_id"),
-        )
-    )
-    groups = rows.groupBy("group_id").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.sum("size").alias("bytes"))
-    groups = cut(groups)
+        ),
+        200_000,
+    ).withColumn("place", F.monotonically_increasing_id())
+    groups = settle(rows.groupBy("group_id").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.sum("size").alias("bytes")), 200_000)
     n_groups, total, n_rows = groups.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     capacity = max(1, ceil(total / n_shards))
     unit = max(1, capacity // GRAIN)
@@ -164,17 +173,16 @@ def shard(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: s
 
     # What is packed: cells of oversize groups, large groups, bundles of small ones. All have a bounded number.
     over, large, small = F.col("bytes") > capacity, F.col("bytes") >= unit, F.col("bytes") < unit
-    ordered = Window.partitionBy("run").orderBy(F.desc("bytes"), "group_id").rowsBetween(Window.unboundedPreceding, -1)
-    bundled = groups.where(small).select("group_id", "bytes", F.pmod(F.xxhash64("group_id"), F.lit(runs)).alias("run"))
-    bundled = cut(bundled.select("group_id", "bytes", "run", F.floor(F.coalesce(F.sum("bytes").over(ordered), F.lit(0)) / unit).alias("part")))
+    by_run = groups.where(small).select("group_id", "bytes", F.pmod(F.xxhash64("group_id"), F.lit(runs)).alias("run"))
+    bundled = settle(by_run.groupBy("run").applyInPandas(lambda f: _bundles(f, unit), "group_id binary, bytes bigint, run bigint, part bigint"), 200_000)
     wide = groups.where(over).select("group_id", F.lit(True).alias("dealt"))
-    cell = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(4 * GRAIN))
+    cell = F.pmod(F.xxhash64(F.lit(7), "place"), F.lit(4 * GRAIN))
     cells = rows.join(F.broadcast(wide), "group_id").groupBy("group_id", cell.alias("part")).agg(F.sum("size").alias("bytes"))  # at most n_shards groups
     none, no_group = F.lit(-1).cast("bigint"), F.lit(None).cast("binary")
     items = (
         cells.select("group_id", none.alias("run"), F.col("part").cast("bigint").alias("part"), "bytes")
         .unionByName(groups.where(large & ~over).select("group_id", none.alias("run"), none.alias("part"), "bytes"))
-        .unionByName(bundled.groupBy("run", "part").agg(F.sum("bytes").alias("bytes")).select(no_group.alias("group_id"), F.col("run").cast("bigint").alias("run"), F.col("part").cast("bigint").alias("part"), "bytes"))
+        .unionByName(bundled.groupBy("run", "part").agg(F.sum("bytes").alias("bytes")).select(no_group.alias("group_id"), "run", "part", "bytes"))
     )
     found = sorted(items.collect(), key=lambda r: (-r["bytes"], bytes(r["group_id"] or b""), r["run"], r["part"]))
     bins = best_fit_decreasing([r["bytes"] for r in found], capacity, n_shards)
@@ -186,14 +194,15 @@ def shard(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: s
     by_cell = placed.where("run < 0 AND part >= 0").select("group_id", F.col("part").alias("cell"), F.col("shard").alias("cell_shard"))
     spread = [r["group_id"] for r in by_cell.select("group_id").distinct().collect()]
     home = rows.withColumn("cell", F.when(F.col("group_id").isin(spread), cell) if spread else F.lit(None).cast("bigint"))
-    home = home.join(whole, "group_id", "left").join(F.broadcast(by_cell), ["group_id", "cell"], "left")
+    home = home.join(F.broadcast(by_cell), ["group_id", "cell"], "left")  # at most n_shards groups of 1024 cells
+    home = skew_join(home, whole, "group_id", how="left", place=F.col("place"), sizes=groups.select("group_id", F.col("n").alias("__n")))
 
     pieces = max(16, ceil(n_rows / (n_shards * RUN_ROWS)))
-    home = cut(home.select("doc_id", "size", "text_crc32", "group_id", F.coalesce("shard", "cell_shard").alias("shard"), F.pmod(F.xxhash64("doc_id", "group_id"), F.lit(pieces)).alias("piece")))
+    home = settle(home.select("doc_id", "size", "text_crc32", "group_id", "place", F.coalesce("shard", "cell_shard").alias("shard"), F.pmod(F.xxhash64("place"), F.lit(pieces)).alias("piece")), 200_000)
     counts = home.groupBy("shard", "piece").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "piece").orderBy(F.col("doc_id").asc_nulls_last(), "group_id")
+    within = Window.partitionBy("shard", "piece").orderBy(F.col("doc_id").asc_nulls_last(), "group_id", "place")
     numbered = home.withColumn("at", F.row_number().over(within)).join(starts, ["shard", "piece"])
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("at") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.hex("group_id").alias("group_id"))
 

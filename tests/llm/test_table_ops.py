@@ -75,6 +75,13 @@ def test_shards_of_few_rows(spark):
     for rows in ([(1, "a")], [(None, "a"), (None, "a"), (2, "b " * 20_000)], [(1, "x"), (1, "x"), (1, "y")]):
         check_shards(rows, sharding.shard(docs(spark, rows)).collect())
     assert sharding.shard(docs(spark, [(1, "a")]).where("false")).count() == 0
+    for i in (7, None):  # a hot group of one id
+        got = sharding.shard(docs(spark, [(i, "one row many times " * 10)] * 2000)).collect()
+        check_shards([(i, "one row many times " * 10)] * 2000, got)
+        size = defaultdict(int)
+        for r in got:
+            size[r["shard"]] += r["size"]
+        assert len(size) == 24 and max(size.values()) <= 1.1 * min(size.values())
     again = [sorted(map(str, sharding.shard(docs(spark, [(k, "t" * k) for k in range(50)])).collect())) for _ in range(2)]
     assert again[0] == again[1]
 
@@ -147,6 +154,46 @@ def test_mix(spark):
     assert twins.count() == 3 and twins.agg(F.sum("taken")).first()[0] == 4
 
 
+def test_short_and_long_documents_are_taken_alike():
+    rng = np.random.default_rng(1)
+    lengths = np.arange(16, 1200)
+    counts = np.where(lengths < 64, 1, rng.integers(1, 12, len(lengths)))
+    total, runs = int((lengths * counts).sum()), 60
+    rates, off = np.zeros(len(lengths)), []
+    for seed in range(runs):
+        take = mixing.fit(lengths, counts, int(total * 0.45), seed)
+        rates += take / counts / runs
+        off.append(int(total * 0.45) - int((take * lengths).sum()))
+    assert max(off) == 0 and abs(rates[lengths < 64].mean() - 0.45) < 0.06 and abs(rates[lengths >= 64].mean() - 0.45) < 0.02
+
+
+def test_many_sources_are_weighed_alike(spark, monkeypatch):
+    rng = random.Random(4)
+    sizes = [(f"s{k}é"[: rng.randint(1, 5)] + str(k), rng.choice([0, 1, 7, 90, 2000, 10**7])) for k in range(60)] + [(None, 55)]
+    df = spark.createDataFrame(sizes, "source string, n bigint")
+    few = sorted(map(tuple, mixing.plan_sources(df).collect()))
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 10)
+    many = sorted(map(tuple, mixing.plan_sources(df).collect()))
+    assert [r[:3] + r[4:] for r in few] == [r[:3] + r[4:] for r in many] and [r[3] for r in few] == pytest.approx([r[3] for r in many])
+
+
+def test_mix_counts_rows_without_or_with_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TOGETHER", 3)
+    rows = [(None, "a b c", None, "s")] * 7 + [(None, "d e f", None, "s"), (5, "g h i", None, "s"), (5, "j k l", None, "s"), (6, "m n o", None, "s")] + [(9, "p q r", None, "t")] * 5 + [(1, None, None, "t"), (2, "u " * 40, None, "z")]
+    d = docs(spark, rows, clash=True)
+    got = mixing.mix_sources(d).collect()
+    assert len(got) == len(rows)
+    out = corpus_pipeline.mixing_stage(spark, d, "")
+    assert out.columns == d.columns
+    for source in "stz":
+        here = out.toDF(*[f"c{i}" for i in range(len(out.columns))]).where(F.col("c3") == source).collect()
+        goal = next(r["target"] for r in got if r["source_size"] == {"s": 33, "t": 15, "z": 40}[source])
+        size = 40 if source == "z" else 3
+        assert abs(len(here) * size - goal) <= size
+    texts = [(r[0], r[1]) for r in out.toDF(*[f"c{i}" for i in range(len(out.columns))]).collect()]
+    assert all(texts.count(t) <= 3 * [(i, x) for i, x, _, _ in rows].count(t) for t in texts)
+
+
 # 10. URLs.
 def plain_verdict(url, rules):
     host = path = ""
@@ -240,6 +287,15 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, tmp_path):
     assert sorted((r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, d, str(tmp_path)).collect()), key=str) == [1, None, None]
 
 
+def test_pipeline_drops_near_copies_without_an_id(spark):
+    rng = random.Random(19)
+    a, b = sentence(rng, 60), sentence(rng, 60)
+    rows = [(4, a), (None, a + " end"), (None, a), (None, b), (None, b + " end"), (None, b), (None, ""), (None, ""), (None, None)]
+    out = corpus_pipeline.dedup_stage(spark, docs(spark, rows, clash=True), "")
+    got = sorted(((r[0], r[1]) for r in out.collect()), key=str)
+    assert len(got) == 5 and (4, a) in got and sum(t in (b, b + " end") for _, t in got) == 1 and [t for _, t in got].count("") == 2
+
+
 def test_pipeline_keeps_different_texts_of_one_id(spark, tmp_path):
     rng = random.Random(9)
     a, b, c = (sentence(rng, 40) for _ in range(3))
