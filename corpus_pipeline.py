@@ -9,70 +9,44 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cleave.llm import decontaminate, minhash, mixing, quality, sharding
-from cleave.llm.common import fresh, pick
 from cleave.session import release, remove, shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score at least the classifier's threshold; null texts score as empty ones."""
+    """Documents that score at least the classifier's threshold; null texts score as empty ones. Null and repeated ids are rows of their own.
+
+    Without labels every document stays; an empty table gives an empty one.
+    """
     machine = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, machine)
 
 
-def _by_id(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows of `docs` joined with `chosen` (id, times): each as often as it says; a null id meets a null id."""
-    key, times = fresh(docs, "chosen_id"), fresh(docs, "chosen_times")
-    flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    names = {f"c{i}": c for i, c in enumerate(docs.columns)}
-    at = f"c{docs.columns.index('doc_id')}"
-    met = flat.join(chosen.toDF(key, times), F.col(at).eqNullSafe(F.col(key)))
-    repeated = met.withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(times).cast("int"))))
-    return repeated.select(*[F.col(c).alias(name) for c, name in names.items()])
-
-
-def _by_text(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows of `docs` whose id and hash of the text are in `chosen` (id, text_key), one row each: that with the least hash of all columns."""
-    key, text_key, place = (fresh(docs, name) for name in ("chosen_id", "chosen_text", "chosen_place"))
-    flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    at, text = (F.col(f"c{docs.columns.index(name)}") for name in ("doc_id", "text"))
-    met = flat.join(chosen.toDF(key, text_key), (at == F.col(key)) & (F.xxhash64(text) == F.col(text_key)))
-    columns = [F.to_json(F.struct(*flat.columns))]
-    first = met.withColumn(place, F.row_number().over(Window.partitionBy(key, text_key).orderBy(F.xxhash64(*columns), *columns))).where(F.col(place) == 1)
-    return first.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
-
-
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the least id. Null ids stay all.
+    """One document of each near-duplicate group: that with the least id (nulls last) and, of rows of one id, the least hash of its text.
 
-    Rows may repeat an id: each row goes by its own text, and of rows of one id and one group that with the least hash of its text stays.
+    Wordless texts are groups of their own: each id keeps one row of each such text, and rows without an id all stay. Extra columns
+    go along; an empty table gives an empty one.
     """
-    found = minhash.near_duplicates(docs, with_keys=True).where("kept")
-    twice = pick(docs, "doc_id").where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if twice.isEmpty():
-        return _by_id(docs, found.select("doc_id").distinct().withColumn("times", F.lit(1)))
-    group = F.coalesce("root", "text_key").alias("group")  # wordless texts are groups of their own
-    chosen = found.where("doc_id IS NOT NULL").groupBy("doc_id", F.col("root").isNull(), group).agg(F.min("text_key").alias("text_key")).select("doc_id", "text_key")
-    nulls = found.where("doc_id IS NULL").select("doc_id").distinct().withColumn("times", F.lit(1))
-    return _by_text(docs, chosen).unionAll(_by_id(docs.where("doc_id IS NULL"), nulls))
+    return minhash.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word inside a benchmark window."""
+    """Documents without a word inside a benchmark window; null and wordless texts have none and stay, whatever their id."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, or up to three times. Wordless documents carry no weight and go."""
-    mixed = mixing.mix_sources(docs).where("repeats > 0")
-    return _by_id(docs, mixed.groupBy("doc_id").agg(F.max("repeats").alias("times")))
+    """Each document as often as the mix takes it: not at all, or up to three times. Wordless and null texts carry no weight and go.
+
+    Null and repeated ids: each row counts by itself, and rows that are equal in all columns stand in for one another.
+    """
+    return mixing.repeat_documents(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row's shard and slot."""
+    """Every row's shard and slot, also of null and repeated ids and null texts; extra columns are not returned."""
     return sharding.shard(docs)
 
 
