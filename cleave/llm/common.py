@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -137,6 +137,17 @@ def words(raw: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.
     return starts, ends, hashes, word_offsets
 
 
+def keep_where(df: DataFrame, text_col: str, judge: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of `df`, all columns, whose text `judge` tells to keep. Only the texts go to Python and only a flag comes back."""
+
+    def flags(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for x in texts:
+            yield pa.array(judge(x), pa.bool_())
+
+    flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return flat.where(F.arrow_udf(flags, "boolean")(F.col(f"c{df.columns.index(text_col)}").cast("string"))).toDF(*df.columns)
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of a DDL of plain types."""
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Iterator
 from math import ceil
 
@@ -13,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleave.llm.common import ALNUM, LOWER, arrow_schema, blocks, pick, text_buffer, words
+from cleave.llm.common import ALNUM, LOWER, arrow_schema, blocks, keep_where, pick, text_buffer, words
+from cleave.session import cut, remove, shared_folder
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 10
@@ -121,40 +123,59 @@ def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _blocks_of(items: DataFrame) -> Iterator[list[tuple[str, str]]]:
-    """The items in lists of about MOST_BYTES of text, each collected on its own."""
+    """The items in lists of about MOST_BYTES of text, one at a time: of several, each is read from its own part of a table."""
+    spark = items.sparkSession
     slim = items.where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").distinct()
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, ceil(total / MOST_BYTES))
+    n = ceil(total / MOST_BYTES)
+    rows = lambda df: sorted((r["item_id"], r["text"]) for r in df.select("item_id", "text").collect())
+    if n <= 1:
+        yield rows(slim)
+        return
+    path = f"{shared_folder(spark)}/benchmark-{uuid.uuid4().hex}"
+    slim.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).repartition("part").write.partitionBy("part").parquet(path)
+    whole = spark.read.schema("item_id string, text string, part bigint").parquet(path)
     for k in range(n):
-        part = slim if n == 1 else slim.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield sorted((r["item_id"], r["text"]) for r in part.collect())
+        yield rows(whole.where(F.col("part") == k))
+    remove(spark, path)
+
+
+_LAST: list = []
+
+
+def _matcher(items: list[tuple[str, str]]) -> Matcher:
+    """The automaton of a broadcast list; a Python worker keeps the last one that it has built."""
+    if not _LAST or _LAST[0] is not items:
+        _LAST[:] = [items, Matcher(items)]
+    return _LAST[1]
 
 
 def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans: words of each document inside benchmark windows.
 
-    Each text is scanned once for each MOST_BYTES of benchmark text (so once, for the usual benchmark): the automaton of one such block is what
-    a task holds. spans has the merged hits as start:end in code points of the original text, comma-joined.
+    One automaton of all windows scans each text once. A benchmark of more than MOST_BYTES is scanned for in passes, one automaton each; what a
+    pass has found is written with the texts before the next, so a task holds one automaton at any time. spans has the merged hits as
+    start:end in code points of the original text, comma-joined.
 
-    Null texts and texts without words have 0 words and no hit; items without words are never found; a null item id counts as
-    the empty string. Items of equal text are all found. Repeated rows and null ids stay rows of their own. An empty benchmark
-    hits nothing. Columns beyond those named are not read.
+    Null texts and texts without words have 0 words and no hit; texts of any length are scanned whole. Items without words are never found; a
+    null item id counts as the empty string. Items of equal text are all found. Repeated rows and null ids stay rows of their own. An empty
+    benchmark hits nothing; an empty table gives an empty result. Columns beyond those named are not read.
     """
     spark = df.sparkSession
     docs = pick(df, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    lists = list(_blocks_of(pick(benchmark, "item_id", "text")))
-    state = "doc_id bigint, text string, found string"
-    for k, items in enumerate(lists):
-        shared, last, follows = spark.sparkContext.broadcast(items), k == len(lists) - 1, k > 0
-        docs = docs.mapInArrow(_scanner(shared, follows, last), RESULT if last else state)
-    return docs
+    passes = _blocks_of(pick(benchmark, "item_id", "text"))
+    items, follows = next(passes), False
+    while (then := next(passes, None)) is not None:
+        docs = cut(docs.mapInArrow(_scanner(spark.sparkContext.broadcast(items), follows, False), "doc_id bigint, text string, found string"))
+        items, follows = then, True
+    return docs.mapInArrow(_scanner(spark.sparkContext.broadcast(items), follows, True), RESULT)
 
 
 def _scanner(shared, follows: bool, last: bool):
     schema = arrow_schema(RESULT if last else "doc_id bigint, text string, found string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value)
+        matcher = _matcher(shared.value)
         for b in batches:
             raw, offsets = text_buffer(b.column(1))
             before = b.column(2) if follows else None
@@ -166,7 +187,8 @@ def _scanner(shared, follows: bool, last: bool):
                         ranges, items, places = merge([*map(tuple, old[0]), *ranges]), items | set(old[1]), merge([*map(tuple, old[2]), *places])
                     if last:
                         named = sorted(items)
-                        out.append((n, sum(e - s for s, e in ranges), len(named), hashlib.sha256(",".join(named).encode()).hexdigest(), bool(ranges), ",".join(f"{s}:{e}" for s, e in places)))
+                        digest = hashlib.sha256(",".join(named).encode()).hexdigest()
+                        out.append((n, sum(e - s for s, e in ranges), len(named), digest, bool(ranges), ",".join(f"{s}:{e}" for s, e in places)))
                     else:
                         out.append((json.dumps([ranges, sorted(items), places]),))
                 kept = [b.column(0).slice(i, j - i)] + ([] if last else [b.column(1).slice(i, j - i).cast(pa.string())])
@@ -176,27 +198,29 @@ def _scanner(shared, follows: bool, last: bool):
     return run
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, whose text has no word inside a benchmark window. Same rules as `find_contamination`."""
-    spark = docs.sparkSession
-    out, at = docs, docs.columns.index(text_col)
-    for items in _blocks_of(pick(benchmark, "item_id", "text")):
-        shared = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value)
-            for b in batches:
-                raw, offsets = text_buffer(b.column(at))
-                clean = np.ones(b.num_rows, bool)
-                for i, j in blocks(offsets):
-                    for d, _, ranges, _, _ in matcher.scan(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
-                        clean[i + d] = not ranges
-                yield b.filter(pa.array(clean))
-
-        out = out.mapInArrow(run, docs.schema)
+    out, passes = docs, _blocks_of(pick(benchmark, "item_id", "text"))
+    items = next(passes)
+    while items is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+        out = keep_where(out, text_col, lambda texts, shared=shared: _clean(_matcher(shared.value), texts))
+        items = next(passes, None)
+        if items is not None:
+            names = out.columns
+            out = cut(out.toDF(*[f"c{i}" for i in range(len(names))])).toDF(*names)
     return out
 
 
+def _clean(matcher: Matcher, texts: pa.Array) -> np.ndarray:
+    raw, offsets = text_buffer(texts)
+    clean = np.ones(len(offsets) - 1, bool)
+    for i, j in blocks(offsets):
+        for d, _, ranges, _, _ in matcher.scan(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+            clean[i + d] = not ranges
+    return clean
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     found = find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.drop("spans")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleave.llm.common import NON_SPACE, U64, arrow_schema, blocks, held_out, pick, text_buffer, words
+from cleave.llm.common import NON_SPACE, U64, arrow_schema, blocks, held_out, keep_where, pick, text_buffer, words
 
 #: Buckets of hashed words, bins of each statistic, factors.
 BUCKETS, BINS, FACTORS = 1 << 14, 16, 8
@@ -213,9 +213,9 @@ def _scores(machine: Machine, column: pa.Array) -> np.ndarray:
 def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text.
 
-    Null texts score as empty ones; these have a score too. Equal texts score alike. Without labelled rows the score is 0.5 and
-    all are predicted 1. Repeated rows and null ids stay rows of their own; a null id is held out. Columns beyond id and text
-    are not read.
+    Null texts score as empty ones; these have a score too. Texts of any length count whole. Equal texts score alike. Without labelled rows the
+    score is 0.5 and all are predicted 1. Repeated rows and null ids stay rows of their own; a null id is held out. An empty table gives an
+    empty result. Columns beyond id and text are not read.
     """
     rows = pick(df, id_col, text_col).toDF("doc_id", "text")
     rows = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
@@ -232,14 +232,8 @@ def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str
 
 def keep_good(df: DataFrame, machine: Machine, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `df`, all columns, that score at least `threshold`. Same rules as `score`."""
-    shared, at = df.sparkSession.sparkContext.broadcast(tuple(machine)), df.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Machine(*shared.value)
-        for b in batches:
-            yield b.filter(pa.array(_scores(held, b.column(at)) >= threshold))
-
-    return df.mapInArrow(run, df.schema)
+    shared = df.sparkSession.sparkContext.broadcast(tuple(machine))
+    return keep_where(df, text_col, lambda texts: _scores(Machine(*shared.value), texts) >= threshold)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
