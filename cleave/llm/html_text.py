@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from math import log1p, sqrt
+from math import log1p
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +17,7 @@ RESULT = "page_id bigint, url string, text string, n_chars bigint"
 
 # HTML's element kinds, and names that mark parts of a page that are not its text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math select xmp noembed object canvas audio video".split())
+RAW = frozenset("script style textarea title noscript iframe template svg select xmp noembed object canvas audio video".split())
 BLOCK = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption"
     " figure figcaption header footer nav aside form fieldset address details summary hr center dialog menu hgroup legend optgroup option".split()
@@ -35,8 +35,9 @@ ENDS = {
     "thead": ({"thead", "tbody", "tfoot"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}),
 }
-OUTSIDE_TAGS = frozenset("head nav footer aside form dialog menu button label fieldset".split())
-OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
+MENU_TAGS, MENU_ROLES = frozenset(("nav", "menu")), frozenset(("navigation",))
+OUTSIDE_TAGS = frozenset("head footer aside form dialog button label fieldset".split())
+OUTSIDE_ROLES = frozenset("banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 OUTSIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion banner banners"
     " nav navbar navigation navi menu menus topbar bottombar toolbar breadcrumb breadcrumbs crumbs sidebar sidebars rail aside footer"
@@ -45,86 +46,129 @@ OUTSIDE_WORDS = frozenset(
     " share sharing social related recommended recommendations trending popular teaser teasers widget widgets pagination pager paging"
     " search searchbox form forms skip copyright legal hidden response responses feedback guestbook adbox adslot adunit adblock adwrapper"
     " adcontainer topnav subnav sidenav sitenav mainnav navmenu mainmenu megamenu submenu siteheader pageheader sitefooter pagefooter colophon"
-    " warning disclaimer".split()
+    " disclaimer".split()
 )
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption caption address summary".split())
-HOLDERS = frozenset("html body article main section div td center details".split())
+#: Words of a name that tell nothing about what its element holds.
+PLAIN_WORDS = frozenset("body box wrap wrapper container inner outer list item items block area section part row col column main content text links link bar left right top bottom title head entry post site page panel group".split())
+CONTAINERS = frozenset("# html body article main section div center details".split())
+ARTICLES = frozenset(("article", "main"))
 
 TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>?|<[A-Za-z/](?:[^>\"']|\"[^\"]*\"|'[^']*')*+\Z", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 MARKS = re.compile(r"[.,;:!?…、。，！？；،؟।]")
 
-#: Share of a page's mass that the content's holder has at least.
-HOLD = 0.7
-#: Share of linked characters from which a path is a menu.
-LINKED = 0.6
+#: A path's ratio without any punctuation, as a share of what one mark for each e - 1 blocks adds.
+UNMARKED = 0.02
+#: A path is text from this share of the page's mean ratio.
+SHARE = 0.18
+#: Share of linked characters from which a path is a menu, and the weight of what a page itself calls one.
+LINKED, MENU_WEIGHT = 0.6, 0.3
+#: Containers above a path whose ratios count; the weight falls to a quarter with each.
+LEVELS = 20
 
 
 class Leaf:
-    __slots__ = ("block", "linked", "node", "path", "text")
+    __slots__ = ("block", "linked", "node", "text")
 
-    def __init__(self, path: int, node: int, block: int, text: str, linked: bool):
-        self.path, self.node, self.block, self.text, self.linked = path, node, block, text, linked
+    def __init__(self, node: int, block: int, text: str, linked: bool):
+        self.node, self.block, self.text, self.linked = node, block, text, linked
 
 
-#: What an element's own marks say: part of the text, not part of it by a name, not part of it for sure.
-INSIDE, NAMED, OUTSIDE = 0, 1, 2
+class Block:
+    """Text between two block borders: its path, white space as single spaces, characters, marks, linked characters, weight."""
+
+    __slots__ = ("linked", "marks", "node", "path", "size", "text", "weight")
+
+    def __init__(self, node: int, path: int, weight: float, leaves: list[Leaf]):
+        self.node, self.path, self.weight = node, path, weight
+        self.text = " ".join("".join(x.text for x in leaves).split())
+        self.size, self.marks = len(self.text), len(MARKS.findall(self.text))
+        self.linked = max(0, self.size - sum(len(" ".join(x.text.split())) for x in leaves if not x.linked))
+
+
+#: What an element's own marks say: part of the text, not part of it by a name, a menu, not part of it for sure.
+INSIDE, NAMED, MENU, OUTSIDE = 0, 1, 2, 3
+
+
+def _named_outside(value: str) -> bool:
+    """Whether a class or id says by most of its words that its element is not part of the text."""
+    for name in value.split():
+        words = [w for w in (m.lower() for m in WORD.findall(name)) if w not in PLAIN_WORDS]
+        if words and 2 * sum(w in OUTSIDE_WORDS for w in words) > len(words):
+            return True
+    return False
 
 
 def _mark(tag: str, attributes: str, in_article: bool) -> int:
     if tag in OUTSIDE_TAGS or tag == "header" and not in_article:
         return OUTSIDE
+    mark = MENU if tag in MENU_TAGS else INSIDE
     if not attributes.strip():
-        return INSIDE
+        return mark
     if re.search(r"(?:^|\s)hidden(?:[\s=/]|$)", attributes):
         return OUTSIDE
-    mark = INSIDE
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if name == "role" and value.strip().lower() in OUTSIDE_ROLES or name == "aria-hidden" and value.lower() == "true":
             return OUTSIDE
+        if name == "role" and value.strip().lower() in MENU_ROLES:
+            mark = max(mark, MENU)
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return OUTSIDE
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(w.lower() in OUTSIDE_WORDS for w in WORD.findall(value)):
+        if name in ("class", "id") and tag not in ("html", "body", "main") and mark == INSIDE and _named_outside(value):
             mark = NAMED
     return mark
 
 
 class Page:
-    """The text leaves of a page with their tag paths; the tree is lists of parents, so its depth costs nothing."""
+    """The blocks of text of a page with their tag paths; the tree is lists of parents, so its depth costs nothing."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.marks, self.node_path = ["#"], [0], [INSIDE], [0]
-        self.in_article, self.in_link, self.heading, self.title, self.other = [False], [False], [False], [False], [False]
+        self.tags, self.parents, self.marks, self.node_path, self.block_node = ["#"], [0], [INSIDE], [0], [0]
+        self.in_article, self.in_link = [False], [False]
         self.paths: dict[tuple[int, str], int] = {}
-        self.path_tag, self.path_parent = ["#"], [0]
+        #: By path: its tag, the path above, the nearest container at or above it, the nearest article or main (or -1).
+        self.path_tag, self.path_parent, self.container, self.article = ["#"], [0], [0], [-1]
         self.leaves: list[Leaf] = []
         self.block = 0
         self._read(source)
-        outside = self._outside()
-        self.leaves = [x for x in self.leaves if not outside[x.node]]
+        self.blocks = self._blocks()
+
+    def _blocks(self) -> list[Block]:
+        """Blocks with text, without the leaves of elements that are not part of it."""
+        weight, out = self._weights(), []
+        by_block: dict[int, list[Leaf]] = {}
+        for x in self.leaves:
+            if weight[x.node] and weight[x.node] >= weight[self.block_node[x.node]]:
+                by_block.setdefault(x.block, []).append(x)
+        for _, leaves in sorted(by_block.items()):
+            node = self.block_node[leaves[0].node]
+            block = Block(node, self.node_path[node], weight[node], leaves)
+            if block.size:
+                out.append(block)
+        return out
 
-    def _outside(self) -> list[bool]:
-        """Whether each element is, or lies in, one that is not part of the text. A name doesn't count on an element that holds
-        half of the page's text and its main heading or article: there it tells of the layout."""
+    def _weights(self) -> list[float]:
+        """Of each element: 0 if it is, or lies in, one that is not part of the text, less than 1 in menus. A name doesn't count on an
+        element that holds half of the page's text and its main heading or article: there it tells of the layout."""
         n = len(self.tags)
-        size, main = [0] * n, [t in ("h1", "article", "main") for t in self.tags]
+        size, main = [0] * n, [t == "h1" or t in ARTICLES for t in self.tags]
         for x in self.leaves:
             size[x.node] += len(x.text)
         for k in range(n - 1, 0, -1):
             size[self.parents[k]] += size[k]
             main[self.parents[k]] |= main[k]
-        out = [False] * n
+        out = [1.0] * n
         for k in range(1, n):
             named = self.marks[k] == NAMED and not (main[k] and 2 * size[k] >= size[0])
-            out[k] = out[self.parents[k]] or named or self.marks[k] == OUTSIDE
+            own = 0.0 if named or self.marks[k] == OUTSIDE else MENU_WEIGHT if self.marks[k] == MENU else 1.0
+            out[k] = min(own, out[self.parents[k]])
         return out
 
     def _text(self, node: int, raw: str) -> None:
         if raw:
-            self.leaves.append(Leaf(self.node_path[node], node, self.block, html.unescape(raw) if "&" in raw else raw, self.in_link[node]))
+            self.leaves.append(Leaf(node, self.block, html.unescape(raw) if "&" in raw else raw, self.in_link[node]))
 
     def _open(self, parent: int, tag: str, attributes: str) -> int:
         names = ".".join(sorted(w for m in ATTRIBUTE.finditer(attributes) if m[1].lower() == "class" for w in (m[2] or m[3] or m[4] or "").split())) if attributes.strip() else ""
@@ -133,16 +177,16 @@ class Page:
         if path == len(self.path_tag):
             self.path_tag.append(tag)
             self.path_parent.append(key[0])
+            self.container.append(path if tag in CONTAINERS else self.container[key[0]])
+            self.article.append(path if tag in ARTICLES else self.article[key[0]])
         self.tags.append(tag)
         self.parents.append(parent)
         self.node_path.append(path)
+        self.block_node.append(len(self.tags) - 1 if tag in BLOCK else self.block_node[parent])
         inside = self.in_article[parent]
         self.marks.append(_mark(tag, attributes, inside))
-        self.in_article.append(inside or tag in ("article", "main"))
+        self.in_article.append(inside or tag in ARTICLES)
         self.in_link.append(self.in_link[parent] or tag == "a")
-        self.heading.append(self.heading[parent] or tag in HEADINGS)
-        self.title.append(self.title[parent] or tag == "h1")
-        self.other.append(self.other[parent] or tag in ("article", "main") and _mark("div", attributes, True) == NAMED)
         return len(self.tags) - 1
 
     def _read(self, source: str) -> None:
@@ -198,27 +242,48 @@ class Page:
 
 
 def path_ratios(page: Page) -> dict[int, float]:
-    """Of each tag path: text a leaf, raised by punctuation and lowered by links, smoothed with the paths beside it.
+    """Of each tag path with text, its ratio, smoothed over the containers that it lies in.
 
-    The extended ratio fuses text and punctuation: text * (1 + log(1 + marks)) a leaf times the unlinked share. Smoothing takes half of
-    the path's own ratio, and half of the text-weighted mean over the paths that have the same parent.
+    A path's own ratio fuses text and punctuation a block: characters * (UNMARKED + log(1 + marks)) * the unlinked share. A container's is the mean
+    over the text of all paths below it. The smoothed ratio is half the path's own, and half of those of its containers from the
+    nearest on, each with a quarter of the weight of the one before; an article or main counts like the nearest. Paths of list items, and those outside
+    an article, that are mostly links, and what lies in containers of such, count by their unlinked share.
     """
-    text, marks, leaves, linked = {}, {}, {}, {}
-    for x in page.leaves:
-        n = len(x.text.strip())
-        if not n:
-            continue
-        text[x.path] = text.get(x.path, 0) + n
-        leaves[x.path] = leaves.get(x.path, 0) + 1
-        marks[x.path] = marks.get(x.path, 0) + len(MARKS.findall(x.text))
-        linked[x.path] = linked.get(x.path, 0) + (n if x.linked else 0)
-    own = {p: text[p] / leaves[p] * (1 + log1p(marks[p] / leaves[p])) * (1 - linked[p] / text[p]) for p in text}
-    beside: dict[int, list[float]] = {}
+    n = len(page.path_tag)
+    size, marks, linked, count = [0] * n, [0] * n, [0] * n, [0] * n
+    for x in page.blocks:
+        size[x.path] += x.size
+        marks[x.path] += x.marks
+        linked[x.path] += x.linked
+        count[x.path] += 1
+    own = {p: size[p] / count[p] * (UNMARKED + log1p(marks[p] / count[p])) * (1 - linked[p] / size[p]) for p in range(n) if size[p]}
+    mass, below, links = [0.0] * n, list(size), list(linked)
+    for p in range(n - 1, -1, -1):
+        mass[p] += own.get(p, 0.0) * size[p]
+        if p:
+            mass[page.path_parent[p]] += mass[p]
+            below[page.path_parent[p]] += below[p]
+            links[page.path_parent[p]] += links[p]
+    region = lambda c: mass[c] / below[c]
+    unlinked = lambda part, whole: 1.0 if part < LINKED * whole else 1 - part / whole
+    out = {}
     for p in own:
-        s = beside.setdefault(page.path_parent[p], [0.0, 0.0])
-        s[0] += own[p] * text[p]
-        s[1] += text[p]
-    return {p: 0.5 * own[p] + 0.5 * beside[page.path_parent[p]][0] / beside[page.path_parent[p]][1] for p in own}
+        c, weight, around = page.container[p], 0.5, 0.0
+        first = c
+        for _ in range(LEVELS):
+            around += weight * region(c)
+            if not c:
+                break
+            c, weight = page.container[page.path_parent[c]], weight / 4
+        article = page.article[p]
+        if article >= 0:
+            around = max(around, 0.5 * region(article))
+        out[p] = 0.5 * own[p] + 0.5 * around
+        if article < 0 or page.path_tag[p] == "li":
+            out[p] *= unlinked(linked[p], size[p])
+        if article < 0:
+            out[p] *= unlinked(links[first], below[first])
+    return out
 
 
 def main_text(source: str | None) -> str:
@@ -227,112 +292,24 @@ def main_text(source: str | None) -> str:
         return ""
     page = Page(source)
     ratios = path_ratios(page)
-    if not ratios:
+    total = sum(x.size for x in page.blocks)
+    if not total:
         return ""
-    mean = sum(ratios.values()) / len(ratios)
-    spread = sqrt(sum((r - mean) ** 2 for r in ratios.values()) / len(ratios))
-    threshold = min(spread, mean)
-
-    # The holder: the deepest element that has most of the mass of paths above the threshold (articles and mains first).
-    mass = [0.0] * len(page.tags)
-    for x in page.leaves:
-        if ratios.get(x.path, 0) >= threshold:
-            mass[x.node] += len(x.text.strip())
-    for n in range(len(page.tags) - 1, 0, -1):
-        mass[page.parents[n]] += mass[n]
-    holders = [n for n in range(len(page.tags)) if mass[n] >= HOLD * mass[0] and page.tags[n] in HOLDERS]
-    named = [n for n in holders if page.tags[n] in ("article", "main")]
-    holder = max(named or holders, default=0)
-    if named:  # several articles of one page: what holds most of all
-        holder = max((n for n in named if page.tags[n] == "article"), default=holder)
-    inside = [False] * len(page.tags)
-    for n in range(len(page.tags)):
-        inside[n] = n == holder or n > 0 and inside[page.parents[n]]
-
-    menus = set(_menu_paths(page, inside))
-    outer = _outer_blocks(page, inside, ratios, threshold)
-    blocks: dict[int, list[str]] = {}
-    for x in page.leaves:
-        if x.block in menus or not inside[x.node] and x.block not in outer:
-            continue
-        prose = not inside[x.node] or page.heading[x.node] or _in_prose(page, x.node, holder)
-        if prose or ratios.get(x.path, 0) >= threshold or not x.text.strip():
-            blocks.setdefault(x.block, []).append(x.text)
-    found = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
-    return "\n\n".join(b for b in found if b)
-
-
-def _outer_blocks(page: Page, inside: list[bool], ratios: dict[int, float], threshold: float) -> set[int]:
-    """Blocks outside the holder that are part of the text by themselves: of content paths, not mostly links, not in an article whose name
-    says otherwise; headings right before kept text; and, if the holder has no main heading, those outside and what lies between them and it."""
-    size, linked, content, heading, titles, before_holder = {}, {}, set(), set(), set(), True
-    titled = any(page.title[x.node] and inside[x.node] and x.text.strip() for x in page.leaves)
-    for x in page.leaves:
-        if page.other[x.node] or not (n := len(x.text.strip())):
-            continue
-        if inside[x.node]:
-            before_holder = False
-            continue
-        size[x.block] = size.get(x.block, 0) + n
-        linked[x.block] = linked.get(x.block, 0) + (n if x.linked else 0)
-        if page.heading[x.node]:
-            heading.add(x.block)
-            if page.title[x.node] and not titled:
-                titles.add(x.block)
-        elif not x.linked and (ratios[x.path] >= threshold or titles and before_holder):
-            content.add(x.block)
-    content = {b for b in content - heading if linked[b] < LINKED * size[b]} - set(_menu_paths(page, [not i for i in inside]))
-    kept, before_text = content | titles, False
-    for x in reversed(page.leaves):
-        if x.block in heading:
-            if before_text:
-                kept.add(x.block)
-        elif x.text.strip():
-            before_text = x.block in content or inside[x.node]
-    return kept
-
-
-def _in_prose(page: Page, node: int, holder: int) -> bool:
-    while node > holder:
-        if page.tags[node] in PROSE:
-            return True
-        if page.tags[node] in BLOCK:
-            return False
-        node = page.parents[node]
-    return page.tags[node] in HOLDERS
-
-
-def _menu_paths(page: Page, inside: list[bool]) -> Iterator[int]:
-    """Blocks of list items whose path is mostly links: menus inside the holder."""
-    size, linked, of = {}, {}, {}
-    for x in page.leaves:
-        if inside[x.node] and (n := len(x.text.strip())):
-            node = x.node
-            while node and page.tags[node] not in BLOCK:
-                node = page.parents[node]
-            if page.tags[node] != "li":
-                continue
-            p = page.node_path[node]
-            size[p] = size.get(p, 0) + n
-            linked[p] = linked.get(p, 0) + (n if x.linked else 0)
-            of.setdefault(p, set()).add(x.block)
-    for p, n in size.items():
-        if linked[p] >= LINKED * n:
-            yield from of[p]
+    least = SHARE * sum(x.weight * ratios[x.path] * x.size for x in page.blocks) / total
+    return "\n\n".join(x.text for x in page.blocks if x.weight * ratios[x.path] >= least > 0)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars: the main text of every page, from its whole HTML.
 
-    Leaves of text are gathered by tag path from the root (tags and classes). Text and punctuation a leaf, smoothed over neighbouring paths,
-    tell content paths; the deepest element that holds most of their text is the article's. Within it, content paths and
-    prose elements (paragraphs, headings, lists, tables) are kept; outside it, blocks of content paths that are not mostly links, headings right
-    before kept text, and, if it has no main heading, those and what lies between them and it. Navigation, headers, footers, asides, forms,
-    adverts, notices and comments, told by tag, role, class or id, are not kept. References are decoded, white space in a block
-    becomes one space, blocks are joined by two line feeds.
+    Blocks of text are gathered by tag path from the root (tags and classes). Text and punctuation a block, fused, smoothed over the
+    containers around a path, make its ratio; blocks of paths from SHARE of the page's mean on are kept, wherever they lie. Headers, footers, asides,
+    forms, adverts, notices and comments that a page names as such by tag, role, class or id are not text; what it names a menu weighs less.
+    References are decoded, white space in a block becomes one space, blocks are joined by two line feeds.
 
-    Null and empty HTML, and pages without text: the empty string, 0 characters. Repeated rows and null ids stay rows of their own. Pages of
-    any length or depth are read whole, in time in proportion to their length. Columns beyond id, url and html are not read.
+    Null and empty HTML, and pages without text or with links only: the empty string, 0 characters. Repeated rows and null ids stay rows of their
+    own. Pages of any length or depth are read whole, in time in proportion to their length. An empty table gives an empty result. Columns beyond
+    id, url and html are not read.
     """
     schema = arrow_schema(RESULT)
 

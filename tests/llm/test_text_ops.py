@@ -212,6 +212,70 @@ def test_html_keeps_content_beside_the_holder():
     assert html_text.main_text(two.replace("<article><h2>Two", "<article class=comment><h2>Two")) == "\n\n".join(["One", *[plain(long)] * 3])
 
 
+LONG = "Words of the entry, and more of them, one after another. " * 12
+ENTRY = f"<p>{LONG}</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><div>{ENTRY * 8}</div><div>{ENTRY * 2}</div></body>", [LONG] * 10),
+        (f"<body><article>{ENTRY * 3}</article><article>{ENTRY}</article></body>", [LONG] * 4),
+        (f"<article>{ENTRY}<p>Formula <math><mi>x</mi></math> here, and so on.</p></article>", [LONG, "Formula x here, and so on."]),
+        (f"<section class='search-results-history'>{ENTRY * 3}</section>", [LONG] * 3),
+        (f"<article>{ENTRY * 2}<div class=warning>Careful with this.</div><table><tr><td>a<td>b</table></article>", [LONG, LONG, "Careful with this.", "a", "b"]),
+        (f"<div class=k1><b>Buy this now, it is cheap!</b></div><div class=k2>{ENTRY * 3}</div><div class=k3><a href=/>Up</a></div>", [LONG] * 3),
+        (f"<body><nav>Home <a href=/a>A</a></nav>{ENTRY * 3}<article class='comment'>{ENTRY}</article><p>Bye for now, all.</p></body>", [LONG] * 3 + ["Bye for now, all."]),
+        ("<div><a href=/a>A</a> <a href=/b>B</a></div>", []),
+    ],
+)
+def test_html_ratios_decide(page, want):
+    assert html_text.main_text(page) == "\n\n".join(" ".join(x.split()) for x in want)
+
+
+def plain_ratios(page):
+    """path_ratios from each block's chain of (tag, path) pairs, without running sums."""
+    chain = {}
+    for p in {x.path for x in page.blocks}:
+        chain[p], q = [], p
+        while True:
+            chain[p].append(q)
+            if not q:
+                break
+            q = page.path_parent[q]
+    under = lambda c: [x for x in page.blocks if c in chain[x.path]]
+    at = lambda p: [x for x in page.blocks if x.path == p]
+    total = lambda xs, name: sum(getattr(x, name) for x in xs)
+    own = {p: total(at(p), "size") / len(at(p)) * (0.02 + np.log1p(total(at(p), "marks") / len(at(p)))) * (1 - total(at(p), "linked") / total(at(p), "size")) for p in chain}
+    region = lambda c: sum(own[x.path] * x.size for x in under(c)) / total(under(c), "size")
+    share = lambda xs: total(xs, "linked") / total(xs, "size")
+    out = {}
+    for p, up in chain.items():
+        holds = [c for c in up if page.path_tag[c] in html_text.CONTAINERS]
+        articles = [c for c in up if page.path_tag[c] in ("article", "main")]
+        around = max([sum(0.5 / 4**k * region(c) for k, c in enumerate(holds)), *(0.5 * region(c) for c in articles[:1])])
+        out[p] = 0.5 * own[p] + 0.5 * around
+        if (page.path_tag[p] == "li" or not articles) and share(at(p)) >= 0.6:
+            out[p] *= 1 - share(at(p))
+        if not articles and share(under(holds[0])) >= 0.6:
+            out[p] *= 1 - share(under(holds[0]))
+    return out
+
+
+def test_html_ratios_against_a_plain_version():
+    rng = random.Random(12)
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 25)):
+            tag = rng.choice(["div", "p", "p", "article", "section", "ul", "li", "a", "h2", "nav", "div class=x", "td"])
+            parts.append(rng.choice([f"<{tag}>", f"</{tag.split()[0]}>", sentence(rng, rng.randint(0, 12)) + rng.choice(["", ".", ", and; so!"])]))
+        page = html_text.Page("".join(parts))
+        got, want = html_text.path_ratios(page), plain_ratios(page)
+        assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in got)
+        least = 0.18 * sum(x.weight * want[x.path] * x.size for x in page.blocks) / max(1, sum(x.size for x in page.blocks))
+        assert html_text.main_text("".join(parts)) == "\n\n".join(x.text for x in page.blocks if x.weight * want[x.path] >= least * (1 - 1e-9) and least > 0)
+
+
 def test_html_edges(spark):
     assert html_text.main_text("&lt;b&gt; &#233;&nbsp;x &am") == "<b> é x &am"
     assert html_text.main_text("<p>a<p>b</p>c") == "a\n\nb\n\nc"
