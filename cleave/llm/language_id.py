@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log2, sqrt
+from math import log2
 from typing import NamedTuple
 
 import numpy as np
@@ -12,19 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cleave.llm.common import arrow_schema, blocks, held_out, pick, text_buffer
+from cleave.llm.common import arrow_schema, blocks, held_out, mix, pick, text_buffer
 
 #: Learnt sample: documents of each language, code points of each, symbols of each language in all.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS = 48, 3000, 20_000
 #: Longer documents are sampled in this many pieces, evenly over the whole text; of these, pieces of about so many symbols are learnt.
 PIECES, PIECE = 6, 200
-#: Bytes of the automata of all languages together; more languages get less text each.
+#: Bytes of the dense tables of all languages together; more languages get less text each.
 TABLE_BYTES = 96 << 20
-#: Letters of one symbol, the most frequent ones. All others of the samples are spelt by two symbols, a lead and a trail, so thousands of
-#: letters cost the automata a few hundred symbols. A letter that no sample has is one symbol that matches nothing.
-ALPHABET = 60
-#: Texts are parsed in lanes of this many symbols; a phrase ends where a lane does.
-LANE = 512
+#: Symbols whose transitions lie in a dense table: the most frequent letters. Those of all other letters lie in a hash table.
+DENSE = 64
+#: Symbols of a text that are parsed in one go (a lane), and bytes of a text that are read in one go. Neither changes what is found.
+LANE, READ = 512, 1 << 20
 UNDETERMINED = "und"
 RESULT = "doc_id bigint, held_out boolean, lang_pred string, score double"
 
@@ -61,38 +60,65 @@ class SuffixAutomaton:
 
 
 class Model(NamedTuple):
+    """The suffix automata of all languages, with their states numbered through.
+
+    A step's value is twice the next state, plus 1 where a phrase begins: no factor goes on with the symbol, so the next state is that of the symbol alone, or
+    `dead`, from which every symbol begins a phrase, if the language doesn't have it.
+    """
+
     languages: list[str]
-    symbols: np.ndarray  # by code point: 0 no letter, 1 unknown letter, then letters and leads
-    second: np.ndarray  # by code point: the trail, or 0 where one symbol spells the letter
-    width: int
-    table: np.ndarray  # by state offset + symbol: twice the next state's offset, plus 1 where a phrase begins
+    symbols: np.ndarray  # by code point: 0 no letter, 1 a letter that no sample has, then letters by falling frequency
+    table: np.ndarray  # by state * DENSE + symbol below DENSE: the step's value
+    keys: np.ndarray  # of the hash table of other transitions: state << 21 | symbol, or -1
+    values: np.ndarray  # the state that the transition leads to
     roots: np.ndarray
+    dead: np.ndarray
     cost: np.ndarray  # bits of a phrase, by language
 
-
-def _codes(seen: dict[str, int]) -> tuple[dict[str, tuple[int, ...]], int]:
-    """The symbols of each letter, and how many there are in all; `seen` counts letters."""
-    alphabet = sorted(seen, key=lambda c: (-seen[c], c))
-    codes: dict[str, tuple[int, ...]] = {c: (i + 2,) for i, c in enumerate(alphabet[:ALPHABET])}
-    rest, lead = alphabet[ALPHABET:], len(codes) + 2
-    trails = ceil(sqrt(len(rest)))
-    leads = -(-len(rest) // trails) if rest else 0
-    codes |= {c: (lead + i // trails, lead + leads + i % trails) for i, c in enumerate(rest)}
-    return codes, lead + leads + trails
-
-
-def _letters(codes: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
-    """The first and the second symbol of each code point; upper case counts as lower."""
-    first, second = np.zeros(0x110000, np.uint16), np.zeros(0x110000, np.uint16)
-    for cp in range(0x110000):
-        c = chr(cp)
-        if c.isalpha():
-            low = c.lower()
-            code = codes.get(low if len(low) == 1 else c, (1,))
-            first[cp] = code[0]
-            if len(code) > 1:
-                second[cp] = code[1]
-    return first, second
+    def step(self, states: np.ndarray, symbols: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """The values of steps from `states` over `symbols` (broadcast against each other, as is `language`)."""
+        rare = symbols >= DENSE
+        out = self.table[states * DENSE + np.where(rare, 1, symbols)]
+        if rare.any():
+            where = np.nonzero(np.broadcast_to(rare, out.shape))
+            s, c, k = (np.broadcast_to(x, out.shape)[where] for x in (states, symbols, language))
+            to, alone = self._found(s, c), self._found(self.roots[k], c)
+            out[where] = np.where(to >= 0, 2 * to, 2 * np.where(alone >= 0, alone, self.dead[k]) + 1)
+        return out
+
+    def _found(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The states that transitions of the hash table lead to, -1 where there is none."""
+        want = states.astype(np.int64) << 21 | symbols
+        out, left, at = np.full(len(want), -1, np.int32), np.arange(len(want)), _slot(want, len(self.keys))
+        while len(left):
+            here = self.keys[at]
+            hit = here == want[left]
+            out[left[hit]] = self.values[at[hit]]
+            go = ~hit & (here >= 0)
+            left, at = left[go], (at[go] + 1) & (len(self.keys) - 1)
+        return out
+
+
+def _slot(keys: np.ndarray, size: int) -> np.ndarray:
+    return (mix(keys.astype(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def _hash_table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An open hash table, at most half full, of distinct keys."""
+    size = 1 << max(1, (2 * len(keys)).bit_length())
+    table, held = np.full(size, -1, np.int64), np.zeros(size, np.int32)
+    left, at = np.arange(len(keys)), _slot(keys, size)
+    while len(left):
+        free = table[at] < 0
+        _, first = np.unique(np.where(free, at, -1 - np.arange(len(at))), return_index=True)
+        put = first[free[first]]
+        table[at[put]], held[at[put]] = keys[left[put]], values[left[put]]
+        go = np.ones(len(left), bool)
+        go[put] = False
+        left, at = left[go], (at[go] + ~free[go]) & (size - 1)
+        taken = table[at] >= 0
+        at = np.where(taken, (at + 1) & (size - 1), at)
+    return table, held
 
 
 def _normalised(text: str) -> str:
@@ -130,70 +156,140 @@ def train(samples: dict[str, list[str]]) -> Model:
             for c in t:
                 seen[c] = seen.get(c, 0) + 1
     seen.pop(" ", None)
-    codes, width = _codes(seen)
-    number = codes | {" ": (0,)}
-    most = min(SAMPLE_SYMBOLS, max(1000, TABLE_BYTES // (4 * 2 * width * max(1, len(languages)))))
-    tables, roots, sizes, base = [], [], [], 0
+    number = {c: i + 2 for i, c in enumerate(sorted(seen, key=lambda c: (-seen[c], c)))} | {" ": 0}
+    most = min(SAMPLE_SYMBOLS, TABLE_BYTES // (4 * 2 * DENSE * max(1, len(languages))) - 1)
+    tables, keys, values, roots, dead, sizes, base = [], [], [], [], [], [], 0
     for k in languages:
-        coded = [[s for c in t for s in number[c]] for t in texts[k]]
         seq: list[int] = []
-        for text, share in zip(coded, _shares([len(x) for x in coded], most), strict=True):
-            for piece in _pieces(text, share):
-                seq += piece + [width]  # a break that no text has
+        for text, share in zip(texts[k], _shares([len(x) for x in texts[k]], most), strict=True):
+            for piece in _pieces([number[c] for c in text], share):
+                seq += [*piece, -1]  # a break that no text has
         automaton = SuffixAutomaton(seq)
-        to = np.full((len(automaton.next), width), -1, np.int64)
-        for s, edges in enumerate(automaton.next):
+        n = len(automaton.next)
+        to = np.full((n + 1, DENSE), -1, np.int64)
+        for state, edges in enumerate(automaton.next):
             for c, q in edges.items():
-                if 1 != c < width:
-                    to[s, c] = q
-        restart = np.maximum(to[0], 0) * width + base
-        tables.append(np.where(to >= 0, 2 * (to * width + base), 2 * restart + 1).astype(np.int32).ravel())
+                if c >= DENSE:
+                    keys.append(base + state << 21 | c)
+                    values.append(base + q)
+                elif c >= 0:
+                    to[state, c] = base + q
+        alone = np.where(to[0] >= 0, to[0], base + n)
+        tables.append(np.where(to >= 0, 2 * to, 2 * alone + 1).astype(np.int32).ravel())
         roots.append(base)
+        dead.append(base + n)
         sizes.append(len(seq))
-        base += to.size
-    return Model(languages, *_letters(codes), width, np.concatenate(tables) if tables else np.zeros(0, np.int32), np.array(roots, np.int32), np.array([log2(n + 2) for n in sizes]))
+        base += n + 1
+    letters = np.zeros(0x110000, np.int32)
+    for cp in range(0x110000):
+        c = chr(cp)
+        if c.isalpha():
+            low = c.lower()
+            letters[cp] = number.get(low if len(low) == 1 else c, 1)
+    table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+    hashed = _hash_table(np.array(keys, np.int64), np.array(values, np.int32))
+    return Model(languages, letters, table, *hashed, np.array(roots, np.int32), np.array(dead, np.int32), np.array([log2(n + 2) for n in sizes]))
 
 
-def phrases(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts in one buffer: phrases by language, symbols, and whether there is a letter. A letter of two symbols counts as both."""
-    n_texts, n_langs = len(offsets) - 1, len(model.languages)
+def _symbols(model: Model, raw: np.ndarray, offsets: np.ndarray, after_letter: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts in one buffer: symbols, their count, and whether there is a letter. Of a run of others the first stays, but none at a text's begin."""
     points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     begins = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets]
-    points = np.minimum(points, 0x10FFFF)
-    symbols = model.symbols[points]
-    owner = np.repeat(np.arange(n_texts), np.diff(begins))
+    symbols = model.symbols[np.minimum(points, 0x10FFFF)]
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(begins))
     space = symbols == 0
     keep = ~space
-    keep[1:] |= ~space[:-1] & (owner[1:] == owner[:-1])  # the first of a run of others stays
-    symbols, owner, second = symbols[keep], owner[keep], model.second[points[keep]]
-    if (two := second > 0).any():
-        times = 1 + two
-        symbols, owner = np.repeat(symbols, times), np.repeat(owner, times)
-        symbols[np.cumsum(times)[two] - 1] = second[two]
-    lengths = np.bincount(owner, minlength=n_texts)
-    letter = np.bincount(owner, weights=symbols > 0, minlength=n_texts) > 0
-    counts = np.zeros((n_langs, n_texts), np.int64)
-    if not n_langs or not len(symbols):
-        return counts, lengths, letter
-    starts = np.cumsum(lengths) - lengths
+    keep[1:] |= ~space[:-1] & (owner[1:] == owner[:-1])
+    if after_letter and len(keep):
+        keep[0] = True
+    lengths = np.bincount(owner[keep], minlength=len(offsets) - 1)
+    letter = np.bincount(owner, weights=~space, minlength=len(offsets) - 1) > 0
+    return symbols[keep], lengths, letter
+
+
+def _parse(model: Model, symbols: np.ndarray, lengths: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases that begin in each text, by language, and the states at its end; `start` has the states before it.
+
+    Lanes of a text are parsed side by side, all but the first from a guessed state. Then each lane that another state enters is parsed again from that
+    one, until it comes to a state that it had there before: from there on all is as it was. This ends when every lane was entered as the one before left.
+    """
+    n_langs, n_texts = len(model.languages), len(lengths)
+    language = np.arange(n_langs)[:, None]
     lanes = -(-lengths // LANE)
-    lane_owner = np.repeat(np.arange(n_texts), lanes)
-    within = np.arange(len(lane_owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-    lane_start = starts[lane_owner] + within * LANE
-    lane_len = np.minimum(lengths[lane_owner] - within * LANE, LANE)
-    order = np.argsort(-lane_len, kind="stable")
-    lane_start, lane_len, lane_owner = lane_start[order], lane_len[order], lane_owner[order]
-    state = np.repeat(model.roots[:, None], len(order), axis=1)
-    found = np.ones((n_langs, len(order)), np.int32)
-    active = np.searchsorted(-lane_len, -np.arange(int(lane_len[0])), "left")
+    owner = np.repeat(np.arange(n_texts), lanes)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+    begin = (np.cumsum(lengths) - lengths)[owner] + within * LANE
+    size = np.minimum(lengths[owner] - within * LANE, LANE)
+    order = np.argsort(-size, kind="stable")
+    entered = np.where(within > 0, model.dead[:, None], start[:, owner]).astype(np.int32)
+    state, found = entered[:, order], np.zeros((n_langs, len(order)), np.int64)
+    several = np.flatnonzero(lanes[owner[order]] > 1)
+    trace = np.zeros((LANE if len(several) else 0, n_langs, len(several)), np.int32)
     padded = np.concatenate([symbols, np.zeros(LANE, symbols.dtype)])
-    for j in range(int(lane_len[0])):
+    active = np.searchsorted(-size[order], -np.arange(LANE), "left")
+    for j in range(int(size.max(initial=0))):
         k = active[j]
-        step = model.table[state[:, :k] + padded[lane_start[:k] + j]]
-        found[:, :k] += step & 1
-        state[:, :k] = step >> 1
-    for i in range(n_langs):
-        counts[i] = np.bincount(lane_owner, weights=found[i], minlength=n_texts).astype(np.int64)
+        value = model.step(state[:, :k], padded[begin[order[:k]] + j], language)
+        found[:, :k] += value & 1
+        state[:, :k] = value >> 1
+        if len(several):
+            m = np.searchsorted(several, k)
+            trace[j, :, :m] = value[:, several[:m]]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    in_trace = np.full(len(order), -1)
+    in_trace[order[several]] = np.arange(len(several))
+    found, ends = found[:, place], state[:, place]
+    later = np.flatnonzero(within > 0)
+    while len(later):
+        lang, i = np.nonzero(entered[:, later] != ends[:, later - 1])
+        if not len(lang):
+            break
+        lane = later[i]
+        now = entered[lang, lane] = ends[lang, lane - 1]
+        for j in range(LANE):
+            go = size[lane] > j
+            ends[lang[~go], lane[~go]] = now[~go]  # came to its end without meeting its old states
+            lang, lane, now = lang[go], lane[go], now[go]
+            if not len(lane):
+                break
+            value, spot = model.step(now, padded[begin[lane] + j], lang), (j, lang, in_trace[lane])
+            found[lang, lane] += (value & 1) - (trace[spot] & 1)
+            apart = value >> 1 != trace[spot] >> 1
+            trace[spot] = value
+            lang, lane, now = lang[apart], lane[apart], value[apart] >> 1
+        else:
+            ends[lang, lane] = now
+    counts, last = np.zeros((n_langs, n_texts), np.int64), start.astype(np.int32)
+    final = np.cumsum(lanes)[lanes > 0] - 1
+    for k in range(n_langs):
+        counts[k] = np.bincount(owner, weights=found[k], minlength=n_texts)
+    last[:, lanes > 0] = ends[:, final]
+    return counts, last
+
+
+def phrases(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts in one buffer: phrases by language, symbols, and whether there is a letter. A letter that a language doesn't have is a phrase."""
+    if len(offsets) == 2 and len(raw) > READ:
+        return _long_phrases(model, raw)
+    symbols, lengths, letter = _symbols(model, raw, offsets)
+    start = np.repeat(model.dead[:, None], len(lengths), axis=1)
+    return _parse(model, symbols, lengths, start)[0], lengths, letter
+
+
+def _long_phrases(model: Model, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`phrases` of one long text, read piece by piece; states go from each to the next."""
+    state, at, after_letter = model.dead[:, None], 0, False
+    counts, lengths, letter = np.zeros((len(model.languages), 1), np.int64), np.zeros(1, np.int64), np.zeros(1, bool)
+    while at < len(raw):
+        end = min(at + READ, len(raw))
+        while end < len(raw) and raw[end] & 0xC0 == 0x80:
+            end -= 1
+        piece = raw[at:end]
+        symbols, n, some = _symbols(model, piece, np.array([0, len(piece)]), after_letter)
+        more, state = _parse(model, symbols, n, state)
+        counts, lengths, letter, at = counts + more, lengths + n, letter | some, end
+        after_letter = bool(len(symbols)) and bool(symbols[-1]) if len(symbols) else after_letter
     return counts, lengths, letter
 
 
@@ -220,7 +316,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """The model of a bounded sample: of each language the SAMPLE_DOCS learnable documents with the least hash of their id.
 
     Of a text longer than SAMPLE_CHARS code points, PIECES pieces that make as many are taken evenly from all of it. Of these, SAMPLE_SYMBOLS
-    symbols a language are learnt (fewer if the automata of all languages would go beyond TABLE_BYTES, 1,000 at least), shared alike by its
+    symbols a language are learnt (fewer if the dense tables of all languages would go beyond TABLE_BYTES), shared alike by its
     documents: 416 each of 48 long ones.
     """
     rows = pick(df, id_col, text_col, lang_col).toDF("doc_id", "text", "lang")
@@ -243,8 +339,8 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     of the best two, so 0.5 where they tie.
 
     Null texts and texts without a letter: `und` with score 0; so is every text if the model has no language. Repeated rows and null ids
-    stay rows of their own; a null id is held out. Long texts are parsed whole, in lanes. Columns beyond id and text are
-    not read.
+    stay rows of their own; a null id is held out. Texts of any length are parsed whole. An empty table gives an empty result. Columns beyond id and
+    text are not read.
     """
     rows = pick(df, id_col, text_col).toDF("doc_id", "text")
     rows = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")

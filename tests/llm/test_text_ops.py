@@ -536,6 +536,11 @@ def test_languages_of_many_scripts():
     texts = [text(k, 12).encode() for k in want]
     got, score = language_id.predict(model, np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
     assert got == want and (score > 0.55).all() and len(model.table) * 4 <= language_id.TABLE_BYTES
+    two = {k: ["".join(chr(at + rng.randrange(400)) for _ in range(2000)) for _ in range(3)] for k, at in (("zh", 0x4E00), ("ko", 0xAC00))}
+    model = language_id.train(two)
+    for k, texts in two.items():
+        raw = np.frombuffer(texts[0][:500].encode(), np.uint8)
+        assert language_id.predict(model, raw, np.array([0, len(raw)]))[0] == [k]
 
 
 def test_every_sampled_document_is_learnt(spark):
@@ -553,12 +558,17 @@ def test_every_sampled_document_is_learnt(spark):
     assert all(phrases(texts[k][-200:]) < 20 for k in learnable)  # its end is known too
 
 
-def test_phrases_against_plain_parsing():
-    samples = {"aa": ["kalo miren kalo stova", "renmi lo"], "bb": ["zuith orwen", "draqu zu ith"]}
+@pytest.mark.parametrize("dense", [64, 5])
+def test_phrases_against_plain_parsing(monkeypatch, dense):
+    monkeypatch.setattr(language_id, "DENSE", dense)
+    monkeypatch.setattr(language_id, "READ", 3000)
+    samples = {"aa": ["kalo miren kalo stova", "renmi lo"], "bb": ["zuith orwen", "draqu zu ith"], "cc": ["a" * 1400, "ka" * 900]}
     model = language_id.train(samples)
     rng = random.Random(3)
-    texts = ["".join(rng.choice("kalomirenzuth é") for _ in range(rng.randint(0, 60))) for _ in range(80)] + ["", "kalo"]
+    texts = ["".join(rng.choice("kalomirenzuth é") for _ in range(rng.randint(0, 60))) for _ in range(80)] + ["", "kalo", "a" * 6000, "ka" * 2600, "x" * 1200]
+    texts += [" ".join(rng.choice(["kalo", "miren", "zu", "ith orwen", "aaaa", "kaka", "é!"]) for _ in range(1500)) for _ in range(4)]
     raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    monkeypatch.setattr(language_id, "LANE", 64)
     counts, lengths, letter = language_id.phrases(model, raw, np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]))
     for i, lang in enumerate(model.languages):
         known = "\x00".join(language_id._normalised(t) for t in samples[lang])
@@ -567,14 +577,16 @@ def test_phrases_against_plain_parsing():
             assert lengths[d] == len(symbols) and letter[d] == any(c.isalpha() for c in t)
             n, at = 0, 0
             while at < len(symbols):
-                end = at
-                while end < len(symbols) and symbols[at : end + 1] in known and symbols[end] in known:
+                end = at + 1
+                while end < len(symbols) and symbols[at : end + 1] in known:
                     end += 1
                 n += 1
-                at = max(end, at + 1)
-            # an unknown letter joins the phrase that follows it, so counts differ by those letters at most
-            strange = sum(c not in known for c in symbols)
-            assert n - strange <= counts[i][d] <= n + 1 or not symbols
+                at = end
+            assert counts[i][d] == n
+            if i == 0 and len(t.encode()) > 3000:  # piece by piece
+                alone = np.frombuffer(t.encode(), np.uint8)
+                got = language_id.phrases(model, alone, np.array([0, len(alone)]))
+                assert (got[0][:, 0] == counts[:, d]).all() and got[1][0] == lengths[d]
 
 
 def test_suffix_automaton_spells_factors():
