@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 from math import exp, log, log1p
@@ -67,19 +68,19 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 # The field. Tokens are runs of letters and digits, or single other marks; segments are runs of tokens.
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
-TRIGGER = re.compile(r"[0-9]+|[\[({<](?:at|AT|At)[\])}>]")
-#: Tokens and characters of a segment at most, by kind, so that the dynamic program is linear in the text.
-BOUNDS = {"hidden_email": (16, 80), "local_phone": (9, 20), "national_id": (5, 11), "iban": (9, 42), "secret": (9, 128)}
-#: Words of context kept on each side of a trigger.
-CONTEXT = 6
-#: Characters of a region beyond which the next one begins.
-REGION = 4096
+SECRET = re.compile(r"[A-Za-z0-9_+/=.-]{16,}")
+BRACKETED = re.compile(r"[\[({<](?:at|AT|At)[\])}>]")
+#: Every candidate holds one of these: digits, a bracketed `at`, a run of marks of secrets. Text without them needs no reading.
+TRIGGER = re.compile(f"[0-9]+|{BRACKETED.pattern}|{SECRET.pattern}")
+#: Tokens and characters of a segment at most, by kind, so that the dynamic program is linear in the text. A secret has any number of characters.
+BOUNDS = {"hidden_email": (16, 80), "local_phone": (9, 20), "national_id": (5, 11), "iban": (9, 42), "secret": (9, None)}
+#: Characters that a candidate reaches to either side of its trigger at most (secrets lie within theirs), and that words before it are read from.
+REACH, BEFORE = 80, 100
 SHAPE = {
     "hidden_email": re.compile(r"[A-Za-z0-9._%+-]+\s?[\[({<](?:at|AT|At)[\])}>]\s?[A-Za-z0-9-]+(?:(?:\.|\s?[\[({<](?:dot|DOT|Dot)[\])}>]\s?)[A-Za-z0-9-]+)+"),
     "local_phone": re.compile(r"\(?[0-9][0-9()./ -]*[0-9]"),
     "national_id": re.compile(r"[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}"),
     "iban": re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}"),
-    "secret": re.compile(r"[A-Za-z0-9_+/=.-]{16,128}"),
 }
 #: Words before a span that tell of its kind: fixed values of the model's features.
 CUES = {
@@ -123,36 +124,91 @@ def span_features(kind: str, text: str, s: int, e: int, before: list[str], known
     return [f"{kind}|{x}" for x in out]
 
 
-def candidates(text: str, tokens: list[tuple[int, int]], lo: int, hi: int, fixed: list[tuple[int, int]]) -> list[tuple[int, int, str, list[str]]]:
-    """(first token, end token, kind, features) of the segments within bounds whose text has the kind's permissive shape."""
-    starts = {tokens[i][0]: i for i in range(lo, hi)}
-    ends = {tokens[i][1]: i + 1 for i in range(lo, hi)}
-    out = []
-    if lo >= hi:
-        return out
-    limit = tokens[hi - 1][1]
-    for s, i in starts.items():
-        if any(a <= s < b for a, b in fixed):
-            continue
-        c = text[s]
-        for kind, shape in SHAPE.items():
-            if kind == "iban" and not "A" <= c <= "Z" or kind in ("local_phone", "national_id") and not ("0" <= c <= "9" or c == "("):
-                continue
-            most_tokens, most_chars = BOUNDS[kind]
-            m = shape.match(text, s, min(limit, s + most_chars))
-            if not m:
-                continue
-            e = m.end()
-            stops = [x for x in (tokens[k][1] for k in range(i, min(hi, i + most_tokens))) if x <= e]
-            for x in stops:
-                if x not in ends or ends[x] - i > most_tokens or any(s < b and a < x for a, b in fixed) or not shape.fullmatch(text, s, x):
-                    continue
-                n = sum("0" <= c <= "9" for c in text[s:x])
-                if kind == "local_phone" and not 7 <= n <= 12 or kind == "secret" and not n:
-                    continue
-                before = [text[a:b].lower() for a, b in tokens[max(lo, i - 5) : i]]
-                touching = any(b == s or a == x for a, b in fixed)
-                out.append((i, ends[x], kind, span_features(kind, text, s, x, before, touching)))
+def _regions(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """Stretches of text that hold all candidates, and the runs of marks of secrets in them."""
+    start = end = -1
+    runs: list[tuple[int, int]] = []
+    for m in TRIGGER.finditer(text):
+        if m.start() - REACH > end and end >= 0:
+            yield start, end, runs
+            start, runs = -1, []
+        if start < 0:
+            start = max(0, m.start() - REACH)
+        end = max(end, min(len(text), m.end() + REACH))
+        if run := SECRET.match(text, _run_start(text, m.start(), max(start, runs[-1][1] if runs else start))):
+            if not runs or run.start() >= runs[-1][1]:
+                runs.append(run.span())
+                end = max(end, min(len(text), run.end() + REACH))
+    if end >= 0:
+        yield start, end, runs
+
+
+def _run_start(text: str, at: int, least: int) -> int:
+    """Where the run of marks of secrets around `at` begins, not before `least`."""
+    while at > least and text[at - 1] in SECRET_MARKS:
+        at -= 1
+    return at
+
+
+SECRET_MARKS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=.-")
+
+
+def _union(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of spans, as ranges that don't overlap."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted(spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def candidates(text: str, fixed: list[tuple[int, int]]) -> list[tuple[int, int, str, list[str]]]:
+    """(start, end, kind, features) of all segments of a text within bounds whose text has the kind's permissive shape and that cross nothing fixed."""
+    out: list[tuple[int, int, str, list[str]]] = []
+    blocked = _union(fixed)
+    edges = {x for span in fixed for x in span}
+
+    def add(kind: str, s: int, e: int) -> None:
+        k = bisect_left(blocked[1], s + 1)
+        if k < len(blocked[0]) and blocked[0][k] < e:
+            return
+        digits = sum("0" <= c <= "9" for c in text[s:e]) if kind == "local_phone" else 7
+        if 7 <= digits <= 12:
+            before = [m[0].lower() for m in TOKEN.finditer(text, max(0, s - BEFORE), s)][-5:]
+            out.append((s, e, kind, span_features(kind, text, s, e, before, s in edges or e in edges)))
+
+    for lo, hi, runs in _regions(text):
+        tokens = [m.span() for m in TOKEN.finditer(text, lo, hi)]
+        if tokens and lo and tokens[0][0] == lo and text[lo - 1].isalnum() and text[lo].isalnum():
+            tokens.pop(0)  # begins before the region
+        if tokens and hi < len(text) and tokens[-1][1] == hi and text[hi].isalnum() and text[hi - 1].isalnum():
+            tokens.pop()
+        ends = [e for _, e in tokens]
+        at = BRACKETED.search(text, lo, hi)
+        for i, (s, e) in enumerate(tokens):
+            c = text[s]
+            kinds = [k for k, yes in (("hidden_email", at and c in LOCAL), ("local_phone", c in "(0123456789"), ("national_id", c in "0123456789"), ("iban", "A" <= c <= "Z")) if yes]
+            for kind in kinds:
+                most_tokens, most_chars = BOUNDS[kind]
+                m = SHAPE[kind].match(text, s, min(hi, s + most_chars))
+                if m:
+                    for x in ends[i : min(len(ends), i + most_tokens)]:
+                        if x > m.end():
+                            break
+                        if SHAPE[kind].fullmatch(text, s, x):
+                            add(kind, s, x)
+        for a, b in runs:
+            first, last = bisect_left(tokens, (a, a)), bisect_left(ends, b + 1) - 1
+            for i in range(first, last + 1):
+                for j in range(i, min(last + 1, i + BOUNDS["secret"][0])):
+                    if ends[j] - tokens[i][0] >= 16:
+                        add("secret", tokens[i][0], ends[j])
+            if last - first >= BOUNDS["secret"][0]:  # a run of more tokens is a candidate as a whole
+                add("secret", tokens[first][0], ends[last])
     return out
 
 
@@ -161,33 +217,39 @@ def _score(weights: dict[str, float], features: list[str]) -> float:
 
 
 def decode(weights: dict[str, float], lo: int, hi: int, found: list[tuple[int, int, str, list[str]]]) -> list[tuple[int, int, str]]:
-    """The best segmentation of tokens lo to hi: boundaries and kinds jointly, over tokens outside (score 0) and candidates.
+    """The best segmentation of the places lo to hi: boundaries and kinds jointly, over tokens outside (score 0) and candidates.
 
-    State: place, and whether the last segment was a candidate (two in a row have their own weight).
+    A candidate (i, j) takes the places from i to j; one that begins where the last one ends also scores "pair", whatever its sign.
+    So the best score that ends with each candidate follows from the best up to before i, and from the best candidate that ends at i.
     """
-    by_end: dict[int, list] = {}
-    for i, j, kind, features in found:
-        if (w := _score(weights, features)) > 0:  # a candidate that scores below tokens outside is on no best path, unless "pair" helps
-            by_end.setdefault(j, []).append((i, kind, w))
-    best = [[0.0, float("-inf")]]
-    back: list[list] = [[None, None]]
     pair = weights.get("pair", 0.0)
-    for j in range(lo + 1, hi + 1):
-        at = j - lo
-        here, came = [max(best[at - 1]), float("-inf")], [(at - 1, int(best[at - 1][1] > best[at - 1][0]), None), None]
-        for i, kind, w in by_end.get(j, ()):
-            for state in (0, 1):
-                v = best[i - lo][state] + w + pair * state
-                if v > here[1]:
-                    here[1], came[1] = v, (i - lo, state, kind)
-        best.append(here)
-        back.append(came)
-    out, at, state = [], hi - lo, int(best[-1][1] > best[-1][0])
-    while at > 0:
-        i, before, kind = back[at][state]
-        if kind:
-            out.append((i + lo, at + lo, kind))
-        at, state = i, before
+    ends: list[int] = []  # places where a best score rises, that score, and the candidate that it ends with
+    tops: list[float] = []
+    whose: list[int] = []
+    last_at: dict[int, int] = {}
+    order = sorted(range(len(found)), key=lambda k: (found[k][1], found[k][0]))
+    score = [0.0] * len(found)
+    before = [-1] * len(found)
+    for k in order:
+        i, j, _, features = found[k]
+        at = bisect_left(ends, i) - 1  # ends before i: a token lies between
+        top, who = (tops[at], whose[at]) if at >= 0 else (0.0, -1)
+        if (n := last_at.get(i)) is not None and score[n] + pair > top:
+            top, who = score[n] + pair, n
+        score[k], before[k] = top + _score(weights, features), who
+        if (n := last_at.get(j)) is None or score[k] > score[n]:
+            last_at[j] = k
+        if score[k] > (tops[-1] if tops else 0.0):
+            if ends and ends[-1] == j:
+                tops[-1], whose[-1] = score[k], k
+            else:
+                ends.append(j)
+                tops.append(score[k])
+                whose.append(k)
+    out, k = [], whose[-1] if whose else -1
+    while k >= 0:
+        out.append(found[k][:3])
+        k = before[k]
     return out[::-1]
 
 
@@ -234,8 +296,9 @@ def _training(rng: Random) -> tuple[str, list[tuple[int, int, str]]]:
         return " ".join(plain[i : i + 4] for i in range(0, len(plain), 4)) if rng.random() < 0.5 else plain
 
     def secret() -> str:
-        n = rng.choice([20, 24, 32, 40, 40, 64])
-        return random(n, rng.choice(["0123456789abcdef", upper + upper.lower() + "0123456789", upper + upper.lower() + "0123456789_-"]))
+        n = rng.choice([20, 24, 32, 40, 40, 64, 160])
+        kinds = ["0123456789abcdef", upper + upper.lower() + "0123456789", upper + upper.lower() + "0123456789_-", upper.lower()]
+        return random(1, upper.lower()) + random(n - 2, rng.choice(kinds)) + random(1, upper.lower())
 
     def phone() -> str:
         a, b, c = number(3), number(3), number(4)
@@ -269,6 +332,11 @@ def _training(rng: Random) -> tuple[str, list[tuple[int, int, str]]]:
         lambda: f"{word()}.{word()}.{word()}.{word()}.{word()}{number(1)}",
         lambda: f"sha {random(64, '0123456789abcdef')}",
         lambda: f"{number(7)}",
+        lambda: "".join(word() for _ in range(5)) + "".join(word() for _ in range(4)),
+        lambda: "-".join(word() for _ in range(6)),
+        lambda: f"token {''.join(word() for _ in range(9))}",
+        lambda: "=" * 24,
+        lambda: "/".join(word() for _ in range(7)),
     ]
     text, spans = " ".join(word() for _ in range(rng.randint(2, 5))) + " ", []
     for _ in range(rng.randint(1, 2)):
@@ -294,7 +362,7 @@ def weights(sentences: int = 700, epochs: int = 4, rate: float = 0.4, decay: flo
         tokens = [m.span() for m in TOKEN.finditer(text)]
         at, to = {s: i for i, (s, _) in enumerate(tokens)}, {e: i + 1 for i, (_, e) in enumerate(tokens)}
         gold = {(at[s], to[e], k) for s, e, k in spans if s in at and e in to}
-        data.append((len(tokens), candidates(text, tokens, 0, len(tokens), []), gold))
+        data.append((len(tokens), [(at[s], to[e], k, f) for s, e, k, f in candidates(text, [])], gold))
     for _ in range(epochs):
         rng.shuffle(data)
         for n, found, gold in data:
@@ -306,63 +374,18 @@ def weights(sentences: int = 700, epochs: int = 4, rate: float = 0.4, decay: flo
 
 
 def added_spans(text: str, base: list[tuple[int, int, str]], w: dict[str, float]) -> list[tuple[int, int, str]]:
-    """Spans that the field adds. It reads regions of tokens around digits and bracketed `at`; base spans stay and are not crossed."""
-    out: list[tuple[int, int, str]] = []
-    fixed = [(s, e) for s, e, _ in base]
-    covered = k = 0
-    at, n = 0, len(text)
-    while at < n and (m := TRIGGER.search(text, at)):
-        if covered <= m.start():
-            while k < len(fixed) and fixed[k][1] <= m.start():
-                k += 1
-            if k < len(fixed) and fixed[k][0] <= m.start():  # inside a base span
-                at = fixed[k][1]
-                continue
-        # The region: the trigger's line part, grown while further triggers follow within the context.
-        start = max(covered, _back(text, m.start()))
-        end, reach = m.end(), _forth(text, m.end())
-        while (more := TRIGGER.search(text, end, reach)) and end - start < REGION:
-            end, reach = more.end(), max(reach, _forth(text, more.end()))
-        region = text[start:reach]
-        tokens = [x.span() for x in TOKEN.finditer(region)]
-        inner = [(s - start, e - start) for s, e in fixed[max(0, k - len(BASE)) : k + _within(fixed, k, reach)] if e > start]
-        found = candidates(region, tokens, 0, len(tokens), inner)
-        if found:
-            for i, j, kind in decode(w, 0, len(tokens), found):
-                s, e = start + tokens[i][0], start + tokens[j - 1][1]
-                if s >= covered:
-                    out.append((s, e, kind))
-                    covered = e
-        at = max(end, covered)
-        covered = max(covered, min(end, reach))
-    return out
-
-
-def _within(fixed: list[tuple[int, int]], k: int, reach: int) -> int:
-    n = 0
-    while k + n < len(fixed) and fixed[k + n][0] < reach:
-        n += 1
-    return n
-
-
-def _back(text: str, at: int, chars: int = 160) -> int:
-    """Where the context before a trigger begins: some words back, at a word's start."""
-    lo = max(0, at - chars)
-    parts = [m.start() for m in re.finditer(r"\S+", text[lo:at])]
-    if not parts:
-        return at
-    first = parts[max(0, len(parts) - CONTEXT)]
-    return lo + first
-
-
-def _forth(text: str, at: int, chars: int = 200) -> int:
-    """Where the context after a trigger ends."""
-    end = at
-    for k, m in enumerate(re.finditer(r"\S+", text[at : at + chars])):
-        end = at + m.end()
-        if k >= CONTEXT:
-            break
-    return end
+    """Spans that the field adds: the best segmentation of the whole text. Base spans stay and are not crossed."""
+    found = candidates(text, [(s, e) for s, e, _ in base])
+    if not found:
+        return []
+    starts, placed = {}, []
+    for s, e, kind, features in found:
+        at = s
+        while at and text[at - 1].isspace() and s - at < BEFORE:
+            at -= 1
+        starts[at, e, kind] = s
+        placed.append((at, e, kind, features))  # two candidates are neighbours if only white space lies between
+    return [(starts[at, e, kind], e, kind) for at, e, kind in decode(w, 0, len(text), placed)]
 
 
 def join(spans: list[tuple[int, int, str]]) -> str:
@@ -374,11 +397,12 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """doc_id, counts of the base kinds, base_sha256, spans (kind:start:end, code points, end exclusive) of every whole text.
 
     The base kinds are found by their patterns and checks. The field adds hidden e-mail addresses, phone numbers without a country
-    code, national ids, bank accounts and secrets: it scores whole candidate spans and decodes boundaries and kinds jointly,
-    with spans of bounded length, around digits and bracketed `at`. Added spans don't overlap base ones, which all stay.
+    code, national ids, bank accounts and secrets: it scores whole candidate spans and decodes boundaries and kinds jointly over the
+    whole text, with spans of bounded length (secrets: up to 9 tokens of any length, or a whole run). Added spans don't overlap base ones,
+    which all stay.
 
-    Null and empty texts have no spans (the digest is that of the empty string). Repeated rows and null ids stay rows of their own. Columns
-    beyond id and text are not read.
+    Null and empty texts have no spans (the digest is that of the empty string). Texts of any length are read whole. Repeated rows and null ids
+    stay rows of their own. An empty table gives an empty result. Columns beyond id and text are not read.
     """
     shared, schema = df.sparkSession.sparkContext.broadcast(weights()), arrow_schema(RESULT)
 

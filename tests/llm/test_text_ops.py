@@ -147,26 +147,44 @@ def test_added_spans():
     for clean in ("the winter of 1998-2003 and page 12", "a number 4981021525375367 here", "version 1.22.333", "plain words only", "on 2024-01-02 at 10:30", ""):
         assert found(clean) == []
     assert found("mail a.b@c.org or +1 (437) 555-0689") == []  # base spans are not added twice
+    for secret in ("abcdefghijklmnopqrstuvwxyzabcdefghij", "x7" * 80, "aB3-" * 60 + "z9"):
+        assert found(f"the token = {secret} of") == [(secret, "secret")]
+    for clean in ("Donaudampfschifffahrtsgesellschaft ist ein langes Wort", "a well-known-and-often-written-phrase here", "=" * 60, "see docs/guide/of/the/garden/and/more for it"):
+        assert found(clean) == []
 
 
 def test_field_decodes_the_best_segmentation():
-    """The dynamic program against all segmentations."""
-    rng, w = random.Random(8), {"pair": -0.7}
-    for _ in range(60):
-        n = rng.randint(1, 6)
-        found = [(i, j, f"k{rng.randint(0, 2)}", [f"f{i}{j}{k}"]) for k, (i, j) in enumerate((i, j) for i in range(n) for j in range(i + 1, min(n, i + 3) + 1)) if rng.random() < 0.6]
-        w |= {f[0]: rng.uniform(0.1, 2) for *_, f in found}
+    """The dynamic program against all segmentations, with weights and pairs of either sign."""
+    rng = random.Random(8)
+    for turn in range(200):
+        n, w = rng.randint(1, 7), {"pair": rng.choice([-0.7, 0.9, 2.5, 0.0])}
+        found = [(i, j, f"k{k}", [f"f{i}{j}{k}"]) for k, (i, j) in enumerate((i, j) for i in range(n) for j in range(i + 1, min(n, i + 3) + 1)) if rng.random() < 0.6]
+        w |= {f[0]: rng.uniform(-2, 2) for *_, f in found}
 
-        def best(at, after, found=found, n=n):
+        def best(at, after, found=found, n=n, w=w):
             if at == n:
                 return 0.0
             return max([best(at + 1, False), *(w[f[0]] + w["pair"] * after + best(j, True) for i, j, _, f in found if i == at)])
 
         got = pii.decode(w, 0, n, found)
-        score = sum(max(w[f[0]] for i, j, k, f in found if (i, j, k) == g) for g in got) + sum(w["pair"] for a, b in zip(got, got[1:], strict=False) if a[1] == b[0])
+        assert all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False))
+        score = sum(w[f[0]] for i, j, k, f in found if (i, j, k) in got) + sum(w["pair"] for a, b in zip(got, got[1:], strict=False) if a[1] == b[0])
         assert score == pytest.approx(best(0, False))
 
 
+def test_regions_hold_all_candidates(monkeypatch):
+    """Candidates of the regions around triggers against those of the text as one region."""
+    rng = random.Random(21)
+    parts = ["call 325-555-8094", "jane [at] mail [dot] org", "x" * 30, "the of", "words and more, of it", "DE44 5001 0517 5407 3249 31", "382-23-9232", "a.b-c_" * 4, "1", "(at)", "é" * 40, "ab" * 70]
+    for _ in range(150):
+        text = rng.choice(["", " "]).join(rng.choice(parts) + rng.choice([" ", "  ", "", ". "]) for _ in range(rng.randint(1, 14)))
+        got = sorted(map(str, pii.candidates(text, [])))
+        whole = lambda t: iter([(0, len(t), [m.span() for m in pii.SECRET.finditer(t)])])
+        with monkeypatch.context() as m:
+            m.setattr(pii, "_regions", whole)
+            assert got == sorted(map(str, pii.candidates(text, [])))
+
+
 def test_pii_query_shape(spark):
     text = "é mail a@b.co and 10.0.0.1, +1 (437) 555-0689; card 4111 1111 1111 1111."
     got = pii.find_pii(docs(spark, [(1, text), (2, None), (3, ""), (1, text), (None, "x@y.zz")], clash=True)).collect()
