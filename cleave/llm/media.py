@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from functools import cache
 from typing import NamedTuple
 
@@ -29,6 +30,8 @@ MAGIC = [
     (b"fLaC", "flac", 0),
     (b"OggS", "ogg", 0),
 ]
+#: Marks that end a format or point back to its begin; the same automaton finds them.
+END_MAGIC = [(b"%%EOF", "pdf end"), (b"startxref", "pdf table"), (b"PK\x05\x06", "zip end")]
 ROW = 64
 
 
@@ -43,26 +46,66 @@ def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for magic, kind, back in MAGIC:
         a.add_word(magic.decode("latin-1"), (kind, len(magic) - 1 + back))
+    for magic, kind in END_MAGIC:
+        a.add_word(magic.decode("latin-1"), (kind, len(magic) - 1))
     a.make_automaton()
     return a
 
 
-def _png(data: bytes, at: int) -> int:
-    """End of a PNG whose chunks have right lengths and checksums, or -1."""
-    p, first = at + 8, True
-    while p + 12 <= len(data):
+class Places:
+    """Where the automaton found which magic bytes, and from where walks through a format are known to fail; so validators are linear in all."""
+
+    def __init__(self, data: bytes):
+        self.starts: list[tuple[int, str]] = []
+        self.ends: dict[str, list[int]] = {kind: [] for _, kind in END_MAGIC}
+        for end, (kind, back) in automaton().iter(data.decode("latin-1")):
+            if kind in self.ends:
+                self.ends[kind].append(end - back)
+            else:
+                self.starts.append((end - back, kind))
+        self.dead: set[tuple[str, int]] = set()
+        self.archives: dict[int, int] = {}
+        for p in self.ends["zip end"]:
+            if p + 22 <= len(data):
+                size, offset, note = struct.unpack_from("<IIH", data, p + 12)
+                if size <= p and data[p - size : p - size + 4] == b"PK\x01\x02" and p + 22 + note <= len(data):
+                    self.archives.setdefault(p - size - offset, p + 22 + note)
+
+    def walk(self, kind: str, at: int, step: Callable[[int], tuple[int, bool]]) -> int:
+        """Where steps from `at` end, or -1. step: from a place to the next one and whether that is the end; -1 fails."""
+        way, p = [], at
+        while (kind, p) not in self.dead:
+            way.append(p)
+            p, done = step(p)
+            if done:
+                return p
+            if p < 0:
+                break
+        self.dead.update((kind, x) for x in way)
+        return -1
+
+
+def _png(data: bytes, at: int, places: Places) -> int:
+    """End of a PNG whose chunks have right lengths and checksums, or -1. Checksums are taken of chunks that lead to an end."""
+    if data[at + 8 : at + 16] != b"\x00\x00\x00\x0dIHDR":
+        return -1
+
+    def step(p: int) -> tuple[int, bool]:
+        if p + 12 > len(data):
+            return -1, False
         n, tag = struct.unpack_from(">I4s", data, p)
-        if p + 12 + n > len(data) or (first and (tag != b"IHDR" or n != 13)):
-            return -1
-        if zlib.crc32(data[p + 4 : p + 8 + n]) != struct.unpack_from(">I", data, p + 8 + n)[0]:
+        return (p + 12 + n, tag == b"IEND") if p + 12 + n <= len(data) else (-1, False)
+
+    end, p = places.walk("png", at + 8, step), at + 8
+    while 0 <= p < end:
+        n = struct.unpack_from(">I", data, p)[0]
+        if zlib.crc32(memoryview(data)[p + 4 : p + 8 + n]) != struct.unpack_from(">I", data, p + 8 + n)[0]:
             return -1
-        p, first = p + 12 + n, False
-        if tag == b"IEND":
-            return p
-    return -1
+        p += 12 + n
+    return end
 
 
-def _wav(data: bytes, at: int) -> int:
+def _wav(data: bytes, at: int, places: Places) -> int:
     """End of a RIFF WAVE with a fmt and a data chunk that fill it, or -1."""
     if at + 12 > len(data) or data[at + 8 : at + 12] != b"WAVE":
         return -1
@@ -79,7 +122,7 @@ def _wav(data: bytes, at: int) -> int:
     return end if {b"fmt ", b"data"} <= seen and p >= end else -1
 
 
-def _bmp(data: bytes, at: int) -> int:
+def _bmp(data: bytes, at: int, places: Places) -> int:
     """End of a bitmap whose header sizes agree with its file size, or -1."""
     if at + 54 > len(data):
         return -1
@@ -93,78 +136,78 @@ def _bmp(data: bytes, at: int) -> int:
     return at + size
 
 
-def _gif(data: bytes, at: int) -> int:
+def _gif(data: bytes, at: int, places: Places) -> int:
     """End of a GIF after walking its blocks to the trailer, or -1."""
     if at + 13 > len(data):
         return -1
-    flags = data[at + 10]
-    p = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
-    while p < len(data):
-        mark = data[p]
-        if mark == 0x3B:
-            return p + 1
-        if mark == 0x21:
-            p += 2
-        elif mark == 0x2C:
-            if p + 10 > len(data):
-                return -1
-            local = data[p + 9]
-            p += 11 + (3 << (local & 7) + 1 if local & 0x80 else 0)
-        else:
-            return -1
+
+    def parts(p: int) -> tuple[int, bool]:
         while p < len(data) and data[p]:
+            if ("gif parts", p) in places.dead:
+                return -1, False
+            places.dead.add(("gif parts", p))  # met again only by another walk, which would end as this one does
             p += 1 + data[p]
-        p += 1
-    return -1
+        return p + 1, False
 
+    def step(p: int) -> tuple[int, bool]:
+        mark = data[p] if p < len(data) else 0
+        if mark == 0x3B:
+            return p + 1, True
+        if mark == 0x21:
+            return parts(p + 2)
+        if mark != 0x2C or p + 10 > len(data):
+            return -1, False
+        local = data[p + 9]
+        return parts(p + 11 + (3 << (local & 7) + 1 if local & 0x80 else 0))
 
-def _jpeg(data: bytes, at: int) -> int:
-    """End of a JPEG after walking its segments to the end marker, or -1."""
-    p, scan = at + 2, False
-    while p + 4 <= len(data):
-        if data[p] != 0xFF:
-            return -1
-        tag = data[p + 1]
-        if tag == 0xD9:
-            return p + 2 if scan else -1
+    flags = data[at + 10]
+    return places.walk("gif", at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0), step)
+
+
+def _jpeg(data: bytes, at: int, places: Places) -> int:
+    """End of a JPEG after walking its segments and scans to the end marker, or -1."""
+
+    def step(state: int) -> tuple[int, bool]:
+        p, scanned = state >> 1, state & 1
+        if p + 2 > len(data) or data[p] != 0xFF:
+            return -1, False
+        if data[p + 1] == 0xD9:
+            return (p + 2, True) if scanned else (-1, False)
+        if p + 4 > len(data):
+            return -1, False
+        scan = data[p + 1] == 0xDA
         p += 2 + struct.unpack_from(">H", data, p + 2)[0]
-        if tag == 0xDA:
-            scan = True
-            while True:
-                p = data.find(b"\xff", p)
-                if p < 0 or p + 1 >= len(data):
-                    return -1
-                if data[p + 1] == 0 or 0xD0 <= data[p + 1] <= 0xD7:
-                    p += 2
-                    continue
+        while scan:
+            p = data.find(b"\xff", p)
+            if p < 0 or p + 1 >= len(data) or ("scan", p) in places.dead:
+                return -1, False
+            places.dead.add(("scan", p))  # as for GIF
+            if data[p + 1] and not 0xD0 <= data[p + 1] <= 0xD7:
                 break
-            if data[p + 1] == 0xD9:
-                return p + 2
-    return -1
+            p += 2
+        return 2 * p + (scan or scanned), False
 
+    return places.walk("jpeg", 2 * (at + 2), step)
 
-def _pdf(data: bytes, at: int) -> int:
-    end = data.find(b"%%EOF", at)
-    return end + 5 if end > 0 and data.find(b"startxref", at, end) > 0 else -1
 
+def _pdf(data: bytes, at: int, places: Places) -> int:
+    """End of a PDF: its first end mark, if a table's place is named before it; or -1."""
+    ends, tables = places.ends["pdf end"], places.ends["pdf table"]
+    k, t = bisect_left(ends, at), bisect_left(tables, at)
+    return ends[k] + 5 if k < len(ends) and t < len(tables) and tables[t] < ends[k] else -1
 
-def _zip(data: bytes, at: int) -> int:
+
+def _zip(data: bytes, at: int, places: Places) -> int:
     """End of an archive whose central directory points back to its first entry, or -1."""
-    p = data.find(b"PK\x05\x06", at)
-    while 0 <= p and p + 22 <= len(data):
-        size, offset, note = struct.unpack_from("<IIH", data, p + 12)
-        if p - size - offset == at and data[p - size : p - size + 4] == b"PK\x01\x02" and p + 22 + note <= len(data):
-            return p + 22 + note
-        p = data.find(b"PK\x05\x06", p + 4)
-    return -1
+    return places.archives.get(at, -1)
 
 
-def _flac(data: bytes, at: int) -> int:
+def _flac(data: bytes, at: int, places: Places) -> int:
     """A FLAC stream has no length of its own: with a right STREAMINFO block it reaches to the end."""
     return len(data) if data[at + 4 : at + 8] in (b"\x00\x00\x00\x22", b"\x80\x00\x00\x22") and at + 42 <= len(data) else -1
 
 
-def _ogg(data: bytes, at: int) -> int:
+def _ogg(data: bytes, at: int, places: Places) -> int:
     """End of a run of Ogg pages of one stream, or -1."""
     p, last = at, -1
     while p + 27 <= len(data) and data[p : p + 5] == b"OggS\x00":
@@ -184,18 +227,17 @@ def sniff(data: bytes) -> list[Found]:
 
     What lies inside a confirmed piece is not listed apart from it (its first byte holds the outer one).
     """
-    out, covered = [], 0
-    for end, (kind, back) in automaton().iter(data.decode("latin-1")):
-        at = end - back
-        if at >= covered and (stop := VALIDATORS[kind](data, at)) > 0:
+    out, covered, places = [], 0, Places(data)
+    for at, kind in places.starts:
+        if at >= covered and (stop := VALIDATORS[kind](data, at, places)) > 0:
             out.append(Found(kind, at, stop))
             covered = stop
     return out
 
 
-def true_type(data: bytes | None, declared: str | None) -> tuple[str | None, int, list[Found]]:
+def true_type(data: bytes | None, declared: str | None, found: list[Found] | None = None) -> tuple[str | None, int, list[Found]]:
     """The type that the bytes show (else the declared one), their media length, and media embedded behind or before."""
-    found = sniff(data or b"")
+    found = sniff(data or b"") if found is None else found
     if found and found[0].start == 0:
         return found[0].kind, found[0].end, found[1:]
     return declared, len(data or b""), found
@@ -265,29 +307,42 @@ def _each(batches: Iterator[pa.RecordBatch], kind: str, columns: int, row, most:
         yield flush()
 
 
+#: A picture of one pixel: what comes with a text's medium in one file, before or behind it, unless it is stored alone.
+PIXEL = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + bytes(6) + b"," + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02L\x01\x00;"
+
+
 def encode_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, declared, media, n_bytes: each text as UTF-8, padded with zero bytes to a positive multiple of 64, stored as media.
 
-    The format follows from the bytes (their CRC); the declared type is always the first format's, so wrong for most.
+    Format and file layout follow from the bytes (their CRC): the medium is alone, or has a small picture before or behind it. The declared
+    type is always the first format's, so wrong for most.
     """
 
     def row(doc_id, text):
         raw = (text or "").encode()
         payload = raw + bytes(-len(raw) % ROW or (0 if raw else ROW))
-        yield doc_id, KINDS[0], store(payload, KINDS[zlib.crc32(payload) % len(KINDS)]), len(raw)
+        crc = zlib.crc32(payload)
+        before, behind = ((b"", b""), (PIXEL, b""), (b"", PIXEL))[crc // len(KINDS) % 3]
+        yield doc_id, KINDS[0], before + store(payload, KINDS[crc % len(KINDS)]) + behind, len(raw)
 
     return pick(df, id_col, text_col).mapInArrow(lambda it: _each(it, STORED, 2, row), STORED)
 
 
 def inspect(df: DataFrame) -> DataFrame:
-    """The features of a media column (doc_id, declared, media, n_bytes), read from the stored bytes after correcting the type."""
+    """The features of a media column (doc_id, declared, media, n_bytes): the first medium that can hold samples is carved out of the file and
+    read. media_bytes and media_sha256 are that medium's; feature names the file's true type and what else it embeds."""
 
     def row(doc_id, declared, media, n_bytes):
-        kind, length, more = true_type(media, declared)
-        payload = read(media[:length], kind)
+        pieces = sniff(media)
+        found = next(x for x in pieces if x.kind in KINDS)
+        medium = media[found.start : found.end]
+        payload = read(medium, found.kind)
         samples = np.frombuffer(payload, np.uint8)
-        feature = f"type={kind};declared={declared};samples={len(samples)};mean={samples.mean():.4f};distinct={np.count_nonzero(np.bincount(samples, minlength=256))};embedded={','.join(f'{x.kind}:{x.start}:{x.end}' for x in more)}"
-        yield doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), length, hashlib.sha256(media[:length]).hexdigest(), feature
+        distinct = np.count_nonzero(np.bincount(samples, minlength=256))
+        others = ",".join(f"{x.kind}:{x.start}:{x.end}" for x in pieces if x is not found)
+        kind, length, _ = true_type(media, declared, pieces)
+        feature = f"type={found.kind};declared={declared};file={kind}:{length};samples={len(samples)};mean={samples.mean():.4f};distinct={distinct};embedded={others}"
+        yield doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(medium), hashlib.sha256(medium).hexdigest(), feature
 
     return pick(df, "doc_id", "declared", "media", "n_bytes").mapInArrow(lambda it: _each(it, FEATURES, 4, row), FEATURES)
 
@@ -306,10 +361,10 @@ def carve(df: DataFrame, id_col: str, bytes_col: str, declared_col: str) -> Data
 
 
 def media_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text stored as media, sniffed, read back and described; see `encode_rows` and `inspect`.
+    """Each text stored as media in a file, carved out of it, read back and described; see `encode_rows` and `inspect`.
 
     Null texts count as empty: 64 zero bytes. Equal texts give equal values; repeated rows and null ids stay rows of their
-    own. Texts of any length are stored whole. Columns beyond id and text are not read.
+    own. Texts of any length are stored whole. An empty table gives an empty result. Columns beyond id and text are not read.
     """
     return inspect(encode_rows(df, id_col, text_col))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleave.llm.common import pick
+from cleave.operators.skew import skew_join
 
 #: (host, path, verdict): fixed values of the query.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -50,12 +51,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_c
     """page_id, host, path, rule, verdict: the longest rule that fits each URL, else `default`.
 
     A rule fits its host and all subdomains of it where the path starts with the rule's. Each distinct (host, path) is
-    expanded to its host suffixes times those of its path prefixes whose length some rule has; expressions meet rules on
+    expanded to its host suffixes of as many labels as some rule has, times those of its path prefixes whose length some rule has; expressions meet rules on
     the first bytes of their SHA-256, and the whole digest confirms. Longer host plus path wins; of equally long ones
     block, then the lesser rule. Catalyst broadcasts the rules only below its own size limit and sorts and merges beyond.
 
     Null URLs, URLs without `://` and empty ones have an empty host and path, which no rule fits. Repeated rows and null
-    ids are kept row by row. No rules: all get `default`. Columns beyond id and url are not read.
+    ids are kept row by row. URLs of any length count whole. No rules: all get `default`. An empty table gives an empty result. Columns beyond id
+    and url are not read. Only sites that a rule fits are joined back, and a site of many pages is dealt in parts.
     """
     host, path = split_url(F.col("url"))
     urls = pick(pages, id_col, url_col).toDF("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
@@ -63,8 +65,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_c
     known = known.withColumn("digest", _digest(F.concat("rule_host", F.lit("\n"), "rule_path")))
     known = known.withColumn("short", F.substring("digest", 1, 2 * PREFIX))
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())  # at most as many as a path is long
+    deepest = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    last = F.slice(labels, F.greatest(F.lit(1), F.size(labels) - deepest + 1), F.lit(deepest))  # no rule has more labels
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(last)), lambda k: F.array_join(F.slice(last, k, F.size(last)), "."))
     fitting = F.filter(F.array(*[F.lit(x) for x in lengths] or [F.lit(0)]), lambda k: k <= F.length("path"))
     prefixes = F.transform(fitting, lambda k: F.col("path").substr(F.lit(1), k))
     expressions = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, F.lit("\n"), p))))
@@ -75,7 +79,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_c
     order = F.struct(F.length("rule_host") + F.length("rule_path"), (F.col("verdict") == "block").cast("int"), F.concat("rule_host", "rule_path").alias("name"))
     best = met.groupBy("host", "path").agg(F.max(F.struct(order.alias("o"), F.concat("rule_host", "rule_path").alias("rule"), "verdict")).alias("b"))
     best = best.select("host", "path", F.col("b.rule").alias("rule"), F.col("b.verdict").alias("ruled"))
-    return urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(default)).alias("verdict"))
+    return skew_join(urls, best, "host", "path", how="left").select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(default)).alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
