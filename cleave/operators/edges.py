@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleave.functions.expressions import edge_bound
-from cleave.operators.prefix import dense_ids, exclusive_sum
+from cleave.operators.prefix import dense_ids, exclusive_sum, ranked
 
 
 def canonical(edges: DataFrame) -> DataFrame:
@@ -81,11 +81,16 @@ def sanitize(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _mapped(clean, ids.select("node", F.col("dense").alias("to"))), ids
 
 
-def desanitize(labels: DataFrame, ids: DataFrame) -> DataFrame:
-    """(node, cluster) for every id from 0 to the greatest; -1 for ids without an edge. labels are over dense ids."""
+def desanitize(labels: DataFrame, ids: DataFrame, gaps: bool = True) -> DataFrame:
+    """(node, cluster) for every id from 0 to the greatest; -1 for ids without an edge. labels are over dense ids.
+
+    That is as many rows as the greatest id says. With `gaps` False, only ids that have an edge: so for ids that are far apart.
+    """
+    known = ids.join(labels.select(F.col("node").alias("dense"), "cluster"), "dense").select("node", "cluster")
+    if not gaps:
+        return known
     most = ids.agg(F.max("node")).first()[0]
     spine = ids.sparkSession.range(0, 0 if most is None else most + 1).withColumnRenamed("id", "node")
-    known = ids.join(labels.select(F.col("node").alias("dense"), "cluster"), "dense").select("node", "cluster")
     return spine.join(known, "node", "left").select("node", F.coalesce("cluster", F.lit(-1)).cast("bigint").alias("cluster"))
 
 
@@ -172,7 +177,7 @@ def expand_runs(runs: DataFrame, column: str = "v") -> DataFrame:
 
 
 def row_offsets(values: DataFrame, column: str = "v") -> DataFrame:
-    """(v, start) for v from 0 to the greatest value plus 1: how many values are less."""
+    """(v, start) for v from 0 to the greatest value plus 1: how many values are less. As many rows as the greatest value says: meant for dense ids."""
     most = values.agg(F.max(column)).first()[0]
     spine = values.sparkSession.range(0, 0 if most is None else most + 2).withColumnRenamed("id", column)
     counted = spine.join(run_lengths(values, column), column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
@@ -186,12 +191,7 @@ def degrees_to_offsets(degree: DataFrame) -> DataFrame:
 
 def sort_ranks(edges: DataFrame) -> DataFrame:
     """Edges with their place in the order by (i, j)."""
-    from pyspark.sql.window import Window
-
-    per_row = edges.groupBy("i").agg(F.count("*").alias("n"))
-    starts = exclusive_sum(per_row, "i", "n", "start").select("i", "start")
-    within = Window.partitionBy("i").orderBy("j", "cost")
-    return edges.withColumn("at", F.row_number().over(within)).join(starts, "i").select("i", "j", "cost", (F.col("start") + F.col("at")).cast("bigint").alias("place"))
+    return ranked(edges, "place", "i", "j", "cost").select("i", "j", "cost", "place")
 
 
 def both_present(edges: DataFrame, nodes: DataFrame) -> DataFrame:

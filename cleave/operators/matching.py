@@ -25,6 +25,13 @@ def mutual_pairs(best: DataFrame) -> DataFrame:
     return there.join(back, ["low", "high"])
 
 
+def unmatched(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Edges without an end in a pair (low, high)."""
+    taken = pairs.select(F.explode(F.array("low", "high")).alias("t"))
+    free = edges.join(taken.withColumnRenamed("t", "i"), "i", "left_anti").join(taken.withColumnRenamed("t", "j"), "j", "left_anti")
+    return free.select("i", "j", "cost")
+
+
 def match(edges: DataFrame, multiplier: float) -> tuple[DataFrame, int]:
     """Pairs (low, high) of up to 10 rounds, and how many nodes they match.
 
@@ -43,8 +50,7 @@ def match(edges: DataFrame, multiplier: float) -> tuple[DataFrame, int]:
         gain, before = (now - before) / (before + 1), now
         if not gain or gain < LEAST_GAIN:
             break
-        taken = pairs.select(F.explode(F.array("low", "high")).alias("t"))
-        free = cut(free.join(taken.withColumnRenamed("t", "i"), "i", "left_anti").join(taken.withColumnRenamed("t", "j"), "j", "left_anti").select("i", "j", "cost"))
+        free = cut(unmatched(free, pairs))
     return pairs, before
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,21 +12,35 @@ from cleave.session import cut
 RANGE_ROWS, MOST_RANGES = 50_000, 100_000
 
 
+def _in_ranges(df: DataFrame, *order) -> DataFrame:
+    """`df` with `__range`: rows dealt by ranges of `order` that hold about as many rows each, however the values lie."""
+    df = cut(df)
+    ranges = min(MOST_RANGES, max(1, -(-df.count() // RANGE_ROWS)))
+    return cut((df.repartitionByRange(ranges, *order) if ranges > 1 else df.coalesce(1)).withColumn("__range", F.spark_partition_id()))
+
+
+def _starts(placed: DataFrame, value: Column) -> DataFrame:
+    """__range, __start: the sum of `value` over the ranges before; a row a range, so MOST_RANGES at most."""
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("__range").agg(F.sum(value).alias("__sum"))
+    return F.broadcast(sums.select("__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start")))
+
+
 def exclusive_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """`df` (unique keys) with `out`: the sum of `value` over smaller keys.
 
-    Rows are dealt by ranges of keys that hold about as many rows each, however the keys lie. Sums of ranges are added up in one small
-    window; rows are added up within their range only.
+    Sums of ranges of keys are added up in one small window; rows are added up within their range only.
     """
-    df = cut(df)
-    ranges = min(MOST_RANGES, max(1, -(-df.count() // RANGE_ROWS)))
-    dealt = df.repartitionByRange(ranges, key) if ranges > 1 else df.coalesce(1)
-    placed = cut(dealt.withColumn("__range", F.spark_partition_id()))
-    sums = placed.groupBy("__range").agg(F.sum(value).alias("__sum"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))  # a row a range: MOST_RANGES at most
+    placed = _in_ranges(df, key)
     within = Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    here = placed.withColumn("__here", F.coalesce(F.sum(value).over(within), F.lit(0))).join(F.broadcast(starts), "__range")
+    here = placed.withColumn("__here", F.coalesce(F.sum(value).over(within), F.lit(0))).join(_starts(placed, F.col(value)), "__range")
+    return here.withColumn(out, (F.col("__start") + F.col("__here")).cast("bigint")).drop("__range", "__start", "__here")
+
+
+def ranked(df: DataFrame, out: str, *order) -> DataFrame:
+    """`df` with its rows' places from 1 in `order`."""
+    placed = _in_ranges(df, *order)
+    here = placed.withColumn("__here", F.row_number().over(Window.partitionBy("__range").orderBy(*order))).join(_starts(placed, F.lit(1)), "__range")
     return here.withColumn(out, (F.col("__start") + F.col("__here")).cast("bigint")).drop("__range", "__start", "__here")
 
 

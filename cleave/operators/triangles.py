@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cleave.functions.expressions import sorted_corners
 from cleave.operators.edges import split_with_tolerance
+from cleave.operators.prefix import ranked
 from cleave.session import cut
 
 
@@ -31,18 +32,40 @@ def three_cycles(sym: DataFrame, rep: DataFrame) -> DataFrame:
     return normalize(_triples(paths, ("i", "j", "m")))
 
 
+def _starts(sym: DataFrame, rep: DataFrame) -> DataFrame:
+    """(i, j, n): the first step n of an attractive path from i, for each repulsive (i, j)."""
+    return rep.join(_near(sym, "i", "n"), "i").select("i", "j", "n")
+
+
 def four_cycles(sym: DataFrame, rep: DataFrame) -> DataFrame:
-    """For each attractive path i, n, m, j: triangles (i, j, n) and (j, n, m)."""
-    ends = rep.join(_near(sym, "i", "n"), "i").join(_near(sym, "j", "m"), "j")
-    paths = ends.join(_near(sym, "n", "m"), ["n", "m"])
-    return normalize(_triples(paths, ("i", "j", "n"), ("j", "n", "m")))
+    """For each attractive path i, n, m, j: triangles (i, j, n) and (j, n, m).
+
+    What closes a path from n to j doesn't depend on i: pairs (j, n) are made distinct before the next step, and no pair of neighbours of i and of j is made.
+    """
+    starts = _starts(sym, rep)
+    onward = starts.select("j", "n").distinct().join(_near(sym, "n", "m"), "n")
+    closed = onward.join(_near(sym, "j", "m"), ["j", "m"]).select("j", "n", "m")
+    first = starts.join(closed.select("j", "n").distinct(), ["j", "n"], "left_semi")
+    return normalize(_triples(first, ("i", "j", "n")).unionByName(_triples(closed, ("j", "n", "m"))))
 
 
 def five_cycles(sym: DataFrame, rep: DataFrame) -> DataFrame:
-    """For each attractive path i, n, m, q, j with n <> q: triangles (i, j, n), (j, n, m) and (j, m, q)."""
-    ends = rep.join(_near(sym, "i", "n"), "i").join(_near(sym, "j", "q"), "j").where("n <> q")
-    paths = ends.join(_near(sym, "n", "m"), "n").join(_near(sym, "q", "m"), ["q", "m"])
-    return normalize(_triples(paths, ("i", "j", "n"), ("j", "n", "m"), ("j", "m", "q")))
+    """For each attractive path i, n, m, q, j with n <> q: triangles (i, j, n), (j, n, m) and (j, m, q).
+
+    Steps n from the one end and q from the other meet at (j, m): there is a path over n if (j, m) has a q that isn't n, and over q likewise.
+    """
+    starts = _starts(sym, rep)
+    one = starts.select("j", "n").distinct().join(_near(sym, "n", "m"), "n").select("j", "m", "n")
+    two = one.select("j", "m").distinct().join(_near(sym, "j", "q"), "j").join(_near(sym, "m", "q"), ["m", "q"]).select("j", "m", "q")
+    one, two = _with_other(one, two, "n", "q"), _with_other(two, one, "q", "n")
+    first = starts.join(one.select("j", "n").distinct(), ["j", "n"], "left_semi")
+    return normalize(_triples(first, ("i", "j", "n")).unionByName(_triples(one, ("j", "n", "m"))).unionByName(_triples(two, ("j", "m", "q"))))
+
+
+def _with_other(mine: DataFrame, theirs: DataFrame, own: str, other: str) -> DataFrame:
+    """Rows (j, m, own) for which `theirs` has a row (j, m, other) with another node."""
+    range_ = theirs.groupBy("j", "m").agg(F.min(other).alias("low"), F.max(other).alias("high"))
+    return mine.join(range_, ["j", "m"]).where((F.col("low") != F.col(own)) | (F.col("high") != F.col(own))).select("j", "m", own)
 
 
 def conflicted(edges: DataFrame, longest: int, ratio: float = 1e-4, budget: int | None = None) -> DataFrame:
@@ -79,11 +102,7 @@ def sides(triangles: DataFrame, *keep: str) -> DataFrame:
 
 
 def strongest(triangles: DataFrame, edges: DataFrame, most: int) -> DataFrame:
-    """The `most` triangles whose weakest side is strongest (a missing side counts 0), ties by corners; with their place."""
-    from pyspark.sql.window import Window
-
+    """The `most` triangles whose weakest side is strongest (a missing side counts 0), ties by corners; with their place, found by ranges in many tasks."""
     cost = edges.select("i", "j", F.abs("cost").alias("size"))
     weak = sides(triangles, "a", "b", "c").join(cost, ["i", "j"], "left").groupBy("a", "b", "c").agg(F.min(F.coalesce("size", F.lit(0.0))).alias("strength"))
-    top = weak.orderBy(F.desc("strength"), "a", "b", "c").limit(most)  # a top-k: each task keeps `most` rows
-    place = F.row_number().over(Window.orderBy(F.desc("strength"), "a", "b", "c"))
-    return top.select("a", "b", "c", "strength", place.alias("place"))
+    return ranked(weak, "place", F.desc("strength"), "a", "b", "c").where(F.col("place") <= most).select("a", "b", "c", "strength", "place")

@@ -10,6 +10,7 @@ from dataclasses import dataclass, fields, replace
 class Options:
     """Settings of `cleave.plans.solver.solve`.
 
+    label_gaps: when sanitizing, also ids without an edge, up to the greatest, get a row (cluster -1); turn off for ids that are far apart.
     local_edges: from this many edges down, the rest of a solve runs in one process (0: always as DataFrames).
     triangle_budget: keep at most tri_memory_factor triangles for each repulsive edge, the strongest; else all. Chords of long cycles
     make the graph denser with every dual pass, so repeated passes need it.
@@ -30,6 +31,7 @@ class Options:
     dump_timeline: bool = False
     verbose: bool = True
     sanitize_graph: bool = False
+    label_gaps: bool = True
     triangle_budget: bool = True
     local_edges: int = 200_000
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cleave.operators import components, dual, forest, matching, triangles
 from cleave.operators import edges as E
 from cleave.options import Options
+from cleave.plans import evidence
 from cleave.plans import oracles as O
 from cleave.plans.solver import solve
 from cleave.session import cut, shared_folder
@@ -297,3 +298,6 @@ _add("solve_P", _solved("P", graphs.suppliers))
 _add("solve_PD", _solved("PD"))
 _add("solve_PDplus", _solved("PD+"))
 _add("lower_bound_D", _solved("D"))
+
+for _name, (_run, _sql) in evidence.CHECKED.items():
+    _add(_name, _run, _sql)

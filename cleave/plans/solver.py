@@ -65,7 +65,7 @@ def solve(edges: DataFrame, options: Options | None = None) -> Result:
     if not options.only_compute_lb:
         labels, timeline = state.primal(work)
         if ids is not None:
-            labels = E.desanitize(labels, ids)
+            labels = E.desanitize(labels, ids, options.label_gaps)
             if timeline is not None:
                 timeline = ids.join(timeline.withColumnRenamed("node", "dense"), "dense").select("iteration", "node", "cluster")
         labels = cut(_renumbered(labels))

@@ -28,12 +28,3 @@ def sparse(edges: DataFrame, k: int = 4) -> DataFrame:
 
 def supplier_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse(suppliers(spark, sf_dir))
-
-
-def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users that are active in one hour with one type of event: how often, less the mean's whole part and a half."""
-    seen = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.date_trunc("hour", "ts").alias("h"), "event_type", "user_id").distinct()
-    left, right = seen.withColumnRenamed("user_id", "i"), seen.withColumnRenamed("user_id", "j")
-    counts = left.join(right, ["h", "event_type"]).where("i < j").groupBy("i", "j").agg(F.count("*").alias("c"))
-    mean = counts.agg(F.floor(F.avg("c")).alias("m"))
-    return counts.join(F.broadcast(mean)).select("i", "j", (F.col("c") - F.col("m") - 0.5).cast("double").alias("cost"))  # one row
