@@ -60,7 +60,7 @@ class SuffixAutomaton:
 
 
 class Model(NamedTuple):
-    """The suffix automata of all languages, with their states numbered through.
+    """The suffix automata of all languages, with one numbering of states; a state is named by its place in the dense table.
 
     A step's value is twice the next state, plus 1 where a phrase begins: no factor goes on with the symbol, so the next state is that of the symbol alone, or
     `dead`, from which every symbol begins a phrase, if the language doesn't have it.
@@ -68,7 +68,7 @@ class Model(NamedTuple):
 
     languages: list[str]
     symbols: np.ndarray  # by code point: 0 no letter, 1 a letter that no sample has, then letters by falling frequency
-    table: np.ndarray  # by state * DENSE + symbol below DENSE: the step's value
+    table: np.ndarray  # by state + symbol below DENSE: the step's value
     keys: np.ndarray  # of the hash table of other transitions: state << 21 | symbol, or -1
     values: np.ndarray  # the state that the transition leads to
     roots: np.ndarray
@@ -78,12 +78,13 @@ class Model(NamedTuple):
     def step(self, states: np.ndarray, symbols: np.ndarray, language: np.ndarray) -> np.ndarray:
         """The values of steps from `states` over `symbols` (broadcast against each other, as is `language`)."""
         rare = symbols >= DENSE
-        out = self.table[states * DENSE + np.where(rare, 1, symbols)]
-        if rare.any():
-            where = np.nonzero(np.broadcast_to(rare, out.shape))
-            s, c, k = (np.broadcast_to(x, out.shape)[where] for x in (states, symbols, language))
-            to, alone = self._found(s, c), self._found(self.roots[k], c)
-            out[where] = np.where(to >= 0, 2 * to, 2 * np.where(alone >= 0, alone, self.dead[k]) + 1)
+        if not rare.any():
+            return self.table[states + symbols]
+        out = self.table[states + np.where(rare, 1, symbols)]
+        where = np.nonzero(np.broadcast_to(rare, out.shape))
+        s, c, k = (np.broadcast_to(x, out.shape)[where] for x in (states, symbols, language))
+        to, alone = self._found(s, c), self._found(self.roots[k], c)
+        out[where] = np.where(to >= 0, 2 * to, 2 * np.where(alone >= 0, alone, self.dead[k]) + 1)
         return out
 
     def _found(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
@@ -170,16 +171,16 @@ def train(samples: dict[str, list[str]]) -> Model:
         for state, edges in enumerate(automaton.next):
             for c, q in edges.items():
                 if c >= DENSE:
-                    keys.append(base + state << 21 | c)
-                    values.append(base + q)
+                    keys.append(base + state * DENSE << 21 | c)
+                    values.append(base + q * DENSE)
                 elif c >= 0:
-                    to[state, c] = base + q
-        alone = np.where(to[0] >= 0, to[0], base + n)
+                    to[state, c] = base + q * DENSE
+        alone = np.where(to[0] >= 0, to[0], base + n * DENSE)
         tables.append(np.where(to >= 0, 2 * to, 2 * alone + 1).astype(np.int32).ravel())
         roots.append(base)
-        dead.append(base + n)
+        dead.append(base + n * DENSE)
         sizes.append(len(seq))
-        base += n + 1
+        base += (n + 1) * DENSE
     letters = np.zeros(0x110000, np.int32)
     for cp in range(0x110000):
         c = chr(cp)
@@ -210,37 +211,26 @@ def _symbols(model: Model, raw: np.ndarray, offsets: np.ndarray, after_letter: b
 def _parse(model: Model, symbols: np.ndarray, lengths: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Phrases that begin in each text, by language, and the states at its end; `start` has the states before it.
 
-    Lanes of a text are parsed side by side, all but the first from a guessed state. Then each lane that another state enters is parsed again from that
-    one, until it comes to a state that it had there before: from there on all is as it was. This ends when every lane was entered as the one before left.
+    Whole lanes of a text are parsed side by side, all but the first from a guessed state. Then each lane that another state enters is parsed again
+    from that one, until it comes to a state that it had there before: from there on all is as it was. This ends when every lane was entered as the
+    one before left. What is left of the texts is parsed last.
     """
     n_langs, n_texts = len(model.languages), len(lengths)
-    language = np.arange(n_langs)[:, None]
-    lanes = -(-lengths // LANE)
+    language, begins = np.arange(n_langs)[:, None], np.cumsum(lengths) - lengths
+    lanes = lengths // LANE
     owner = np.repeat(np.arange(n_texts), lanes)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-    begin = (np.cumsum(lengths) - lengths)[owner] + within * LANE
-    size = np.minimum(lengths[owner] - within * LANE, LANE)
-    order = np.argsort(-size, kind="stable")
+    begin = begins[owner] + within * LANE
     entered = np.where(within > 0, model.dead[:, None], start[:, owner]).astype(np.int32)
-    state, found = entered[:, order], np.zeros((n_langs, len(order)), np.int64)
-    several = np.flatnonzero(lanes[owner[order]] > 1)
-    trace = np.zeros((LANE if len(several) else 0, n_langs, len(several)), np.int32)
-    padded = np.concatenate([symbols, np.zeros(LANE, symbols.dtype)])
-    active = np.searchsorted(-size[order], -np.arange(LANE), "left")
-    for j in range(int(size.max(initial=0))):
-        k = active[j]
-        value = model.step(state[:, :k], padded[begin[order[:k]] + j], language)
-        found[:, :k] += value & 1
-        state[:, :k] = value >> 1
-        if len(several):
-            m = np.searchsorted(several, k)
-            trace[j, :, :m] = value[:, several[:m]]
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    in_trace = np.full(len(order), -1)
-    in_trace[order[several]] = np.arange(len(several))
-    found, ends = found[:, place], state[:, place]
+    ends, found = entered.copy(), np.zeros((n_langs, len(owner)), np.int64)
     later = np.flatnonzero(within > 0)
+    trace = np.zeros((LANE if len(later) else 0, n_langs, len(owner)), np.int32)
+    for j in range(LANE if len(owner) else 0):
+        value = model.step(ends, symbols[begin + j], language)
+        found += value & 1
+        ends = value >> 1
+        if len(later):
+            trace[j] = value
     while len(later):
         lang, i = np.nonzero(entered[:, later] != ends[:, later - 1])
         if not len(lang):
@@ -248,24 +238,32 @@ def _parse(model: Model, symbols: np.ndarray, lengths: np.ndarray, start: np.nda
         lane = later[i]
         now = entered[lang, lane] = ends[lang, lane - 1]
         for j in range(LANE):
-            go = size[lane] > j
-            ends[lang[~go], lane[~go]] = now[~go]  # came to its end without meeting its old states
-            lang, lane, now = lang[go], lane[go], now[go]
-            if not len(lane):
-                break
-            value, spot = model.step(now, padded[begin[lane] + j], lang), (j, lang, in_trace[lane])
+            value, spot = model.step(now, symbols[begin[lane] + j], lang), (j, lang, lane)
             found[lang, lane] += (value & 1) - (trace[spot] & 1)
             apart = value >> 1 != trace[spot] >> 1
             trace[spot] = value
             lang, lane, now = lang[apart], lane[apart], value[apart] >> 1
-        else:
-            ends[lang, lane] = now
-    counts, last = np.zeros((n_langs, n_texts), np.int64), start.astype(np.int32)
-    final = np.cumsum(lanes)[lanes > 0] - 1
+            if not len(lane):
+                break
+        ends[lang, lane] = now
+    counts = np.zeros((n_langs, n_texts), np.int64)
     for k in range(n_langs):
         counts[k] = np.bincount(owner, weights=found[k], minlength=n_texts)
-    last[:, lanes > 0] = ends[:, final]
-    return counts, last
+    state = start.astype(np.int32)
+    state[:, lanes > 0] = ends[:, np.cumsum(lanes)[lanes > 0] - 1]
+
+    rest = lengths % LANE
+    order = np.argsort(-rest, kind="stable")
+    begin, left, more = (begins + lanes * LANE)[order], state[:, order], np.zeros((n_langs, n_texts), np.int64)
+    active = np.searchsorted(-rest[order], -np.arange(LANE), "left")
+    for j in range(int(rest.max(initial=0))):
+        k = active[j]
+        value = model.step(left[:, :k], symbols[begin[:k] + j], language)
+        more[:, :k] += value & 1
+        left[:, :k] = value >> 1
+    counts[:, order] += more
+    state[:, order] = left
+    return counts, state
 
 
 def phrases(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -350,7 +348,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         held = Model(*shared.value)
         for b in batches:
             raw, offsets = text_buffer(b.column(2))
-            for i, j in blocks(offsets):
+            for i, j in blocks(offsets, max(1 << 14, (1 << 21) // max(1, len(held.languages)))):
                 lang, score = predict(held, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(lang, pa.string()), pa.array(score)], schema=schema)
 
