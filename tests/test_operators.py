@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from cleave.operators import components, dual, forest, matching, triangles
 from cleave.operators import edges as E
-from cleave.operators.prefix import dense_ids, exclusive_sum
+from cleave.operators.prefix import _in_ranges, dense_ids, exclusive_sum, ranked
+from cleave.operators.skew import deal, skew_join
 
 TRI_B = [(0, 1, 1.5), (0, 2, -3.0), (1, 2, 1.0)]
 MATCH = [(0, 1, 2.0), (1, 2, 3.0), (0, 2, -1.0), (3, 0, 1.0), (3, 1, 2.0)]
@@ -202,3 +203,64 @@ def test_dual_golden(spark):
     assert [round(r["cost"], 9) for r in new.orderBy("i", "j").collect()] == [round(x, 9) for x in (1 / 6, -5 / 3, -1 / 3)]
     assert dual.update(frame(spark, [(0, 1, -1.0)]), 3, 2)[1:] == (-1.0, 0)
     assert dual.solve(frame(spark, TRI_B), 0, 2, 1)[1] == -3.0
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_skew_join_is_a_join(spark, how):
+    rng = np.random.default_rng(9)
+    many = [(None if k % 7 == 0 else 5 if k % 3 == 0 else int(rng.integers(0, 900)), k % 11) for k in range(3000)]
+    one = [(k, f"v{k}") for k in range(0, 900, 2)] + [(5, "hot")]
+    left, right = spark.createDataFrame(many, "k bigint, x bigint"), spark.createDataFrame(one, "k bigint, v string")
+    got = skew_join(left, right, "k", how=how)
+    assert sorted(map(str, got.select("k", "x", "v").collect())) == sorted(map(str, left.join(right, "k", how).select("k", "x", "v").collect()))
+    dealt, hot = deal(left, "k")
+    assert [r["k"] for r in hot.collect()] == [5] and dealt.where("k = 5").groupBy("__part").count().agg(F.max("count")).first()[0] < 400
+    assert dealt.where("k IS NULL").select("__part").distinct().count() > 100
+
+
+def test_components_and_forest_of_hubs_and_paths(spark, monkeypatch):
+    """The rounds on frames against the finish in one task, with hot nodes dealt in parts."""
+    monkeypatch.setattr("cleave.operators.skew.PART_ROWS", 20)
+    rng = np.random.default_rng(4)
+    pairs = {(0, k) for k in range(1, 200, 2)} | {(k, k + 1) for k in range(200, 260)} | {tuple(sorted(p)) for p in rng.integers(0, 400, (150, 2)).tolist() if p[0] != p[1]}
+    g = frame(spark, [(a, b, float(rng.integers(1, 5))) for a, b in sorted(pairs)])
+    for op in (lambda n: components.connected_components(nodes(spark, 400), g, one_task=n), lambda n: forest.maximum_spanning_forest(g, one_task=n)):
+        assert rows(op(0)) == rows(op(1 << 20))
+
+
+def test_ranges_hold_alike_rows_of_uneven_keys(spark, monkeypatch):
+    monkeypatch.setattr("cleave.operators.prefix.RANGE_ROWS", 50)
+    keys = [*range(999), 10**15]
+    df = spark.createDataFrame([(k,) for k in keys], "v bigint")
+    assert [r["r"] for r in dense_ids(df, "v", "r").orderBy("v").collect()] == list(range(1000))
+    assert _in_ranges(df, "v").groupBy("__range").count().agg(F.max("count")).first()[0] < 150
+    tied = spark.createDataFrame([(float(k % 3), k) for k in range(700)], "s double, k bigint")
+    got = [(r["s"], r["k"]) for r in ranked(tied, "place", F.desc("s"), "k").orderBy("place").collect()]
+    assert got == sorted(((float(k % 3), k) for k in range(700)), key=lambda x: (-x[0], x[1]))
+
+
+def test_four_and_five_cycles_against_all_paths(spark):
+    rng = np.random.default_rng(6)
+    for _ in range(3):
+        near, rep = set(), set()
+        for a, b in rng.integers(0, 11, (34, 2)).tolist():
+            if a != b:
+                (near if rng.random() < 0.75 else rep).add((min(a, b), max(a, b)))
+        rep -= near
+        both = near | {(b, a) for a, b in near}
+        to = {k: [b for a, b in both if a == k] for k in range(11)}
+        four = {t for i, j in rep for n in to[i] for m in to[n] if j in to[m] for t in ((i, j, n), (j, n, m))}
+        five = {t for i, j in rep for n in to[i] for m in to[n] for q in to[m] if j in to[q] and q != n for t in ((i, j, n), (j, n, m), (j, m, q))}
+        sym, edges = spark.createDataFrame(sorted(both), "src bigint, dst bigint"), spark.createDataFrame(sorted(rep), "i bigint, j bigint")
+        for op, found in ((triangles.four_cycles, four), (triangles.five_cycles, five)):
+            assert rows(op(sym, edges)) == sorted({tuple(sorted(t)) for t in found if len(set(t)) == 3})
+
+
+def test_facade_and_cluster_rows(spark, tmp_path):
+    import cleave
+
+    found = cleave.solve(frame(spark, [(0, 1, 1.1), (1, 2, -2.0), (0, 2, 3.0)]), cleave.Options.preset("P", verbose=False))
+    cleave.write_clusters(found.labels, str(tmp_path / "rows"), rows=True)
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "rows")).collect()) == ["0\t0", "0\t2", "1\t1"]
+    with pytest.raises(AttributeError):
+        cleave.nothing
