@@ -110,6 +110,79 @@ def test_machine_is_linear_time_form_of_pairs():
     assert m.logits(i, x, np.array([0, 4]))[0] == pytest.approx(want, rel=1e-4)
 
 
+def plain_stats(text):
+    """The statistics of STATS that a plain reading of the text gives."""
+    raw = text.encode()
+    w = [x for x in re.split(rb"[\x20\x09-\x0d]+", raw.translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))) if x]
+    n, size, share = max(1, len(w)), max(1, len(raw)), lambda members: sum(c in members for c in raw) / max(1, len(raw))
+    letters = sum(65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in raw) / size
+    lines = [tuple(re.split(rb"[\x20\x09-\x0d]+", x.strip())) for x in raw.translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))).split(b"\n") if x.strip(b" \t\r\v\f")]
+    pairs = list(zip(w, w[1:], strict=False))
+    symbols, exclaims = b"#$%&*~^@=<>{}[]\\/_+", b"!?"
+    return {
+        "log_bytes": np.log1p(len(raw)),
+        "word_bytes": sum(map(len, w)) / n,
+        "upper": sum(65 <= c <= 90 for c in raw) / size / max(letters, 1e-9),
+        "digit": share(b"0123456789"),
+        "symbol": share(symbols),
+        "stop_mark": share(b".,;:"),
+        "exclaim": share(exclaims),
+        "bar": share(b"|"),
+        "beyond_ascii": sum(c >= 128 for c in raw) / size,
+        "line_words": len(w) / (raw.count(b"\n") + 1),
+        "distinct_words": len(set(w)) / n if w else 0,
+        "top_word": max((w.count(x) for x in w), default=0) / n,
+        "same_as_last": sum(a == b for a, b in pairs) / n,
+        "distinct_pairs": len(set(pairs)) / max(1, len(pairs)),
+        "marked_words": sum(x[-1] in symbols + exclaims for x in w) / n,
+        "short_words": sum(len(x) <= 3 for x in w) / n,
+        "one_byte_words": sum(len(x) == 1 for x in w) / n,
+        "distinct_lines": len(set(lines)) / max(1, len(lines)),
+    }
+
+
+def test_quality_features_against_a_plain_reading():
+    rng = random.Random(14)
+    texts = ["", "a", "Two WORDS two words\nTwo words\n\nx | y! 12 #a", "é ü! " * 9] + [rng.choice(["\n", " "]).join(rng.choice([sentence(rng, rng.randint(0, 6)), "Same line", "A! B# 7%"]) for _ in range(rng.randint(1, 12))) for _ in range(40)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    numbers, values, at = quality.features(raw, np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]))
+    for d, text in enumerate(texts):
+        mine, x = numbers[at[d] : at[d + 1]], values[at[d] : at[d + 1]]
+        k = len(quality.STATS)
+        want = plain_stats(text)
+        bins = [quality.BUCKETS + i * quality.BINS + min(quality.BINS - 1, max(0, int((want[name] - lo) / (hi - lo) * quality.BINS))) for i, (name, lo, hi) in enumerate(quality.STATS)]
+        near = [abs(((want[name] - lo) / (hi - lo) * quality.BINS) % 1) < 1e-9 for name, lo, hi in quality.STATS]  # on a border of two bins
+        assert all(a == b or (n and abs(a - b) == 1) for a, b, n in zip(mine[-k:].tolist(), bins, near, strict=True)) and (x[-k:] == 1).all()
+        w = [t for t in re.split(r"[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if t]
+        counts = sorted((w.count(t) for t in set(w)), reverse=True)
+        weights = np.log1p(np.array(counts, float))
+        assert len(mine) - k == len(counts) and np.allclose(sorted(x[:-k], reverse=True), weights / np.sqrt((weights**2).sum()) if counts else [])
+
+
+def test_training_follows_the_gradient(monkeypatch):
+    """One step of Adagrad goes against the gradient of the log loss, by finite differences."""
+    monkeypatch.setattr(quality, "EPOCHS", 1)
+    monkeypatch.setattr(quality, "DECAY", 0.0)
+    numbers, values, offsets = np.array([3, 8, 8, 20, 3]), np.array([1, 0.5, 2, 1, 1.5], np.float32), np.array([0, 2, 4, 5])
+    labels = np.array([1.0, 0.0, 0.0])
+    rng = np.random.default_rng(quality.SEED)
+    start = quality.Machine(0.0, np.zeros(quality.SIZE, np.float32), rng.normal(0, 0.02, (quality.SIZE, quality.FACTORS)).astype(np.float32))
+
+    def loss(m):
+        z = m.logits(numbers, values, offsets)
+        return float(np.mean(np.log1p(np.exp(z)) - labels * z))
+
+    after = quality.train(numbers, values, offsets, labels)
+    for k in (3, 8, 20):
+        for name, at in (("weight", (k,)), ("factor", (k, 2))):
+            up, down = (start._replace(**{name: getattr(start, name).astype(np.float64).copy()}) for _ in range(2))
+            getattr(up, name)[at] += 1e-5
+            getattr(down, name)[at] -= 1e-5
+            slope = (loss(up) - loss(down)) / 2e-5
+            moved = getattr(after, name)[at] - getattr(start, name)[at]
+            assert moved == pytest.approx(-quality.RATE * slope / np.sqrt(1e-6 + slope**2), abs=2e-3)
+
+
 # 2. Personal data.
 def plain_base(text):
     patterns = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
