@@ -181,7 +181,7 @@ def _trees(f) -> Callable[[SparkSession, str], DataFrame]:
 _SAME = ["held AS MATERIALIZED (SELECT m.i, m.j FROM minus m JOIN t_cc x ON x.node = m.i JOIN t_cc y ON y.node = m.j WHERE x.component = y.component)"]
 _TREES = [O.FOREST, O.components("gnodes", "forest", "t_"), *_SAME]
 _add("max_spanning_forest", _thin(lambda g: forest.maximum_spanning_forest(E.attractive(cut(g)))), O.query("SELECT i, j, cost FROM forest", O.FOREST))
-_add("connected_components", _thin(lambda g: components.connected_components(_nodes(g), E.attractive(g))), O.query("SELECT node, component FROM t_cc", O.FOREST, O.components("gnodes", "plus", "t_")))
+_add("connected_components", _thin(lambda g: (lambda g: components.connected_components(_nodes(g), E.attractive(g)))(cut(g))), O.query("SELECT node, component FROM t_cc", O.FOREST, O.components("gnodes", "plus", "t_")))
 _add("filter_rep_by_component", _trees(lambda g, f, rep: rep), O.query("SELECT i, j FROM held", *_TREES))
 _add(
     "forest_conflict3",
