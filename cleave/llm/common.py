@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -137,6 +137,18 @@ def words(raw: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.
     return starts, ends, hashes, word_offsets
 
 
+#: Rows and bytes that go to a Python worker in one piece, at most.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on, Arrow batches of this session have at most BATCH_ROWS rows and BATCH_BYTES bytes: both sides hold some of them outside the heap."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set(size, str(BATCH_BYTES))
+
+
 def keep_where(df: DataFrame, text_col: str, judge: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """The rows of `df`, all columns, whose text `judge` tells to keep. Only the texts go to Python and only a flag comes back."""
 
@@ -144,6 +156,7 @@ def keep_where(df: DataFrame, text_col: str, judge: Callable[[pa.Array], np.ndar
         for x in texts:
             yield pa.array(judge(x), pa.bool_())
 
+    small_batches(df.sparkSession)
     flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     return flat.where(F.arrow_udf(flags, "boolean")(F.col(f"c{df.columns.index(text_col)}").cast("string"))).toDF(*df.columns)
 

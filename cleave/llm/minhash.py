@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cleave.llm.common import NON_SPACE, U64, blocks, mix, pick, text_buffer, words
+from cleave.llm.common import NON_SPACE, U64, blocks, mix, pick, small_batches, text_buffer, words
 from cleave.operators.components import star_edges
 from cleave.operators.skew import deal, skew_join, spread
 from cleave.session import release, settle
@@ -316,6 +316,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     with_keys: also text_key, the xxhash64 of the text, and root, a number that components share with no other (null: no words).
     """
+    small_batches(df.sparkSession)
     docs = pick(df, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     rows = settle(docs.select("doc_id", "text_key", "text").mapInArrow(_sketch_batches, SKETCHED))
     nodes = rows.where("digest IS NOT NULL").groupBy("digest").agg(
