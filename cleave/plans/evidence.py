@@ -150,8 +150,8 @@ def _claims_sql(edges: str) -> str:
 
 
 def both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row: a solve by DataFrame steps alone against the one on arrays, on the thinned suppliers graph."""
-    g = cut(graphs.supplier_graph(spark, sf_dir))
+    """One row: a solve by DataFrame steps alone against the one on arrays, on the orders graph."""
+    g = cut(graphs.customer_orders(spark, sf_dir))
     frames, arrays = (solve(g, Options.preset("P", sanitize_graph=True, verbose=False, local_edges=n)) for n in (0, 200_000))
     other = frames.labels.join(arrays.labels.toDF("node", "other"), "node", "full").where("cluster IS DISTINCT FROM other").count()
     row = (frames.labels.where("cluster >= 0").count(), other, abs(frames.objective - arrays.objective) < 1e-6, abs(frames.lower_bound - arrays.lower_bound) < 1e-6)
@@ -172,8 +172,8 @@ def forest_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def general_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row of the general search on the thinned graph: forest edges that it made up, and repulsive edges that stay within a tree."""
-    g = cut(graphs.supplier_graph(spark, sf_dir))
+    """One row of the general search on the orders graph: forest edges that it made up, and repulsive edges that stay within a tree."""
+    g = cut(graphs.customer_orders(spark, sf_dir))
     joining, rep = E.split_by_sign(g)
     tree = cut(forest.maximum_spanning_forest(joining))
     left = cut(forest.conflict_free(_nodes(g), tree, rep))
@@ -190,7 +190,7 @@ def component_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spanning_forest_on_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The maximum spanning forest by rounds on frames alone, without the finish in one task."""
-    return forest.maximum_spanning_forest(E.attractive(cut(graphs.supplier_graph(spark, sf_dir))), one_task=0)
+    return forest.maximum_spanning_forest(E.attractive(cut(graphs.customer_orders(spark, sf_dir))), one_task=0)
 
 
 def _thirds(g: DataFrame) -> DataFrame:
@@ -239,9 +239,9 @@ CHECKED = {
     "solve_fixtures": (solved_graphs, _values(_SOLVED_ROWS, "graph, node, cluster, objective, lower_bound")),
     "solve_timeline": (solved_timeline, _values([(0, 0, 0), (0, 1, 1), (0, 2, 0), (-1, 5, 1)], "iteration, node, cluster")),
     "solve_P_claims": (_claims("P", graphs.suppliers), _claims_sql("gs")),
-    "solve_PD_claims": (_claims("PD", graphs.supplier_graph), _claims_sql("g")),
-    "solve_PDplus_claims": (_claims("PD+", graphs.supplier_graph), _claims_sql("g")),
-    "lower_bound_D_claims": (_claims("D", graphs.supplier_graph), _claims_sql("g")),
+    "solve_PD_claims": (_claims("PD", graphs.customer_orders), _claims_sql("g")),
+    "solve_PDplus_claims": (_claims("PD+", graphs.customer_orders), _claims_sql("g")),
+    "lower_bound_D_claims": (_claims("D", graphs.customer_orders), _claims_sql("g")),
     "solve_both_ways": (both_ways, O.query("SELECT count(DISTINCT node) AS nodes, 0 AS apart, true AS same_objective, true AS same_bound FROM (SELECT unnest([i, j]) AS node FROM g)")),
     "forest_contraction_claims": (forest_claims, O.query("SELECT count(DISTINCT node) AS nodes, true AS gapless, 0 AS inside, 0 AS in_pieces FROM (SELECT unnest([i, j]) AS node FROM gs)")),
     "forest_general_claims": (general_claims, "SELECT 0 AS made_up, 0 AS stay"),

@@ -6,20 +6,21 @@ _GRAPH = """
 sup_pairs AS MATERIALIZED (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem),
 sup_c AS MATERIALIZED (SELECT x.s AS i, y.s AS j, count(*) AS c FROM sup_pairs x JOIN sup_pairs y ON x.o = y.o AND x.s < y.s GROUP BY 1, 2),
 gs AS MATERIALIZED (SELECT i, j, (c - floor((SELECT avg(c) FROM sup_c)))::DOUBLE AS cost FROM sup_c),
-gs_ends AS (SELECT i AS u, j AS v, i, j, cost FROM gs WHERE cost <> 0 UNION ALL SELECT j, i, i, j, cost FROM gs WHERE cost <> 0),
-gs_rank AS (SELECT i, j, cost, row_number() OVER (PARTITION BY u, sign(cost) ORDER BY abs(cost) DESC, v) AS r FROM gs_ends),
-g AS MATERIALIZED (SELECT DISTINCT i, j, cost FROM gs_rank WHERE r <= 4)"""
+{0}"""
+
+#: Orders of one customer at most 180 days apart.
+_ORDERS = """g AS MATERIALIZED (SELECT x.o_orderkey AS i, y.o_orderkey AS j, (3 - floor(abs(x.o_totalprice - y.o_totalprice) / 50000.0))::DOUBLE AS cost
+  FROM orders x JOIN orders y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey WHERE abs(date_diff('day', x.o_orderdate, y.o_orderdate)) <= 180)"""
 
 
 def query(body: str, *parts: str) -> str:
-    return "WITH RECURSIVE " + ",\n".join([_GRAPH.strip(), *[p.strip().rstrip(",") for p in parts]]) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join([_GRAPH.strip().replace("{0}", _ORDERS), *[p.strip().rstrip(",") for p in parts]]) + "\n" + body
 
 
 def whole(sql: str) -> str:
-    """The same SQL with every edge of gs in g."""
-    thinned = "g AS MATERIALIZED (SELECT DISTINCT i, j, cost FROM gs_rank WHERE r <= 4)"
-    assert sql.count(thinned) == 1
-    return sql.replace(thinned, "g AS MATERIALIZED (SELECT i, j, cost FROM gs)")
+    """The same SQL with the suppliers graph as g."""
+    assert sql.count(_ORDERS) == 1
+    return sql.replace(_ORDERS, "g AS MATERIALIZED (SELECT i, j, cost FROM gs)")
 
 
 def both_ways(edges: str, out: str) -> str:
@@ -101,17 +102,15 @@ def components(nodes: str, edges: str, p: str) -> str:
 {p}cc AS MATERIALIZED (SELECT a AS node, min(b) AS component FROM {p}reach GROUP BY 1)"""
 
 
-#: The maximum spanning forest of the positive edges of g, edge by edge in falling order with a list of labels.
+#: The maximum spanning forest of the positive edges of g: those whose ends no path of earlier edges (cost falling, i, j) joins.
 FOREST = """
 gnodes AS MATERIALIZED (SELECT DISTINCT unnest([i, j]) AS node FROM g),
 plus AS MATERIALIZED (SELECT i, j, cost FROM g WHERE cost > 0),
 minus AS MATERIALIZED (SELECT i, j FROM g WHERE cost <= 0),
-places AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY node) AS p FROM gnodes),
-turns AS MATERIALIZED (SELECT i, j, cost, x.p AS a, y.p AS b, row_number() OVER (ORDER BY cost DESC, i, j) AS k FROM plus JOIN places x ON x.node = i JOIN places y ON y.node = j),
-grow(k, lab, taken) AS (SELECT 0::BIGINT, range(1, 1 + (SELECT count(*) FROM places)), false
-  UNION ALL SELECT t.k, CASE WHEN w.lab[t.a] <> w.lab[t.b] THEN list_transform(w.lab, lambda x: CASE WHEN x = w.lab[t.b] THEN w.lab[t.a] ELSE x END) ELSE w.lab END, w.lab[t.a] <> w.lab[t.b]
-  FROM grow w JOIN turns t ON t.k = w.k + 1),
-forest AS MATERIALIZED (SELECT i, j, cost FROM grow JOIN turns USING (k) WHERE taken),
+turns AS MATERIALIZED (SELECT i, j, cost, row_number() OVER (ORDER BY cost DESC, i, j) AS k FROM plus),
+steps AS MATERIALIZED (SELECT i AS s, j AS d, k FROM turns UNION ALL SELECT j, i, k FROM turns),
+early(k, node) AS (SELECT k, i FROM turns UNION SELECT w.k, t.d FROM early w JOIN steps t ON t.s = w.node AND t.k < w.k),
+forest AS MATERIALIZED (SELECT i, j, cost FROM turns t WHERE NOT EXISTS (SELECT 1 FROM early w WHERE w.k = t.k AND w.node = t.j)),
 fs AS MATERIALIZED (SELECT i AS src, j AS dst, cost FROM forest UNION ALL SELECT j, i, cost FROM forest)"""
 
 

@@ -39,8 +39,8 @@ def _whole(f):
     return _on(graphs.suppliers, f)
 
 
-def _thin(f):
-    return _on(graphs.supplier_graph, f)
+def _orders(f):
+    return _on(graphs.customer_orders, f)
 
 
 def _nodes(g: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def _text(g: DataFrame) -> DataFrame:
     return text.read_edges(g.sparkSession, path)
 
 
-_add("src_text_edges", _thin(_text), O.query("SELECT i, j, cost FROM g"))
+_add("src_text_edges", _orders(_text), O.query("SELECT i, j, cost FROM g"))
 _add(
     "sink_cluster_lists",
     _whole(lambda g: text.cluster_lines(_nodes(g).select("node", (F.col("node") % 7 * 2).alias("cluster")))),
@@ -111,7 +111,7 @@ _add(
     _whole(lambda g: _sided((lambda a, r: (a.select(F.col("src").alias("i"), F.col("dst").alias("j")), r))(*E.split_with_tolerance(g)))),
     O.query("SELECT s AS i, d AS j, 'attractive' AS side FROM z_near UNION ALL SELECT i, j, 'repulsive' FROM z_rep", O.cycles("gs", 3, "z_")),
 )
-_add("filter_forest_threshold", _thin(lambda g: forest.thin(forest.maximum_spanning_forest(E.attractive(g)))), O.query("SELECT i, j, cost FROM forest WHERE cost >= 0.9 * (SELECT avg(cost) FROM forest WHERE cost >= 0)", O.FOREST))
+_add("filter_forest_threshold", _orders(lambda g: forest.thin(forest.maximum_spanning_forest(E.attractive(g)))), O.query("SELECT i, j, cost FROM forest WHERE cost >= 0.9 * (SELECT avg(cost) FROM forest WHERE cost >= 0)", O.FOREST))
 
 # Sorts, distinct, limits.
 _add("sort_edges_coo", _whole(E.sort_ranks), O.query("SELECT i, j, cost, row_number() OVER (ORDER BY i, j) AS place FROM gs"))
@@ -125,7 +125,7 @@ _add("agg_unique_counts", _whole(lambda g: E.run_lengths(_first(g))), O.query("S
 _add("gen_invert_unique", _whole(lambda g: E.expand_runs(E.run_lengths(_first(g)))), O.query("SELECT i AS v, row_number() OVER (PARTITION BY i ORDER BY j) AS k FROM gs"))
 _add(
     "topk_triangle_budget",
-    _thin(lambda g: (lambda g: triangles.strongest(triangles.conflicted(g, 4), g, int(0.5 * g.where("cost < 0").count())))(cut(g))),
+    _orders(lambda g: (lambda g: triangles.strongest(triangles.conflicted(g, 4), g, int(0.5 * g.where("cost < 0").count())))(cut(g))),
     O.query(
         "SELECT a, b, c, strength, place FROM (SELECT *, row_number() OVER (ORDER BY strength DESC, a, b, c) AS place FROM (SELECT a, b, c, min(coalesce(abs(cost), 0.0)) AS strength FROM s LEFT JOIN g USING (i, j) GROUP BY 1, 2, 3)) WHERE place <= (SELECT floor(0.5 * count(*)) FROM g WHERE cost < 0)",
         O.cycles("g", 4, "z_"),
@@ -136,9 +136,9 @@ _twice = lambda g: _turned(g).unionByName(g.where("i % 2 = 0").select("i", "j",
 _add("dedupe_edges", _whole(lambda g: E.dedupe(_twice(g))), O.query("SELECT i, j, CASE WHEN i % 2 = 0 THEN cost - 1 ELSE cost END AS cost FROM gs"))
 
 # Set operations.
-_add("setop_intersect_edges", _thin(lambda g: (lambda g: dual.side_costs(g, triangles.conflicted(g, 4)))(cut(g))), O.query("SELECT c.i, c.j, coalesce(cost, 0.0) AS cost FROM y_count c LEFT JOIN g ON g.i = c.i AND g.j = c.j", O.cycles("g", 4, "z_"), O.dual_start("g", "z_tri", "y_")))
-_add("setop_union_edges", _thin(lambda g: (lambda g: dual.with_chords(g, triangles.conflicted(g, 4)).select("i", "j", "cost"))(cut(g))), O.query("SELECT i, j, cost FROM y_e0", O.cycles("g", 4, "z_"), O.dual_start("g", "z_tri", "y_")))
-_add("setop_forest_difference", _thin(lambda g: (lambda f: forest.without(f, f.where("cost < 3")))(cut(forest.maximum_spanning_forest(E.attractive(g))))), O.query("SELECT i, j, cost FROM forest WHERE cost >= 3", O.FOREST))
+_add("setop_intersect_edges", _orders(lambda g: (lambda g: dual.side_costs(g, triangles.conflicted(g, 4)))(cut(g))), O.query("SELECT c.i, c.j, coalesce(cost, 0.0) AS cost FROM y_count c LEFT JOIN g ON g.i = c.i AND g.j = c.j", O.cycles("g", 4, "z_"), O.dual_start("g", "z_tri", "y_")))
+_add("setop_union_edges", _orders(lambda g: (lambda g: dual.with_chords(g, triangles.conflicted(g, 4)).select("i", "j", "cost"))(cut(g))), O.query("SELECT i, j, cost FROM y_e0", O.cycles("g", 4, "z_"), O.dual_start("g", "z_tri", "y_")))
+_add("setop_forest_difference", _orders(lambda g: (lambda f: forest.without(f, f.where("cost < 3")))(cut(forest.maximum_spanning_forest(E.attractive(g))))), O.query("SELECT i, j, cost FROM forest WHERE cost >= 3", O.FOREST))
 
 # Joins.
 _add(
@@ -158,14 +158,14 @@ def _cycles(kind):
         sym, rep = E.split_with_tolerance(cut(g))
         return kind(sym.select("src", "dst"), rep)
 
-    return _thin(run)
+    return _orders(run)
 
 
 _tri = "SELECT a, b, c FROM z_tri"
 _add("cycles3", _cycles(triangles.three_cycles), O.query(_tri, O.cycles("g", 3, "z_")))
 _add("cycles4", _cycles(triangles.four_cycles), O.query(_tri, O.cycles("g", 4, "z_", 4)))
 _add("cycles5", _cycles(triangles.five_cycles), O.query(_tri, O.cycles("g", 5, "z_", 5)))
-_add("cycles_upto5", _thin(lambda g: triangles.conflicted(cut(g), 5)), O.query(_tri, O.cycles("g", 5, "z_")))
+_add("cycles_upto5", _orders(lambda g: triangles.conflicted(cut(g), 5)), O.query(_tri, O.cycles("g", 5, "z_")))
 
 
 def _trees(f) -> Callable[[SparkSession, str], DataFrame]:
@@ -175,13 +175,13 @@ def _trees(f) -> Callable[[SparkSession, str], DataFrame]:
         tree = cut(forest.maximum_spanning_forest(joining))
         return f(g, tree, forest.within_trees(_nodes(g), tree, rep))
 
-    return _thin(run)
+    return _orders(run)
 
 
 _SAME = ["held AS MATERIALIZED (SELECT m.i, m.j FROM minus m JOIN t_cc x ON x.node = m.i JOIN t_cc y ON y.node = m.j WHERE x.component = y.component)"]
 _TREES = [O.FOREST, O.components("gnodes", "forest", "t_"), *_SAME]
-_add("max_spanning_forest", _thin(lambda g: forest.maximum_spanning_forest(E.attractive(cut(g)))), O.query("SELECT i, j, cost FROM forest", O.FOREST))
-_add("connected_components", _thin(lambda g: (lambda g: components.connected_components(_nodes(g), E.attractive(g)))(cut(g))), O.query("SELECT node, component FROM t_cc", O.FOREST, O.components("gnodes", "plus", "t_")))
+_add("max_spanning_forest", _orders(lambda g: forest.maximum_spanning_forest(E.attractive(cut(g)))), O.query("SELECT i, j, cost FROM forest", O.FOREST))
+_add("connected_components", _orders(lambda g: (lambda g: components.connected_components(_nodes(g), E.attractive(g)))(cut(g))), O.query("SELECT node, component FROM t_cc", O.FOREST, O.components("gnodes", "plus", "t_")))
 _add("filter_rep_by_component", _trees(lambda g, f, rep: rep), O.query("SELECT i, j FROM held", *_TREES))
 _add(
     "forest_conflict3",
@@ -225,7 +225,7 @@ _add(
     _whole(lambda g: (lambda ids: E.desanitize(ids.select(F.col("dense").alias("node"), (F.col("dense") % 4).alias("cluster")), ids))(E.sanitize(_sparse(g))[1])),
     O.query("SELECT k AS node, coalesce(d % 4, -1) AS cluster FROM (SELECT unnest(range(0, (SELECT max(node) * 3 + 6 FROM ids))) AS k) LEFT JOIN ids ON node * 3 + 5 = k", _IDS),
 )
-_add("agg_edge_triangle_count", _thin(lambda g: dual.triangle_counts(triangles.conflicted(cut(g), 5))), O.query("SELECT i, j, n AS n_tri FROM y_count", O.cycles("g", 5, "z_"), O.dual_start("g", "z_tri", "y_")))
+_add("agg_edge_triangle_count", _orders(lambda g: dual.triangle_counts(triangles.conflicted(cut(g), 5))), O.query("SELECT i, j, n AS n_tri FROM y_count", O.cycles("g", 5, "z_"), O.dual_start("g", "z_tri", "y_")))
 _add(
     "argmax_best_neighbour",
     _whole(lambda g: matching.best_neighbours(g, E.matching_threshold(g, 0.05))),
@@ -250,7 +250,7 @@ def _messages(f):
         g = cut(g)
         return f(*(cut(x) for x in dual.start(g, cut(triangles.conflicted(g, 5)))))
 
-    return _thin(run)
+    return _orders(run)
 
 
 _T = "SELECT a, b, c, round(x, 6) + 0.0 AS c12, round(y, 6) + 0.0 AS c13, round(z, 6) + 0.0 AS c23 FROM "
@@ -260,7 +260,7 @@ _add("dual_send_to_triplets", _messages(lambda e, t: _rounded(dual.send_to_trian
 _add("dual_send_to_edges", _messages(lambda e, t: _rounded(dual.send_to_edges(*dual.send_to_triangles(e, t))[0], "cost")), O.query(_E + "y_e1", *_Z, O.dual_down("y_", 1), O.dual_up("y_", 1)))
 _add("dual_one_iteration", _messages(lambda e, t: _rounded(dual.iterate(e, t)[1], *_names)), O.query(_T + "y_t1", *_Z, O.dual_down("y_", 1), O.dual_up("y_", 1)))
 _add("agg_dual_lower_bound", _messages(lambda e, t: _rounded(dual.lower_bound(*dual.iterate(e, t)), "bound")), O.query("SELECT round(lb, 6) AS bound FROM y_l1", *_Z, O.dual_down("y_", 1), O.dual_up("y_", 1)))
-_add("dual_reparametrize", _thin(lambda g: _rounded(dual.update(cut(g), 3, 2)[0], "cost")), O.query("SELECT i, j, round(cost, 6) + 0.0 AS cost FROM d_edges", O.dual_update("g", 3, 2, "d_")))
+_add("dual_reparametrize", _orders(lambda g: _rounded(dual.update(cut(g), 3, 2)[0], "cost")), O.query("SELECT i, j, round(cost, 6) + 0.0 AS cost FROM d_edges", O.dual_update("g", 3, 2, "d_")))
 
 
 def _dual_cycle3(g: DataFrame) -> DataFrame:
@@ -273,8 +273,8 @@ def _dual_bound(g: DataFrame) -> DataFrame:
     return g.sparkSession.createDataFrame([(round(bound, 6),)], "lower_bound double")
 
 
-_add("dual_cycle3", _thin(_dual_cycle3), O.query("SELECT round(lb, 6) AS lower_bound, n_tri FROM d_final", O.dual_update("g", 3, 5, "d_")))
-_add("dual_lower_bound", _thin(_dual_bound), O.query("SELECT round(lb, 6) AS lower_bound FROM f_final", O.dual_update("g", 3, 2, "d_"), O.dual_update("d_edges", 4, 2, "f_")))
+_add("dual_cycle3", _orders(_dual_cycle3), O.query("SELECT round(lb, 6) AS lower_bound, n_tri FROM d_final", O.dual_update("g", 3, 5, "d_")))
+_add("dual_lower_bound", _orders(_dual_bound), O.query("SELECT round(lb, 6) AS lower_bound FROM f_final", O.dual_update("g", 3, 2, "d_"), O.dual_update("d_edges", 4, 2, "f_")))
 
 
 # The same on every edge of the suppliers graph, and the same SQL there. Not so for cycles of four and five edges: see the README.
@@ -284,7 +284,7 @@ for _name in WHOLE:
 
 
 # Solver: iterative to the data's end; tests hold it against bounds, brute force and the array version.
-def _solved(preset: str, graph=graphs.supplier_graph):
+def _solved(preset: str, graph=graphs.customer_orders):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = solve(graph(spark, sf_dir), Options.preset(preset, sanitize_graph=True, verbose=False))
         if found.labels is None:

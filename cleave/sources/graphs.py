@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,13 +17,14 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(F.broadcast(mean)).select("i", "j", (F.col("c") - F.col("m")).cast("double").alias("cost"))  # one row
 
 
-def sparse(edges: DataFrame, k: int = 4) -> DataFrame:
-    """Edges that are among the k largest of their sign at one endpoint at least; edges of cost 0 go."""
-    ends = edges.where("cost <> 0").select(F.explode(F.array(F.struct(F.col("i").alias("u"), F.col("j").alias("v")), F.struct(F.col("j").alias("u"), F.col("i").alias("v")))).alias("e"), "i", "j", "cost")
-    ends = ends.select("e.u", "e.v", "i", "j", "cost")
-    best = Window.partitionBy("u", F.signum("cost")).orderBy(F.desc(F.abs("cost")), "v")
-    return ends.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("i", "j", "cost").distinct()
-
-
-def supplier_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse(suppliers(spark, sf_dir))
+def customer_orders(spark: SparkSession, sf_dir: str, days: int = 180) -> DataFrame:
+    """Orders of one customer at most `days` apart: 3 less the whole 50,000s between their prices. Orders without customer, date or price have no edge."""
+    read = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    day = F.datediff("o_orderdate", F.lit("1970-01-01").cast("date"))
+    orders = read.select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("o"), day.alias("d"), F.col("o_totalprice").alias("p"))
+    orders = orders.withColumn("span", F.floor(F.col("d") / (days + 1))).dropna()  # two orders in reach lie in one span or in two that touch
+    later = orders.select("c", F.col("span").alias("at"), *[F.col(x).alias(f"{x}2") for x in ("o", "d", "p")])
+    pairs = orders.withColumn("at", F.explode(F.array("span", F.col("span") + 1))).join(later, ["c", "at"])
+    near = pairs.where((F.col("d2") - F.col("d")).between(0, days) & (F.struct("d", "o") < F.struct("d2", "o2")))
+    cost = 3 - F.floor(F.abs(F.col("p") - F.col("p2")) / 50_000.0)
+    return near.select(F.least("o", "o2").alias("i"), F.greatest("o", "o2").alias("j"), cost.cast("double").alias("cost"))
