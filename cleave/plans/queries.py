@@ -238,7 +238,15 @@ _add("matching_full", _whole(lambda g: matching.match(cut(g), 0.05)[0]), O.query
 
 # Conflict-free forests: the search depends on the data, so tests hold them against properties and an independent version.
 _add("forest_contraction_map", _whole(lambda g: (lambda g: forest.contraction_map(_nodes(g), g)[0])(cut(g))))
-_add("forest_conflict_general", _trees(lambda g, f, rep: forest.conflict_free(_nodes(g), f, rep)))
+
+
+def _general(g: DataFrame) -> DataFrame:
+    g = cut(g)
+    joining, rep = E.split_by_sign(g)
+    return forest.conflict_free(_nodes(g), forest.maximum_spanning_forest(joining), rep)
+
+
+_add("forest_conflict_general", _orders(_general))
 
 # Dual.
 _Z = [O.cycles("g", 5, "z_"), O.dual_start("g", "z_tri", "y_")]
