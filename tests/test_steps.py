@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from cleave.operators import components, forest
+from cleave.operators import components, forest, matching
 from cleave.operators import edges as E
+from cleave.options import Options
+from cleave.plans import solver
 
 
 def blocks(spark, seed, count=4, size=20, edges=40):
@@ -129,3 +131,29 @@ def test_search_finds_trees_once(spark, monkeypatch):
     tree, rep, nodes = chains(spark, 3)
     forest.conflict_free(nodes, tree, rep).collect()
     assert len(calls) == 1
+
+
+@pytest.mark.parametrize("seed", [6, 7])
+def test_matching_in_one_task_takes_what_rounds_on_frames_take(spark, seed, monkeypatch):
+    g = blocks(spark, seed)
+    want, n = matching.match(g, 0.05, one_task=0)
+    got, m = matching.match(g, 0.05, one_task=100)
+    assert (rows(got), m) == (rows(want), n) and n
+
+    def none(*_):
+        raise AssertionError("a round on frames")
+
+    monkeypatch.setattr(matching, "best_neighbours", none)
+    got, m = matching.match(g, 0.05)
+    assert (rows(got), m) == (rows(want), n)
+
+
+def test_contraction_of_few_nodes_sends_only_their_map(spark, monkeypatch):
+    """On frames to the end, as on arrays; a bad contraction still raises."""
+    g = blocks(spark, 8, 2, 10, 20)
+    frames, arrays = (solver.solve(g, Options.preset("P", sanitize_graph=True, verbose=False, local_edges=n)) for n in (0, 200_000))
+    assert rows(frames.labels) == rows(arrays.labels) and frames.objective == arrays.objective
+    bad = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "node bigint, cluster bigint")
+    monkeypatch.setattr(solver.matching, "contraction_map", lambda *_: (bad, 2))
+    with pytest.raises(solver.BadContraction):
+        solver.solve(spark.createDataFrame([(0, 1, -1.0), (1, 2, 1.0)], "i bigint, j bigint, cost double"), Options.preset("P", verbose=False, local_edges=0))
