@@ -9,6 +9,7 @@ from cleave.operators import components, forest, matching
 from cleave.operators import edges as E
 from cleave.options import Options
 from cleave.plans import solver
+from cleave.sources import graphs
 
 
 def blocks(spark, seed, count=4, size=20, edges=40):
@@ -157,3 +158,11 @@ def test_contraction_of_few_nodes_sends_only_their_map(spark, monkeypatch):
     monkeypatch.setattr(solver.matching, "contraction_map", lambda *_: (bad, 2))
     with pytest.raises(solver.BadContraction):
         solver.solve(spark.createDataFrame([(0, 1, -1.0), (1, 2, 1.0)], "i bigint, j bigint, cost double"), Options.preset("P", verbose=False, local_edges=0))
+
+
+def test_lines_are_read_once_for_mean_and_costs(spark, tmp_path):
+    lines = [(o, s) for o in range(30) for s in range(o % 4)] + [(0, 1), (None, 1), (2, None)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_suppkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
+    g = graphs.suppliers(spark, str(tmp_path))
+    assert "Scan parquet" not in g._jdf.queryExecution().executedPlan().toString()
+    assert rows(g) == [(0, 1, 5.0), (0, 2, -2.0), (1, 2, -2.0)]
