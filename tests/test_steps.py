@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cleave.operators import components, forest, matching
@@ -166,3 +169,53 @@ def test_lines_are_read_once_for_mean_and_costs(spark, tmp_path):
     g = graphs.suppliers(spark, str(tmp_path))
     assert "Scan parquet" not in g._jdf.queryExecution().executedPlan().toString()
     assert rows(g) == [(0, 1, 5.0), (0, 2, -2.0), (1, 2, -2.0)]
+
+
+def test_pairs_of_lines_are_whole_in_small_batches(monkeypatch):
+    monkeypatch.setattr(graphs, "BATCH", 3)
+    rng = np.random.default_rng(5)
+    lines = [(int(o), int(s)) for o, s in zip(rng.integers(-3, 4, 60), rng.integers(-4, 5, 60), strict=True)] + [(9, 1)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*part, strict=True)], names=["o", "s"]) for part in (lines[:20], lines[20:])]
+    found = [p for b in graphs._pairs(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert sorted(found) == sorted((s, t) for o, s in set(lines) for p, t in set(lines) if o == p and s < t)
+    assert not list(graphs._pairs(iter([])))
+
+
+@pytest.mark.parametrize("one_task", [0, 40, 1000])
+def test_matching_of_few_nodes_takes_what_rounds_on_frames_take(spark, one_task, monkeypatch):
+    monkeypatch.setattr(matching, "HELD", 10)
+    for seed in (6, 7):
+        g = E.densified(blocks(spark, seed))[0].repartition(3).localCheckpoint()
+        want, n = matching.match(g, 0.05, one_task=0)
+        threshold = E.matching_threshold(g, 0.05).first()[0]
+        low, high, m = matching.match_few(g, 80, threshold, one_task)
+        assert (list(zip(low.tolist(), high.tolist(), strict=True)), m) == (rows(want), n) and n
+    assert matching.match_few(g, 80, -1.0)[2] == 0
+
+
+@pytest.mark.parametrize("one_task, sent, preset", [(0, 1 << 16, "P"), (60, 1 << 16, "P"), (1000, 1 << 16, "P"), (1000, 0, "P")])
+def test_solve_above_local_edges_as_on_arrays(spark, one_task, sent, preset, monkeypatch):
+    """Labels of few nodes on the driver, the end in one task, or both; a timeline holds every iteration."""
+    g = blocks(spark, 9, 3, 12, 30)
+    options = Options.preset(preset, sanitize_graph=True, verbose=False, dump_timeline=True)
+    want = solver.solve(g, options)
+    monkeypatch.setattr(solver, "ONE_TASK", one_task)
+    monkeypatch.setattr(E, "SENT_ROWS", sent)
+
+    def none(*_):
+        raise AssertionError("a step on frames")
+
+    if sent:
+        monkeypatch.setattr(matching, "compress_labels", none)
+        monkeypatch.setattr(matching, "best_neighbours", none)
+    got = solver.solve(g, replace(options, local_edges=1))
+    assert rows(got.labels) == rows(want.labels) and got.iterations == want.iterations > 1
+    assert rows(got.timeline) == rows(want.timeline) and got.objective == pytest.approx(want.objective) and got.lower_bound == pytest.approx(want.lower_bound)
+    stopped = solver.solve(g, replace(options, local_edges=1, max_time_sec=0, dump_timeline=False))
+    assert stopped.iterations >= 1 and stopped.labels.count() == want.labels.count()
+
+
+def test_forests_of_few_nodes_above_local_edges(spark):
+    g = blocks(spark, 9, 2, 12, 30)
+    a, b = (solver.solve(g, Options.preset("P", sanitize_graph=True, verbose=False, matching_thresh_crossover_ratio=2.0, local_edges=n, label_gaps=False)) for n in (1, 200_000))
+    assert rows(a.labels) == rows(b.labels) and a.objective == b.objective and a.iterations
