@@ -7,6 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from cleave.plans import evidence
 from cleave.plans.oracles import query
 from cleave.plans.queries import QUERIES
 
@@ -45,3 +46,12 @@ def test_solve_p_scores_all_edges(spark, edges):
     cluster = {r["node"]: r["cluster"] for r in found}
     assert found[0]["objective"] == sum(c for i, j, c in edges if cluster[i] != cluster[j])
     assert found[0]["lower_bound"] == sum(min(c, 0) for _, _, c in edges)
+
+
+def test_claims_of_p_hold_on_all_edges_without_a_copy_of_them(spark, edges, monkeypatch):
+    def none(*_):
+        raise AssertionError("a copy of the graph")
+
+    monkeypatch.setattr(evidence, "cut", none)
+    [row] = QUERIES["solve_P_claims"](spark, FOLDER).collect()
+    assert tuple(row) == (len({n for e in edges for n in e[:2]}), True, True, True, True, sum(min(c, 0) for _, _, c in edges))
